@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mediagraph.llm import bpe, minhash
+from mediagraph.llm import bpe, chat, minhash, sharding
 from mediagraph.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -20,9 +20,21 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, threshold=0.8)
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.sql("SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    return chat.digests(chat.format_conversations(given.unionByName(tricky)))
+
+
+def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
+
+
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_minhash": op3_minhash,
+    "op6_chat": op6_chat,
+    "op7_hilbert_shards": op7_hilbert_shards,
 }
 
 OP3_SQL = """
@@ -41,6 +53,23 @@ SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(m.c, s.doc_id) A
 FROM s LEFT JOIN m ON m.doc_id = s.doc_id
 """
 
+OP6_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role)
+), o AS (
+  SELECT *, row_number() OVER w AS pos, coalesce(role <> lag(role) OVER w, TRUE) AS first,
+    regexp_replace(role, '<(\\\\*)\\|', '<\\\\\\1|', 'g') AS er, regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g') AS et
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(et) + CASE WHEN first THEN 24 + length(er) ELSE 7 END) AS BIGINT) AS formatted_chars
+FROM o GROUP BY conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op3_minhash": OP3_SQL,
+    "op6_chat": OP6_SQL,
 }
