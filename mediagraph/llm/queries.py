@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mediagraph.llm import bpe, chat, minhash, sharding
+from mediagraph.llm import bpe, chat, minhash, sharding, urlfilter, warc
 from mediagraph.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -20,6 +21,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, threshold=0.8)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = spark.sql("SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
@@ -30,11 +35,22 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op10_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("url_key"), bad.alias("bad"))
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_minhash": op3_minhash,
+    "op4_warc": op4_warc,
     "op6_chat": op6_chat,
     "op7_hilbert_shards": op7_hilbert_shards,
+    "op10_url_tree": op10_url_tree,
 }
 
 OP3_SQL = """
@@ -53,6 +69,15 @@ SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(m.c, s.doc_id) A
 FROM s LEFT JOIN m ON m.doc_id = s.doc_id
 """
 
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, html, strlen(html) AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+FROM d
+"""
+
 OP6_SQL = """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -71,5 +96,6 @@ FROM o GROUP BY conv_id
 
 ORACLES: dict[str, str] = {
     "op3_minhash": OP3_SQL,
+    "op4_warc": OP4_SQL,
     "op6_chat": OP6_SQL,
 }
