@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediagraph.llm import bpe, chat, minhash, sharding, urlfilter, warc
+from mediagraph.llm import bpe, chat, decontam, minhash, quality, sharding, urlfilter, warc
 from mediagraph.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -35,6 +39,10 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
+
+
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -45,11 +53,13 @@ def op10_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_minhash": op3_minhash,
     "op4_warc": op4_warc,
     "op6_chat": op6_chat,
     "op7_hilbert_shards": op7_hilbert_shards,
+    "op8_quality": op8_quality,
     "op10_url_tree": op10_url_tree,
 }
 
