@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediagraph.llm import bpe, chat, decontam, minhash, quality, sharding, urlfilter, warc
+from mediagraph.llm import bpe, chat, decontam, lm, minhash, quality, sharding, tokencount, urlfilter, warc
 from mediagraph.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -29,6 +29,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf_dir, "pages"))
 
 
+def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = spark.sql("SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
@@ -43,6 +47,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
 
 
+def op9_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.section_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -57,9 +65,11 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_minhash": op3_minhash,
     "op4_warc": op4_warc,
+    "op5_attention_lm": op5_attention_lm,
     "op6_chat": op6_chat,
     "op7_hilbert_shards": op7_hilbert_shards,
     "op8_quality": op8_quality,
+    "op9_section_tokens": op9_section_tokens,
     "op10_url_tree": op10_url_tree,
 }
 
