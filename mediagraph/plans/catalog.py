@@ -10,6 +10,7 @@ from mediagraph.operators import albums as A
 from mediagraph.operators import cache as C
 from mediagraph.operators import lyrics as L
 from mediagraph.operators import resolve as R
+from mediagraph.operators.graph import saved
 from mediagraph.plans.registry import query, table
 from mediagraph.sources import ingest as I
 
@@ -209,7 +210,7 @@ def j9(s, d):
 @query("j10_enrichment", _ASSIGN + " SELECT l.f AS file, coalesce(p.p_name, 'file-' || l.f) AS title, p.p_type AS album FROM l LEFT JOIN r ON r.c = l.c AND r.rec = l.rec AND r.k = l.k LEFT JOIN part p ON p.p_partkey = r.t")
 def j10(s, d):
     p = table(s, d, "part").select(F.col("p_partkey").alias("track"), "p_name", "p_type")
-    return assigned(s, d).join(p, "track", "left").select("file", F.coalesce("p_name", F.concat(F.lit("file-"), "file")).alias("title"), F.col("p_type").alias("album"))
+    return saved(assigned(s, d), "assigned").join(p, "track", "left").select("file", F.coalesce("p_name", F.concat(F.lit("file-"), "file")).alias("title"), F.col("p_type").alias("album"))
 
 
 # -- cache: documents against an older manifest ------------------------------------------------------------------------------------
