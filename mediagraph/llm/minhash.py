@@ -1,9 +1,10 @@
 """MinHash near-duplicate detection: banded minima find candidates, signatures and then full shingle sets verify them, and
 alternating large-star and small-star steps join the links into components.
 
-Texts with equal shingle sets share one node, so that a group of copies costs one row. Inside a bucket, nodes are first linked to
-the bucket's smallest node; only pairs whose ends are then still in different components are compared with each other, and in large
-buckets these pairs come from an exact prefix filter. No bucket is cut short and no link between different texts is lost but for
+Texts with equal shingle sets share one node, so that a group of copies costs one row. Inside a bucket, nodes are first compared with
+the node that shares most buckets, then, in a few more rounds, those still outside the others' component with another one; only pairs
+whose ends are then still in different components are compared with each other, and in large buckets these pairs come from an exact
+prefix and position filter. No bucket is cut short and no link between different texts is lost but for
 the miss rate of the bands: (1 - s^rows)^bands, below 5e-8 at a similarity s of 0.8.
 """
 
@@ -23,7 +24,9 @@ BANDS, ROWS = 32, 4
 #: Candidates whose estimated similarity is this far below the threshold are dropped: over five standard errors of the estimate.
 SLACK = 0.2
 #: Buckets of more nodes than this find their remaining pairs by the prefix filter.
-PAIRED_BUCKET = 64
+PAIRED_BUCKET = 24
+#: Rounds in which the nodes of a bucket are compared with one of them.
+STAR_ROUNDS = 3
 #: Words whose hashes one call remembers before it starts over.
 WORDS_REMEMBERED = 500_000
 
@@ -153,7 +156,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
 
 def prefix_pairs(sets: DataFrame, comps: DataFrame, hundredths: int) -> DataFrame:
     """All pairs of different components that can reach the threshold: ordered by how many sets hold a shingle, rarest first, two
-    sets that are alike enough share one of their first |set| - ceil(threshold * |set|) + 1 shingles."""
+    sets that are alike enough share one of their first |set| - ceil(threshold * |set|) + 1 shingles, and behind the first one they
+    share both have enough left for the overlap they need."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,9 +170,11 @@ def prefix_pairs(sets: DataFrame, comps: DataFrame, hundredths: int) -> DataFram
     # shingles of one set only come first in the order, and can't be shared
     alone = rows.groupBy("node").agg(F.count("*").alias("all_n"))
     by_rank = ranked.withColumn("shared", F.count("*").over(_window("node"))).withColumn("rank", F.row_number().over(_window("node", "held", "shingle")))
-    first = by_rank.join(alone, "node").filter(F.expr(f"rank + n - shared <= n - ceil({hundredths} * n / 100.0) + 1")).select("node", "n", "shingle").join(comps, "node")
+    placed = by_rank.join(alone, "node").withColumn("pos", F.expr("rank + n - shared"))
+    first = placed.filter(F.expr(f"pos <= n - ceil({hundredths} * n / 100.0) + 1")).select("node", "n", "shingle", "pos").join(comps, "node")
     a, b = first.alias("a"), first.alias("b")
-    ok = F.expr(f"a.shingle = b.shingle and a.node < b.node and a.comp <> b.comp and 100 * least(a.n, b.n) >= {hundredths} * greatest(a.n, b.n)")
+    overlap = f"{100 + hundredths} * (1 + least(a.n - a.pos, b.n - b.pos)) >= {hundredths} * (a.n + b.n)"
+    ok = F.expr(f"a.shingle = b.shingle and a.node < b.node and a.comp <> b.comp and {overlap}")
     return a.join(b, ok).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
 
 
@@ -216,28 +222,44 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
     nodes = rows.join(copied.withColumnRenamed("node", "first"), "set_key", "left").filter("set_key is not null and doc_id is not null and coalesce(first, doc_id) = doc_id").select(F.col("doc_id").alias("node"), "sig").dropDuplicates(["node", "sig"])
     nodes = saved(nodes, "nodes")
     in_bucket = buckets(nodes)
-    shared = in_bucket.groupBy("bucket").agg(F.min("node").alias("center"), F.countDistinct("node").alias("size")).filter("size > 1")
+    shared = in_bucket.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = saved(in_bucket.join(shared, "bucket").distinct(), "members")
+    # a node that shares much stands in the middle of its group, so most of the group is within reach of it
+    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
 
     def links(pairs: DataFrame) -> DataFrame:
         near = saved(alike(pairs, nodes, threshold), "candidates")
         ends = near.select(F.col("u").alias("node")).unionByName(near.select(F.col("v").alias("node"))).distinct()
         return saved(confirmed(near, full_sets(docs, ends, size, id_col, text_col), hundredths), "links")
 
-    first_links = links(members.filter("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct())
-    comp = saved(components(first_links), "components")
-    placed = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = members.join(weight, "node").withColumn("comp", F.col("node"))
+    tested, all_links = None, None
+    for k in range(STAR_ROUNDS):
+        first = F.struct("weight", -F.col("node")) if not k else F.struct(F.xxhash64("node", F.lit(k)), "node")
+        center = placed.groupBy("bucket").agg(F.max(F.struct(first.alias("by"), F.col("node").alias("center"), F.col("comp").alias("center_comp"))).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        pairs = placed.join(center.filter("lo <> hi").select("bucket", "c.center", "c.center_comp"), "bucket").filter("comp <> center_comp")
+        pairs = pairs.select(F.least("node", "center").alias("u"), F.greatest("node", "center").alias("v")).distinct()
+        pairs = saved(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            break
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        more = links(pairs)
+        all_links = more if all_links is None else all_links.unionByName(more)
+        comp = components(all_links)
+        placed = saved(placed.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
+    if all_links is None:
+        all_links = saved(placed.select(F.col("node").alias("u"), F.col("comp").alias("v")).limit(0), "links")
     mixed_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
     # two nodes alone in a bucket have been compared already
     left = saved(placed.filter("size > 2").join(mixed_buckets, "bucket"), "left")
     a, b = left.filter(f"size <= {PAIRED_BUCKET}").alias("a"), left.alias("b")
-    near_pairs = a.join(b, F.expr("a.bucket = b.bucket and a.node < b.node and a.comp <> b.comp and a.node <> a.center")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    near_pairs = a.join(b, F.expr("a.bucket = b.bucket and a.node < b.node and a.comp <> b.comp")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
     hot = saved(left.filter(f"size > {PAIRED_BUCKET}").select("node", "comp").distinct(), "hot")
     if not hot.isEmpty():
         sets = saved(full_sets(docs, hot.select("node").distinct(), size, id_col, text_col), "sets")
         near_pairs = near_pairs.unionByName(prefix_pairs(sets, hot, hundredths)).distinct()
-    more = links(near_pairs)
-    all_links = first_links.unionByName(more)
+    if tested is not None:
+        all_links = all_links.unionByName(links(near_pairs.join(tested, ["u", "v"], "left_anti")))
     repeated = rows.filter("doc_id is not null and set_key is not null").groupBy("doc_id").agg(F.count_distinct("set_key").alias("texts")).filter("texts > 1").select("doc_id")
     if not repeated.isEmpty():
         own = rows.join(repeated, "doc_id").join(copied, "set_key", "left").select("doc_id", F.coalesce("node", "doc_id").alias("node")).filter("doc_id <> node")
