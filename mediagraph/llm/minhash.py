@@ -27,6 +27,8 @@ SLACK = 0.2
 PAIRED_BUCKET = 24
 #: Rounds in which the nodes of a bucket are compared with one of them.
 STAR_ROUNDS = 3
+#: Ids that go to every task to pick rows by; more of them are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Words whose hashes one call remembers before it starts over.
 WORDS_REMEMBERED = 500_000
 
@@ -93,6 +95,16 @@ def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
     return source.mapInArrow(sign, "doc_id long, n_shingles long, set_key string, sig binary")
 
 
+def picked(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is among ids (one long column of that name), without a shuffle of df while ids are few enough to send."""
+    few = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+
+
 def full_sets(docs: DataFrame, nodes: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """node and its whole shingle set, packed, for the documents that stand for a node."""
 
@@ -102,7 +114,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, size: int, id_col: str, text_co
             packed = [shingle_set((cell.as_py() or "").encode(), size, hashes).tobytes() for cell in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "shingles"])
 
-    source = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(nodes, "node", "left_semi")
+    source = picked(docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")), nodes, "node")
     return source.mapInArrow(sets, "node long, shingles binary").filter(F.length("shingles") > 0)
 
 
@@ -228,9 +240,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
 
     def links(pairs: DataFrame) -> DataFrame:
-        near = saved(alike(pairs, nodes, threshold), "candidates")
-        ends = near.select(F.col("u").alias("node")).unionByName(near.select(F.col("v").alias("node"))).distinct()
-        return saved(confirmed(near, full_sets(docs, ends, size, id_col, text_col), hundredths), "links")
+        pairs = saved(pairs, "pairs")
+        near = saved(alike(pairs, picked(nodes, ends_of(pairs), "node"), threshold), "candidates")
+        return saved(confirmed(near, full_sets(docs, ends_of(near), size, id_col, text_col), hundredths), "links")
 
     placed = members.join(weight, "node").withColumn("comp", F.col("node"))
     tested, all_links = None, None
