@@ -95,18 +95,15 @@ def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
     return source.mapInArrow(sign, "doc_id long, n_shingles long, set_key string, sig binary")
 
 
-def picked(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of df whose key is among ids (one long column of that name), without a shuffle of df while ids are few enough to send."""
-    few = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
+def ends_among(df: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is an end of one of the saved pairs, without a shuffle of df while the ends are few enough to send."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias(key))
+    few = 2 * pairs.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ends) if few else ends.distinct(), key, "left_semi")
 
 
-def ends_of(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-
-
-def full_sets(docs: DataFrame, nodes: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """node and its whole shingle set, packed, for the documents that stand for a node."""
+def full_sets(docs: DataFrame, size: int, id_col: str, text_col: str, pairs: DataFrame) -> DataFrame:
+    """node and its whole shingle set, packed, for the documents at the ends of pairs."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -114,7 +111,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, size: int, id_col: str, text_co
             packed = [shingle_set((cell.as_py() or "").encode(), size, hashes).tobytes() for cell in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "shingles"])
 
-    source = picked(docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")), nodes, "node")
+    source = ends_among(docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")), pairs, "node")
     return source.mapInArrow(sets, "node long, shingles binary").filter(F.length("shingles") > 0)
 
 
@@ -200,22 +197,20 @@ def _window(key: str, *order: str):
 def components(edges: DataFrame) -> DataFrame:
     """node and comp (the smallest node it reaches) for every node of edges (u, v), by alternating large-star and small-star.
 
-    Each round is written to the shared scratch folder; rounds end when no edge changes.
+    Each round is written to the shared scratch folder; rounds end when every edge joins a smallest node with a node that has no other.
     """
     e = saved(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
-    state = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ends = both.groupBy("u").agg(F.count_if(F.expr("v < u")).alias("below"), F.count_if(F.expr("v > u")).alias("above"))
+        if not ends.agg(F.count_if(F.expr("below > 1 or below = 1 and above > 0"))).first()[0]:
+            break
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("m").alias("u"), "v").distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("m").alias("u"), "v")
         lower = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(lower, "v").filter("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))
         e = saved(small.unionByName(lower.select(F.col("m").alias("u"), "v")).distinct(), "edges")
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == state or not now[0]:
-            break
-        state = now
-    return e.select(F.col("v").alias("node"), F.col("u").alias("comp")).unionByName(e.select(F.col("u").alias("node"), F.col("u").alias("comp"))).distinct()
+    return e.select(F.col("v").alias("node"), F.col("u").alias("comp")).unionByName(e.select("u").distinct().select(F.col("u").alias("node"), F.col("u").alias("comp")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,11 +236,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = saved(pairs, "pairs")
-        near = saved(alike(pairs, picked(nodes, ends_of(pairs), "node"), threshold), "candidates")
-        return saved(confirmed(near, full_sets(docs, ends_of(near), size, id_col, text_col), hundredths), "links")
+        near = saved(alike(pairs, ends_among(nodes, pairs, "node"), threshold), "candidates")
+        return saved(confirmed(near, full_sets(docs, size, id_col, text_col, near), hundredths), "links")
 
     placed = members.join(weight, "node").withColumn("comp", F.col("node"))
-    tested, all_links = None, None
+    # joined has the edges that matter to what is connected: of the rounds so far, each node's with its component
+    tested, joined = None, None
     for k in range(STAR_ROUNDS):
         first = F.struct("weight", -F.col("node")) if not k else F.struct(F.xxhash64("node", F.lit(k)), "node")
         center = placed.groupBy("bucket").agg(F.max(F.struct(first.alias("by"), F.col("node").alias("center"), F.col("comp").alias("center_comp"))).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
@@ -256,11 +252,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
         more = links(pairs)
-        all_links = more if all_links is None else all_links.unionByName(more)
-        comp = components(all_links)
+        comp = components(more if joined is None else joined.unionByName(more))
+        joined = comp.select(F.col("comp").alias("u"), F.col("node").alias("v"))
         placed = saved(placed.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
-    if all_links is None:
-        all_links = saved(placed.select(F.col("node").alias("u"), F.col("comp").alias("v")).limit(0), "links")
+    if joined is None:
+        joined = saved(placed.select(F.col("node").alias("u"), F.col("comp").alias("v")).limit(0), "links")
     mixed_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
     # two nodes alone in a bucket have been compared already
     left = saved(placed.filter("size > 2").join(mixed_buckets, "bucket"), "left")
@@ -268,15 +264,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
     near_pairs = a.join(b, F.expr("a.bucket = b.bucket and a.node < b.node and a.comp <> b.comp")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
     hot = saved(left.filter(f"size > {PAIRED_BUCKET}").select("node", "comp").distinct(), "hot")
     if not hot.isEmpty():
-        sets = saved(full_sets(docs, hot.select("node").distinct(), size, id_col, text_col), "sets")
+        sets = saved(full_sets(docs, size, id_col, text_col, hot.select(F.col("node").alias("u"), F.col("node").alias("v"))), "sets")
         near_pairs = near_pairs.unionByName(prefix_pairs(sets, hot, hundredths)).distinct()
     if tested is not None:
-        all_links = all_links.unionByName(links(near_pairs.join(tested, ["u", "v"], "left_anti")))
+        joined = joined.unionByName(links(near_pairs.join(tested, ["u", "v"], "left_anti")))
     repeated = rows.filter("doc_id is not null and set_key is not null").groupBy("doc_id").agg(F.count_distinct("set_key").alias("texts")).filter("texts > 1").select("doc_id")
     if not repeated.isEmpty():
         own = rows.join(repeated, "doc_id").join(copied, "set_key", "left").select("doc_id", F.coalesce("node", "doc_id").alias("node")).filter("doc_id <> node")
-        all_links = all_links.unionByName(own.select(F.col("node").alias("u"), F.col("doc_id").alias("v")))
-    comp = saved(components(all_links), "components")
+        joined = joined.unionByName(own.select(F.col("node").alias("u"), F.col("doc_id").alias("v")))
+    comp = saved(components(joined), "components")
     found = rows.join(copied, "set_key", "left").withColumn("node", F.coalesce("node", "doc_id")).join(comp, "node", "left")
     found = found.withColumn("component_id", F.coalesce("comp", "node"))
     return found.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
