@@ -2,7 +2,8 @@
 alternating large-star and small-star steps join the links into components.
 
 Texts with equal shingle sets share one node, so that a group of copies costs one row. Inside a bucket, nodes are first compared with
-the node that shares most buckets, then, in a few more rounds, those still outside the others' component with another one; only pairs
+the node that shares most buckets, then, for as long as that finds links and in a few more rounds at most, those still outside the
+others' component with another one; only pairs
 whose ends are then still in different components are compared with each other, and in large buckets these pairs come from an exact
 prefix and position filter. No bucket is cut short and no link between different texts is lost but for
 the miss rate of the bands: (1 - s^rows)^bands, below 5e-8 at a similarity s of 0.8.
@@ -132,7 +133,7 @@ def buckets(nodes: DataFrame) -> DataFrame:
 
 
 def alike(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose signatures agree in enough places."""
+    """The saved pairs whose signatures agree in enough places; a pair comes again for each text of an id that has several."""
     least = threshold - SLACK
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +144,7 @@ def alike(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["u", "v"])
 
     left, right = (sigs.select(F.col("node").alias(end), F.col("sig").alias(f"sig_{end}")) for end in ("u", "v"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "sig_u", "sig_v").mapInArrow(compare, "u long, v long").distinct()
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "sig_u", "sig_v").mapInArrow(compare, "u long, v long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
@@ -160,7 +161,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["u", "v"])
 
     left, right = (sets.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}")) for end in ("u", "v"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "set_u", "set_v").mapInArrow(compare, "u long, v long").distinct()
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "set_u", "set_v").mapInArrow(compare, "u long, v long")
 
 
 def prefix_pairs(sets: DataFrame, comps: DataFrame, hundredths: int) -> DataFrame:
@@ -202,14 +203,14 @@ def components(edges: DataFrame) -> DataFrame:
     e = saved(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        ends = both.groupBy("u").agg(F.count_if(F.expr("v < u")).alias("below"), F.count_if(F.expr("v > u")).alias("above"))
-        if not ends.agg(F.count_if(F.expr("below > 1 or below = 1 and above > 0"))).first()[0]:
-            break
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("m").alias("u"), "v")
         lower = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(lower, "v").filter("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))
         e = saved(small.unionByName(lower.select(F.col("m").alias("u"), "v")).distinct(), "edges")
+        ends = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.count_if(F.expr("v < u")).alias("below"), F.count_if(F.expr("v > u")).alias("above"))
+        if ends.filter("below > 1 or below = 1 and above > 0").isEmpty():
+            break
     return e.select(F.col("v").alias("node"), F.col("u").alias("comp")).unionByName(e.select("u").distinct().select(F.col("u").alias("node"), F.col("u").alias("comp")))
 
 
@@ -224,10 +225,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
     """
     hundredths = round(100 * threshold)
     rows = saved(signatures(docs, size, id_col, text_col), "signatures")
-    by_set = rows.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
+    # equal sets have equal signatures, so one shuffle finds the node of each set and its signature
+    by_set = rows.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    by_set = saved(by_set, "nodes")
     copied = by_set.filter("copies > 1 or node is null").select("set_key", "node")
-    nodes = rows.join(copied.withColumnRenamed("node", "first"), "set_key", "left").filter("set_key is not null and doc_id is not null and coalesce(first, doc_id) = doc_id").select(F.col("doc_id").alias("node"), "sig").dropDuplicates(["node", "sig"])
-    nodes = saved(nodes, "nodes")
+    nodes = by_set.filter("node is not null").select("node", "sig")
     in_bucket = buckets(nodes)
     shared = in_bucket.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = saved(in_bucket.join(shared, "bucket").distinct(), "members")
@@ -235,7 +237,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
 
     def links(pairs: DataFrame) -> DataFrame:
-        pairs = saved(pairs, "pairs")
         near = saved(alike(pairs, ends_among(nodes, pairs, "node"), threshold), "candidates")
         return saved(confirmed(near, full_sets(docs, size, id_col, text_col, near), hundredths), "links")
 
@@ -252,11 +253,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
         more = links(pairs)
+        if more.isEmpty():
+            break
         comp = components(more if joined is None else joined.unionByName(more))
         joined = comp.select(F.col("comp").alias("u"), F.col("node").alias("v"))
         placed = saved(placed.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
-    if joined is None:
-        joined = saved(placed.select(F.col("node").alias("u"), F.col("comp").alias("v")).limit(0), "links")
     mixed_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
     # two nodes alone in a bucket have been compared already
     left = saved(placed.filter("size > 2").join(mixed_buckets, "bucket"), "left")
@@ -267,12 +268,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
         sets = saved(full_sets(docs, size, id_col, text_col, hot.select(F.col("node").alias("u"), F.col("node").alias("v"))), "sets")
         near_pairs = near_pairs.unionByName(prefix_pairs(sets, hot, hundredths)).distinct()
     if tested is not None:
-        joined = joined.unionByName(links(near_pairs.join(tested, ["u", "v"], "left_anti")))
-    repeated = rows.filter("doc_id is not null and set_key is not null").groupBy("doc_id").agg(F.count_distinct("set_key").alias("texts")).filter("texts > 1").select("doc_id")
+        more = links(saved(near_pairs.join(tested, ["u", "v"], "left_anti"), "pairs"))
+        joined = more if joined is None else joined.unionByName(more)
+    if joined is None:
+        joined = placed.select(F.col("node").alias("u"), F.col("comp").alias("v")).limit(0)
+    repeated = rows.filter("doc_id is not null and set_key is not null").groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).filter("lo <> hi").select("doc_id")
     if not repeated.isEmpty():
         own = rows.join(repeated, "doc_id").join(copied, "set_key", "left").select("doc_id", F.coalesce("node", "doc_id").alias("node")).filter("doc_id <> node")
         joined = joined.unionByName(own.select(F.col("node").alias("u"), F.col("doc_id").alias("v")))
-    comp = saved(components(joined), "components")
+    comp = components(joined)
     found = rows.join(copied, "set_key", "left").withColumn("node", F.coalesce("node", "doc_id")).join(comp, "node", "left")
     found = found.withColumn("component_id", F.coalesce("comp", "node"))
     return found.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
