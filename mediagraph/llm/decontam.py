@@ -1,12 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
 Test items go out in blocks of bounded size; each block is held against all documents, so no shuffle carries text and no two
-documents are compared. A seed is an item's n-gram that few documents hold, counted over all documents.
+documents are compared. Seeds aren't chosen by how many documents hold them, so a passage is found however often it is repeated.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,56 +51,81 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places starts[k], starts[k] + 1, ... (counts[k] of them) for each k in turn."""
+    return np.arange(counts.sum()) + np.repeat(starts - np.cumsum(counts) + counts, counts)
+
+
 class Block:
-    """The items of one block, and their seeds once these are chosen."""
+    """The items of one block: their words one after another, and where each n-gram stands in which item."""
 
     def __init__(self, ids: list, words: list[np.ndarray], n: int):
-        self.ids, self.words, self.n = ids, words, n
-        self.grams = [grams_of(w, n) for w in words]
-        self.keys = np.unique(np.concatenate([*self.grams, np.zeros(0, np.uint64)]))
-        self.seeds = np.zeros(0, np.uint64)
-        self.places: list[list[tuple[int, int]]] = []
-        self.few: list[bool] = []
-
-    def choose(self, held: dict[int, int], common: float) -> None:
-        """Seeds are the n-grams in at most common documents; an item left with under four seeds keeps all its n-grams."""
-        places = defaultdict(list)
-        for i, grams in enumerate(self.grams):
-            rare = [(p, int(g)) for p, g in enumerate(grams) if held.get(int(g), 0) <= common]
-            if len(rare) < min(4, len(grams)):
-                rare = list(enumerate(map(int, grams)))
-            self.few.append(len(rare) < 4)
-            for p, g in rare:
-                places[g].append((i, p))
-        self.seeds = np.array(sorted(places), dtype=np.uint64)
-        self.places = [places[int(g)] for g in self.seeds]
+        self.ids, self.n = ids, n
+        self.sizes = np.array([len(w) for w in words], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.words = np.concatenate([*words, np.zeros(0, np.uint64)])
+        grams = [grams_of(w, n) for w in words]
+        counts = np.array([len(g) for g in grams], dtype=np.int64)
+        self.few = counts < 4
+        every = np.concatenate([*grams, np.zeros(0, np.uint64)])
+        order = np.argsort(every, kind="stable")
+        self.keys, first = np.unique(every[order], return_index=True)
+        self.ends = np.append(first, len(every))
+        self.items = np.repeat(np.arange(len(words)), counts)[order].astype(np.int32)
+        self.places = spread(np.zeros(len(words), np.int64), counts)[order].astype(np.int32)
+
+    def item(self, i: int) -> np.ndarray:
+        return self.words[self.starts[i] : self.starts[i] + self.sizes[i]]
+
+    def windows(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, low and high of each stretch of words where two seeds of the item (one, if it has few) lie on near diagonals."""
+        grams = grams_of(words, self.n)
+        at = known(grams, self.keys)
+        if not len(at):
+            return at, at, at
+        k = np.searchsorted(self.keys, grams[at])
+        counts = self.ends[k + 1] - self.ends[k]
+        row = spread(self.ends[k], counts)
+        item, place = self.items[row], self.places[row]
+        shift = np.repeat(at, counts) - place
+        order = np.lexsort((shift, item))
+        item, place, shift = item[order], place[order], shift[order]
+        slack = self.sizes[item] // 4 + 8
+        # the nearest hits before and after each that are another seed
+        new = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (place[1:] != place[:-1]))[: len(item)])
+        run = np.diff(np.append(new, len(item)))
+        before, after = np.repeat(new, run) - 1, np.repeat(new + run, run)
+        near = np.zeros(len(item), bool)
+        for other in (before, after):
+            there = (other >= 0) & (other < len(item))
+            o = np.where(there, other, 0)
+            near |= there & (item[o] == item) & (np.abs(shift[o] - shift) <= slack)
+        use = near | self.few[item]
+        item, low, high = item[use], (shift - slack)[use], (shift + self.sizes[item] + slack)[use]
+        # stretches that meet are one
+        new = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (low[1:] > high[:-1]))[: len(item)])
+        last = np.append(new, len(item))[1:] - 1
+        return item[new], np.maximum(low[new], 0), np.minimum(high[last], len(words))
 
     def matches(self, words: np.ndarray, least: float) -> Iterator[tuple[int, float, int, int]]:
         """Item, score and word span of the best passage for each item that reaches the least score."""
-        grams = grams_of(words, self.n)
-        at = known(grams, self.seeds)
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for q in at:
-            for i, p in self.places[np.searchsorted(self.seeds, grams[q])]:
-                found[i].append((int(q) - p, p))
-        for i, hits in found.items():
-            m = len(self.words[i])
-            slack, best = m // 4 + 8, (0, 0, 0)
-            hits.sort()
-            k = 0
-            while k < len(hits):
-                first, seeds = hits[k][0], set()
-                while k < len(hits) and hits[k][0] - first <= slack:
-                    seeds.add(hits[k][1])
-                    last = hits[k][0]
-                    k += 1
-                if len(seeds) < 2 and not self.few[i]:
-                    continue
-                low, high = max(0, first - slack), min(len(words), last + m + slack)
-                score, end = align(self.words[i], words[low:high])
-                best = max(best, (score, low, low + end))
+        item, low, high = self.windows(words)
+        if not len(item):
+            return
+        # no alignment scores more than the item's words that the document, and then the stretch, holds
+        some = np.unique(item)
+        own = np.isin(self.words[spread(self.starts[some], self.sizes[some])], words)
+        shared = np.add.reduceat(own.astype(np.int64), np.cumsum(self.sizes[some]) - self.sizes[some])
+        able = np.isin(item, some[shared >= least * self.sizes[some]])
+        found: dict[int, tuple[int, int, int]] = {}
+        for i, a, b in zip(item[able].tolist(), low[able].tolist(), high[able].tolist(), strict=True):
+            if np.isin(self.item(i), words[a:b]).sum() >= least * self.sizes[i]:
+                score, end = align(self.item(i), words[a:b])
+                found[i] = max(found.get(i, (0, 0, 0)), (score, a, a + end))
+        for i, best in found.items():
+            m = int(self.sizes[i])
             if best[0] >= least * MATCH * m:
-                yield i, best[0] / (MATCH * m), max(best[1], best[2] - m - slack), best[2]
+                yield i, best[0] / (MATCH * m), max(best[1], best[2] - m - (m // 4 + 8)), best[2]
 
 
 def known(grams: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -113,11 +137,12 @@ def known(grams: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(keys[at] == grams)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5, n: int = 3, common_share: float = 0.001, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_grams: int = BLOCK_GRAMS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5, n: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """doc_id, item_id, score, start_word and end_word for each document and item whose alignment scores least or more of the item's own.
 
-    The score is that of the best local alignment over that of the whole item with itself. Seeds are n-grams of words in at most
-    common_share of the documents (three at least). Null texts have no words; an item with fewer than n words has no seed and matches
+    The score is that of the best local alignment over that of the whole item with itself. Every n-gram of an item's words is a seed,
+    however many documents hold it: a passage is aligned where two of them (one, in an item of fewer than four) stand in it about as
+    far apart as in the item. Null texts have no words; an item with fewer than n words has no seed and matches
     nothing; repeated documents or items give a row each; a null id is kept as null; without items or documents there are no rows.
     """
     spark = docs.sparkSession
@@ -125,26 +150,11 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5, n: int =
     tests = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     size = tests.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = max(1, -(-size // block_grams))
-    total = source.count()
     found = None
     for k in range(blocks):
         rows = tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # bounded: block_grams words
         hashes = WordHashes()
         block = Block([r["item_id"] for r in rows], [words_of(r["text"], hashes) for r in rows], n)
-        keys = spark.sparkContext.broadcast(block.keys)
-
-        def count(batches: Iterator[pa.RecordBatch], keys=keys) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
-            for batch in batches:
-                hit = [np.zeros(0, np.uint64)]
-                for cell in batch.column(0):
-                    grams = grams_of(words_of(cell.as_py(), hashes), n)
-                    hit.append(np.unique(grams[known(grams, keys.value)]))
-                grams, held = np.unique(np.concatenate(hit), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(held, pa.int64())], names=["gram", "held"])
-
-        held = source.select("text").mapInArrow(count, "gram long, held long").groupBy("gram").agg(F.sum("held").alias("held")).collect()  # bounded: the block's n-grams
-        block.choose({r["gram"] % (1 << 64): r["held"] for r in held}, max(3.0, common_share * total))
         shared = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -174,6 +174,22 @@ def test_contamination(spark):
     assert decontam.contaminated(docs.limit(0), tests).count() == 0
 
 
+def test_passages_that_many_documents_repeat(spark):
+    """An edited and a partial copy, each in far more documents than the three that once made an n-gram common."""
+    r = random.Random(11)
+    items = [(i, prose(r, 37)) for i in range(4)]
+    edited, part = items[0][1].split(), items[1][1].split()[:25]
+    edited[9], edited[24] = "otherword", "replaced"
+    long_gap = [*items[2][1].split()[:19], *prose(r, 8).split(), *items[2][1].split()[19:]]
+    passages = [edited, part, long_gap, prose(r, 37).split()]
+    rows = [(100 * k + i, " ".join([prose(r, 30), *p, prose(r, 30)])) for k, p in enumerate(passages) for i in range(12)]
+    docs, tests = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): round(x["score"], 9) for x in decontam.contaminated(docs, tests).collect()}
+    want = {(d, i): slow_align(b.split(), t.split()) / (2 * len(b.split())) for d, t in rows for i, b in items}
+    assert got == {k: round(v, 9) for k, v in want.items() if v >= 0.5}
+    assert {d // 100 for d, _ in got} == {0, 1, 2} and len(got) == 36
+
+
 # -- 4 ----------------------------------------------------------------------------------------------------------------------------
 
 
