@@ -359,6 +359,20 @@ def test_quality_keeps_prose_and_rejects_noise(spark):
     assert quality.judge(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bound", [quality.BROADCAST_REPEATS, 0])
+def test_copies_do_not_narrow_the_bands(spark, monkeypatch, bound):
+    monkeypatch.setattr(quality, "BROADCAST_REPEATS", bound)
+    r = random.Random(23)
+    clean = [(i, prose(r, 300) + " " + " ".join(str(r.randrange(10**6)) for _ in range(2 * (i % 30))), "en") for i in range(90)]
+    alone = {x["doc_id"]: x for x in quality.judge(spark.createDataFrame(clean, "doc_id long, text string, lang string")).collect()}
+    middle = sorted(clean, key=lambda x: alone[x[0]]["log10_perplexity"])[45]
+    copies = [(1000 + i, middle[1], "en") for i in range(200)]
+    got = {x["doc_id"]: x for x in quality.judge(spark.createDataFrame(clean + copies, "doc_id long, text string, lang string")).collect()}
+    assert [got[i]["kept"] for i in range(90)] == [alone[i]["kept"] for i in range(90)] and sum(x["kept"] for x in alone.values()) > 80
+    assert all(got[i]["log10_perplexity"] == pytest.approx(alone[i]["log10_perplexity"], abs=1e-9) for i in range(90))
+    assert all(got[x[0]]["kept"] == alone[middle[0]]["kept"] for x in copies)
+
+
 # -- 9 ----------------------------------------------------------------------------------------------------------------------------
 
 
