@@ -33,48 +33,54 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return name, action
 
 
-def typed_segments(path: Column, depth: int) -> Column:
-    """The path's segments with numbers and hex strings as typed wildcards; what is deeper than depth is one last segment."""
+def typed_segments(path: Column) -> Column:
+    """The path's segments with numbers and hex strings as typed wildcards."""
     parts = F.filter(F.split(path, "/", -1), lambda _, i: i > 0)
-    tail = F.concat(F.slice(parts, 1, depth), F.array(F.array_join(F.slice(parts, depth + 1, 1 << 30), "/")))
-    cut = F.when(F.size(parts) > depth, tail).otherwise(parts)
 
     def typed(s: Column) -> Column:
         ending = F.regexp_extract(s, r"(\.[A-Za-z]{1,5})?$", 1)
         stem = F.left(s, F.length(s) - F.length(ending))
         return F.when(stem.rlike(r"^[0-9]+$"), F.concat(F.lit("<num>"), ending)).when(stem.rlike(r"^(?=.*[0-9])[0-9a-fA-F-]{8,}$"), F.concat(F.lit("<hex>"), ending)).otherwise(s)
 
-    return F.transform(cut, typed)
+    return F.transform(parts, typed)
 
 
-def template_tree(paths: DataFrame, depth: int, least_children: int = 16, least_repeats: float = 4.0, z: float = 1.96) -> DataFrame:
+def template_tree(paths: DataFrame, least_children: int = 16, least_repeats: float = 4.0, z: float = 1.96) -> DataFrame:
     """paths (host, segments, n, labelled, bad; a row for each host and segments) with the template of each row's leaf.
 
     Level by level from the root: a node whose children are least_children or more, with fewer than least_repeats pages each on
     average, gets one child <any>; then children of one height that don't differ from their parent's share of bad pages (a two-sided
-    z test at z; without labels they don't) are merged into <like>.
+    z test at z; without labels they don't) are merged into <like>. Levels go on until no row has a further segment; a row that is
+    alone below its node has nothing to be merged with at any level, so the rest of its segments is taken at once.
     """
-    tree = paths.withColumn("template", F.array().cast("array<string>"))
-    for level in range(depth + 1):
-        here = F.get("segments", F.lit(level))
-        at = tree.withColumn("seg", here)
-        children = at.filter("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("n"))
-        wide = children.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("pages")).filter((F.col("children") >= least_children) & (F.col("pages") < least_repeats * F.col("children"))).select("host", "template", F.lit(True).alias("wide"))
-        at = at.join(wide, ["host", "template"], "left").withColumn("seg", F.when(F.col("seg").isNotNull(), F.when(F.col("wide"), F.lit("<any>")).otherwise(F.col("seg"))))
-        at = saved(at.drop("wide").withColumn("height", F.size("segments")), "level")
+    tree, level = paths.withColumn("template", F.array().cast("array<string>")), 0
+    done = tree.filter(F.size("segments") == 0)
+    tree = tree.filter(F.size("segments") > 0)
+    while not tree.isEmpty():
+        at = tree.withColumn("seg", F.get("segments", F.lit(level)))
+        children = at.groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+        nodes = children.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("pages"), F.sum("rows").alias("rows"))
+        wide = (F.col("children") >= least_children) & (F.col("pages") < least_repeats * F.col("children"))
+        alone = (F.col("rows") == 1) & F.lit(least_children > 1)
+        nodes = nodes.select("host", "template", wide.alias("wide"), alone.alias("alone")).filter("wide or alone")
+        at = at.join(nodes, ["host", "template"], "left").withColumn("seg", F.when(F.col("wide"), F.lit("<any>")).otherwise(F.col("seg")))
+        at = saved(at.drop("wide").withColumn("alone", F.coalesce("alone", F.lit(False))).withColumn("height", F.size("segments")), "level")
         key = ["host", "template", "height"]
-        branches = at.filter("seg is not null").groupBy(*key, "seg").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+        branches = at.groupBy(*key, "seg").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
         parents = branches.groupBy(*key).agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"), F.count("*").alias("siblings")).filter("siblings > 1")
         share = (F.col("all_bad") + 1) / (F.col("all_labelled") + 2)
         spread = F.sqrt(share * (1 - share) / F.greatest(F.col("labelled"), F.lit(1)))
         like = (F.col("labelled") == 0) | (F.abs(F.col("bad") / F.nullif(F.col("labelled"), F.lit(0)) - share) < z * spread)
         merged = branches.join(parents, key).filter(like).select(*key, "seg", F.lit("<like>").alias("to"))
-        tree = at.join(merged, [*key, "seg"], "left").withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.array(F.coalesce("to", "seg"))))).select(*paths.columns, "template")
-        tree = saved(tree, "level")
-    return tree
+        rest = F.when(F.col("alone"), F.slice("segments", level + 2, 1 << 30)).otherwise(F.array().cast("array<string>"))
+        tree = at.join(merged, [*key, "seg"], "left").withColumn("template", F.concat("template", F.array(F.coalesce("to", "seg")), rest)).select(*paths.columns, "template", "alone")
+        tree, level = saved(tree, "level"), level + 1
+        more = (F.size("segments") > level) & ~F.col("alone")
+        done, tree = done.unionByName(tree.filter(~more).drop("alone")), tree.filter(more).drop("alone")
+    return done
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", depth: int = 4, weight: float = 10.0, reject: float = 0.6) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", weight: float = 10.0, reject: float = 0.6) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity of each page.
 
     labels (url_key, bad 0 or 1) marks pages by the last run of digits in their path, which names the document shown there. A
@@ -83,13 +89,13 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     without labels nothing is blocked but by rules.
     """
     url = F.col(url_col)
-    seen = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("segments", typed_segments(F.col("path"), depth))
+    seen = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("segments", typed_segments(F.col("path")))
     known = labels.filter("url_key is not null and bad is not null").groupBy("url_key").agg(F.max("bad").alias("bad"))
     keyed = seen.select("host", "segments", F.expr(r"try_cast(regexp_extract(path, '([0-9]+)[^0-9]*$', 1) as bigint)").alias("url_key")).join(known, "url_key", "left")
     paths = saved(keyed.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad")), "paths")
     overall = paths.agg(F.sum("bad"), F.sum("labelled")).first()
     share = (overall[0] or 0) / overall[1] if overall[1] else 0.0
-    tree = template_tree(paths, depth)
+    tree = template_tree(paths)
     leaves = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     leaves = leaves.withColumn("purity", (F.col("bad") + weight * share) / (F.col("labelled") + weight)).select("host", "template", "purity")
     judged = tree.select("host", "segments", "template").join(leaves, ["host", "template"])

@@ -434,6 +434,19 @@ def test_urls(spark):
     assert urlfilter.judge_urls(pages.limit(0), spark.createDataFrame([], "url_key long, bad int"), RULES).count() == 0
 
 
+def test_deep_paths_have_templates(spark):
+    lone = "/" + "/".join(f"x{i}y" for i in range(60)) + "/7777"
+    rows = [(i, f"http://deep.example.org/a/b/c/d/{'news' if i % 2 else 'spam'}/{2000 + i % 9}/{i}") for i in range(60)]
+    rows += [(100, "http://lone.example.org" + lone), (101, "http://deep.example.org/a/b/c/d/spam/2024/123456")]
+    labels = [(i, 1 - i % 2) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {x["page_id"]: x for x in urlfilter.judge_urls(pages, spark.createDataFrame(labels, "url_key long, bad int"), []).collect()}
+    for i in [*range(60), 101]:
+        name, verdict = ("news", "allow") if i % 2 and i < 60 else ("spam", "block")
+        assert (got[i]["template"], got[i]["verdict"]) == (f"/a/b/c/d/{name}/<num>/<num>", verdict)
+    assert got[100]["template"] == lone.replace("7777", "<num>") and len(got) == 62
+
+
 # -- the pipeline -----------------------------------------------------------------------------------------------------------------
 
 
