@@ -3,6 +3,9 @@
 import itertools
 import os
 import random
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -16,6 +19,7 @@ from mediagraph.sources import ingest, reports
 from mediagraph.streaming import manifests
 
 SF = "/root/testdata/sf0.001"
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def one(spark, column):
@@ -217,3 +221,16 @@ def test_rows_of_queries_and_sql(spark, name):
     want = con.execute(library.ORACLES[name]).fetchall()
     assert sorted(df.columns) == sorted(c[0] for c in con.description)
     assert df.count() == len(want)
+
+
+def test_entry_module_without_the_corpus_operators(tmp_path):
+    """The core imports and lists its queries where the corpus operators, their tests or the pipeline are gone."""
+    for gone in (["mediagraph/llm", "tests/llm"], ["mediagraph/llm", "tests/llm", "corpus_pipeline.py"]):
+        copy = tmp_path / str(len(gone))
+        shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__"))
+        for name in gone:
+            shutil.rmtree(copy / name) if (copy / name).is_dir() else (copy / name).unlink(missing_ok=True)
+        (copy / "mediagraph/llm/__pycache__").mkdir(parents=True)
+        code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert q and set(o) <= set(q) and 'pipeline' not in q and not any(n.startswith('op') for n in q)"
+        done = subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True)
+        assert done.returncode == 0, done.stderr
