@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -216,42 +217,115 @@ def test_archives_round_trip(spark, tmp_path):
 # -- 5 ----------------------------------------------------------------------------------------------------------------------------
 
 
+def small_model(r, texts):
+    """Classes and n-gram model of a few texts of ids, without Spark."""
+    counts = {}
+    for t in texts:
+        for i in range(len(t)):
+            g = (*([0, 0] + list(t))[i : i + 2], t[i])
+            counts[g] = counts.get(g, 0) + 1
+    orders = []
+    two, one = {}, {}
+    for (a, b, c), n in counts.items():
+        two.setdefault((b, c), []).append(n)
+    for b, c in two:
+        one[c] = one.get(c, 0) + 1
+    for c in (counts, {k: len(v) for k, v in two.items()}, {(k,): v for k, v in one.items()}):
+        keys = np.array([lm.keys_of(*np.array(k, np.int64)[:, None])[0] for k in c])
+        n = np.array(list(c.values()))
+        contexts, at = np.unique(keys >> 16, return_inverse=True)
+        orders.append({"keys": keys, "counts": n, "contexts": contexts, "totals": np.bincount(at, n), "ones": [int((n == k).sum()) for k in (1, 2, 3, 4)]})
+    known = 300
+    model = lm.KneserNey(known, orders[2], orders[1], orders[0])
+    raw = {**orders[1], "counts": np.array([sum(v) for v in two.values()])}
+    raw["totals"] = np.bincount(np.unique(raw["keys"] >> 16, return_inverse=True)[1], raw["counts"])
+    return model, lm.Classes(model, raw, known), known
+
+
+def texts_of_ids(r, n=12):
+    return [np.append(r.integers(1, 60, r.integers(1, 70)), 0).astype(np.uint16) for _ in range(n)]
+
+
 def test_attention_gradient():
     r = np.random.default_rng(0)
-    p = {k: v.astype(np.float64) for k, v in lm.initial().items()}
-    ids, target = r.integers(0, lm.CLASSES, 40), r.integers(0, lm.CLASSES, 40)
-    q, keys, seen = lm.windows(ids, np.repeat([0, 23], [23, 17]))
-    y, w = np.zeros(q.size, int), np.zeros(q.size)
-    y[:40], w[:40] = target, 1
-    g, _ = lm.gradient(p, q, keys, seen, y, w)
+    texts = texts_of_ids(r)
+    _, classes, _ = small_model(r, texts)
+    ids, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
+    p = {k: v.astype(np.float64) + r.normal(0, 0.1, v.shape) for k, v in lm.initial().items()}
+    part = next(iter(lm.Blocks(classes, ids, lengths).batches(10**6)))
+    prior = classes.prior.astype(np.float64)
+    g, _ = lm.gradient(p, prior, *part)
     for name in p:
         i = tuple(np.unravel_index(np.abs(g[name]).argmax(), g[name].shape))
         was, e = p[name][i], 1e-5
         p[name][i] = was + e
-        up = lm.gradient(p, q, keys, seen, y, w)[1]
+        up = lm.gradient(p, prior, *part)[1]
         p[name][i] = was - e
-        down = lm.gradient(p, q, keys, seen, y, w)[1]
+        down = lm.gradient(p, prior, *part)[1]
         p[name][i] = was
-        assert abs((up - down) / (2 * e) - g[name][i]) < 1e-3 * max(1, abs(g[name][i])) + 1e-5, name
-
-
-def test_each_token_is_scored_once_from_its_own_text():
-    p, r = lm.initial(), np.random.default_rng(1)
-    ids, begins = r.integers(0, lm.CLASSES, 100), np.repeat([0, 45], [45, 55])
-    target = np.roll(ids, -1)
-    whole = lm.class_logs(p, ids, target, begins, blocks=2)
-    assert np.allclose(whole, lm.class_logs(p, ids, target, begins, blocks=50), atol=1e-5)
-    alone = lm.class_logs(p, ids[45:], target[45:], begins[45:] - 45)
-    # the same text by itself: blocks fall elsewhere, but its first tokens see the same ids
-    assert np.allclose(whole[45:48], alone[:3], atol=1e-5)
-    full = lm.log_softmax(lm.forward(p, *lm.windows(ids, begins)))[:100]
-    assert np.allclose(np.exp(full).sum(axis=1), 1, atol=1e-4)
+        assert abs((up - down) / (2 * e) - g[name][i]) < 1e-3 * max(1, abs(g[name][i])), name
+
+
+def test_scores_with_fixed_weights_equal_brute_force():
+    """Each id once, from its own text only, with the block before it; and both models are distributions."""
+    r = np.random.default_rng(1)
+    texts = texts_of_ids(r)
+    model, classes, known = small_model(r, texts)
+    p = {k: v + r.normal(0, 0.3, v.shape).astype(np.float32) for k, v in lm.initial().items()}
+    ids, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
+    got = lm.id_logs(p, classes, model, ids, lengths)
+    assert np.allclose(np.concatenate([lm.id_logs(p, classes, model, t, np.array([len(t)])) for t in texts]), got, atol=1e-4)
+    assert np.allclose(lm.class_logs(p, classes, ids, lengths, size=3), lm.class_logs(p, classes, ids, lengths), atol=1e-4)
+
+    def slow(t, i):
+        """Probabilities of all known ids at place i of a text."""
+        given = [0, *t[:-1].tolist()]
+        low = max(0, (i // lm.SPAN - 1) * lm.SPAN)
+        of = classes.of.astype(int)
+        q = p["emb"][of[given[i]]] @ p["q"]
+        a = np.array([np.exp(q @ (p["emb"][of[given[j]]] @ p["k"]) / lm.WIDTH**0.5 + p["near"][i - j]) for j in range(low, i + 1)])
+        h = (a / a.sum()) @ np.stack([p["emb"][of[given[j]]] @ p["v"] for j in range(low, i + 1)])
+        logits = h @ p["out"] + p["bias"] + classes.prior[classes.row[given[i]]]
+        of_class = np.exp(logits - logits.max())
+        of_class /= of_class.sum()
+        every = np.arange(known)
+        attention = of_class[of[every]] * np.exp(classes.within(np.full(known, given[i]), every))
+        two = given[i - 1] if i else 0
+        trigram = 10.0 ** model.log10(lm.keys_of(np.full(known, two), np.full(known, given[i]), every))
+        return attention, trigram
+
+    at = 0
+    for t in texts:
+        for i in range(0, len(t), 5):
+            attention, trigram = slow(t, i)
+            assert abs(trigram.sum() - 1) < 1e-4 and abs(attention.sum() - 1) < 1e-3
+            assert abs(np.log10((attention[t[i]] + trigram[t[i]]) / 2) - got[at + i]) < 1e-3
+        at += len(t)
+
+
+def test_words_in_ids(encoding):
+    pieces = lm.Pieces(bpe.read_ranks(RANKS))
+    for w in (b"the", "zwölf".encode(), b"x" * 3000, b"\xff\xfe"):
+        ids = pieces[w]
+        assert b"".join(encoding.decode_single_token_bytes(i - 1) for i in ids) == b" " + w
+        assert pieces.starts()[list(ids)].tolist() == [True] + [False] * (len(ids) - 1)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_held_out_texts_score_above_the_base(spark):
+    """And the scores don't depend on how the rows are dealt."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one, many = (lm.score_documents(docs.repartition(n), RANKS).toPandas().sort_values("doc_id").reset_index(drop=True) for n in (1, 8))
+    held = one[one.held_out]
+    assert held.score.sum() > held.base_score.sum() and one.score.sum() > one.base_score.sum()
+    assert np.allclose(one.score, many.score, rtol=1e-5) and np.allclose(one.base_score, many.base_score, rtol=1e-9)
 
 
 def test_scores(spark):
     r = random.Random(6)
-    rows = [(i, prose(r, r.randint(0, 80))) for i in range(300)] + [(1000, None), (1001, "ALLNEW wörd"), (None, "ta ri"), (7, "ta ri")]
-    got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), RANKS).collect()
+    rows = [(i, prose(r, r.randint(0, 80))) for i in range(300)] + [(1000, None), (1001, "ALLNEW wörd"), (None, "ta ri"), (7, "ta ri"), (1002, prose(r, 30000)), (1003, "y" * 200_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("given")).withColumn("step", F.lit(1))
+    got = lm.score_documents(df, RANKS).collect()
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
     counts, words = {}, {}
     for i, t in rows:
@@ -265,6 +339,8 @@ def test_scores(spark):
     assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
     assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in got)
     assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string"), RANKS).count() == 0
+    untrained = lm.score_documents(spark.createDataFrame([(i, "some words") for i in range(60) if held(i)], "doc_id long, text string"), RANKS).collect()
+    assert all(r["train_tokens"] == r["n_known"] == 0 and np.isfinite(r["score"]) for r in untrained)
 
 
 # -- 6 ----------------------------------------------------------------------------------------------------------------------------
