@@ -167,8 +167,8 @@ def test_contamination(spark):
     edited[5], edited[17] = "otherword", "replaced"
     rows = [(0, prose(r, 80) + " " + items[0][1].upper() + ". " + prose(r, 40)), (1, prose(r, 50) + " " + " ".join(edited)), (2, prose(r, 300)), (3, None), (4, items[2][1][: len(items[2][1]) // 4]), (None, items[3][1])]
     docs, tests = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for block in (decontam.BLOCK_GRAMS, 70):
-        got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, tests, block_grams=block).collect()}
+    for block in (decontam.BLOCK_WORDS, 70):
+        got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, tests, block_words=block).collect()}
         assert got == {(0, 0), (1, 1), (None, 3)}
     assert sorted(r["doc_id"] is None or r["doc_id"] for r in decontam.without_contaminated(docs, tests).collect()) == [True, 2, 3, 4]
     assert decontam.contaminated(docs, tests.limit(0)).count() == 0
@@ -191,6 +191,32 @@ def test_passages_that_many_documents_repeat(spark):
     assert {d // 100 for d, _ in got} == {0, 1, 2} and len(got) == 36
 
 
+def test_every_passage_that_reaches_the_least_score_is_found(spark, monkeypatch):
+    """All pairs by Smith-Waterman, with every 2nd to 8th word replaced, left out or put in, and items of one word and more."""
+    r = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(400)] + ["the", "of", "and"] * 40
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.choice([1, 2, 3, 5, 8, 24, 30])))) for i in range(24)]
+    passages = []
+    for step, kind, (_, text) in itertools.product(range(2, 9), ("replaced", "left out", "put in"), items):
+        if r.random() < 0.3:
+            words = [x for j, w in enumerate(text.split()) for x in ([w] if (j + 1) % step else {"replaced": [f"z{j}"], "left out": [], "put in": [f"y{j}", w]}[kind])]
+            passages.append(" ".join([r.choice(vocabulary) for _ in range(30)] + words + [r.choice(vocabulary) for _ in range(30)]))
+    rows = [*enumerate(passages), (0, passages[0]), (900, " ".join(r.choice(vocabulary) for _ in range(3000)) + " " + items[-1][1]), (901, "")]
+    ids = {w: i for i, w in enumerate({w for _, t in rows + items for w in t.split()})}
+    coded = lambda t: np.array([ids[w] for w in t.split()], int)
+    want = sorted((d, i, round(s, 6)) for d, t in rows for i, b in items if t and (s := decontam.align(coded(b), coded(t))[0] / (2 * len(b.split()))) >= 0.5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("given")).withColumn("score", F.lit(1))
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    assert len(want) > 400
+    for most, at_once in ((decontam.MOST, decontam.HITS_AT_ONCE), (1, 500)):
+        monkeypatch.setattr(decontam, "MOST", most)
+        monkeypatch.setattr(decontam, "HITS_AT_ONCE", at_once)
+        texts, block = [coded(t) for _, t in rows], decontam.Block(list(range(len(items))), [coded(b).astype(np.uint64) for _, b in items], 0.5)
+        got = sorted((rows[d][0], i, round(s, 6)) for d, i, s, *_ in block.matches([t.astype(np.uint64) for t in texts]))
+        assert got == want
+    assert sorted((x["doc_id"], x["item_id"], round(x["score"], 6)) for x in decontam.contaminated(docs, tests).collect()) == want
+
+
 # -- 4 ----------------------------------------------------------------------------------------------------------------------------
 
 
