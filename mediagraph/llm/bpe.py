@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mediagraph.llm.common import as_bytes
 
-#: Distinct pieces whose ids one Python worker remembers before it starts over.
-PIECES_REMEMBERED = 400_000
+#: Words, pieces and pairs of tokens that one Python worker remembers, about 250, 250 and 120 bytes each.
+WORDS_REMEMBERED, PIECES_REMEMBERED, PAIRS_REMEMBERED = 120_000, 400_000, 300_000
 #: A blank between two characters that aren't white space always begins a piece: no piece has one further on.
 BREAK = re.compile(r"(?<=\S) (?=\S)")
 
@@ -32,6 +32,27 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
+class Memo(dict):
+    """Values by key. When it holds as many as it may, the older half is forgotten but for what has been asked for since."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = max(1, most // 2), {}
+
+    def __missing__(self, key):
+        """A value of the older half moves to the newer one; None where there is none."""
+        value = self.old.get(key)
+        if value is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class Vocabulary:
     """Tokens by rank, merging, and the validity of neighbouring tokens."""
 
@@ -46,7 +67,23 @@ class Vocabulary:
                 node = node.setdefault(b, {})
             node[-1] = rank
         self.pairs: dict[int, bool] = {}  # by left << 32 | right
+        self._starts: dict[bytes, tuple] = {}
         self._alone: dict[int, bool] = {}
+        self._parts: dict[int, tuple[int, int] | None] = {}
+
+    def starts(self, three: bytes) -> tuple[list[tuple[int, int]], dict | None]:
+        """Length and rank of the tokens that three bytes begin with or are, and the node of the tree behind them."""
+        if len(self._starts) > 100_000:
+            self._starts.clear()
+        found, node = [], self.tree
+        for n, b in enumerate(three, 1):
+            node = node.get(b)
+            if node is None:
+                break
+            if -1 in node:
+                found.append((n, node[-1]))
+        out = self._starts[three] = found, node if len(three) == 3 else None
+        return out
 
     def merged(self, piece: bytes) -> list[bytes]:
         """The parts left when the neighbours of lowest rank are merged again and again."""
@@ -65,13 +102,41 @@ class Vocabulary:
             known = self._alone[rank] = self.merged(self.tokens[rank]) == [self.tokens[rank]]
         return known
 
+    def parts(self, rank: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes the token; None for one of one byte or one that merging never reaches."""
+        if rank not in self._parts:
+            data = self.tokens[rank]
+            parts = [data[i : i + 1] for i in range(len(data))]
+            while len(parts) > 2:
+                least, i = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+                if least >= rank:
+                    break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            self._parts[rank] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+        return self._parts[rank]
+
     def neighbours(self, left: int, right: int) -> bool:
-        """Whether right may follow left; a right that merging never reaches may not."""
-        if len(self.pairs) > 2_000_000:
+        """Whether right may follow left; a token that merging never reaches may not."""
+        if len(self.pairs) > PAIRS_REMEMBERED:
             self.pairs.clear()
-        ok = self.pairs[left << 32 | right] = self.merged(self.tokens[left] + self.tokens[right]) == [self.tokens[left], self.tokens[right]]
+        ok = self.pairs[left << 32 | right] = self.reachable(left) and self.reachable(right) and self._apart(left, right)
         return ok
 
+    def _apart(self, left: int, right: int) -> bool:
+        """Whether no merge goes across the border of the two: taking their merges back, the latest first, the tokens on both sides of
+        the border never make a token that would have been merged before the merge just taken back."""
+        ranks, tokens, before = self.ranks, self.tokens, 1 << 60
+        while True:
+            if ranks.get(tokens[left] + tokens[right], 1 << 60) < before:
+                return False
+            of_left, of_right = self.parts(left), self.parts(right)
+            # of equal ranks, merges go from left to right: the right one is the later
+            if of_left and (left > right or not of_right):
+                before, left = left, of_left[1]
+            elif of_right:
+                before, right = right + 1, of_right[0]
+            else:
+                return True
 
 class PieceEncoder:
     """The last token of each prefix of one piece; grows by exact appends."""
@@ -82,24 +147,29 @@ class PieceEncoder:
     def append(self, more: bytes) -> None:
         v, old = self.v, len(self.data)
         data = self.data = self.data + more
-        last, n, tree, pairs = self.last, len(data), v.tree, v.pairs
+        last, n, pairs, starts = self.last, len(data), v.pairs, v._starts
         last.extend([-1] * len(more))
         for start in range(max(0, old - v.longest + 1), n):
-            before, node, at = last[start], tree, start
+            before = last[start]
             if before < 0 and start:
                 continue
-            while at < n and (node := node.get(data[at])) is not None:
+            three = data[start : start + 3]
+            found, node = starts.get(three) or v.starts(three)
+            before <<= 32
+            for size, rank in found:
+                at = start + size
+                if last[at] < 0 and at > old:
+                    ok = pairs.get(before | rank) if start else v.reachable(rank)
+                    if v.neighbours(before >> 32, rank) if ok is None else ok:
+                        last[at] = rank
+            at = start + 3
+            while node is not None and at < n and (node := node.get(data[at])) is not None:
                 at += 1
                 rank = node.get(-1)
                 if rank is None or at <= old or last[at] >= 0:
                     continue
-                if start:
-                    ok = pairs.get(before << 32 | rank)
-                    if ok is None:
-                        ok = v.neighbours(before, rank)
-                else:
-                    ok = v.reachable(rank)
-                if ok:
+                ok = pairs.get(before | rank) if start else v.reachable(rank)
+                if v.neighbours(before >> 32, rank) if ok is None else ok:
                     last[at] = rank
 
     def ids(self) -> list[int]:
@@ -119,13 +189,12 @@ class TextEncoder:
     """Ids of whole texts: the pattern cuts pieces, each piece is encoded separately."""
 
     def __init__(self, rank_file: bytes, pattern: str):
-        self.v, self.pattern, self._pieces, self._words = Vocabulary(rank_file), regex.compile(pattern), {}, {}
+        self.v, self.pattern = Vocabulary(rank_file), regex.compile(pattern)
+        self._pieces, self._words = Memo(PIECES_REMEMBERED), Memo(WORDS_REMEMBERED)
 
     def piece(self, text: str) -> tuple[int, ...]:
-        known = self._pieces.get(text)
+        known = self._pieces[text]
         if known is None:
-            if len(self._pieces) > PIECES_REMEMBERED:
-                self._pieces.clear()
             data = as_bytes(text)
             whole = self.v.ranks.get(data)
             if whole is not None:
@@ -135,16 +204,16 @@ class TextEncoder:
                 prefix.append(data)
                 known = tuple(prefix.ids())
             if len(data) < 64:
-                self._pieces[text] = known
+                self._pieces.put(text, known)
         return known
 
     def word(self, word: str) -> list[int]:
         """Ids of what follows a BREAK, up to the next one, with its blank."""
-        known = [i for p in self.pattern.findall(" " + word) for i in self.piece(p)]
-        if len(word) < 64:
-            if len(self._words) > PIECES_REMEMBERED:
-                self._words.clear()
-            self._words[word] = known
+        known = self._words[word]
+        if known is None:
+            known = [i for p in self.pattern.findall(" " + word) for i in self.piece(p)]
+            if len(word) < 64:
+                self._words.put(word, known)
         return known
 
     def encode(self, text: str) -> list[int]:
