@@ -20,6 +20,8 @@ from mediagraph.llm.minhash import mixed
 BITS = 16
 IDS = 1 << BITS
 MASK = IDS - 1
+#: The id that ends a text, and that stands before its first id.
+END = 0
 #: An n-gram is kept in the model if it is at least this part of all: at most so many are kept.
 ENTRIES = 1 << 22
 #: Distinct trigrams that one task holds before it sends their counts on.
@@ -33,6 +35,17 @@ def keys_of(*ids: np.ndarray) -> np.ndarray:
     return key
 
 
+def before(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The id before each id of its text, and the one before that; END before the first."""
+    one, two = np.zeros_like(ids), np.zeros_like(ids)
+    one[1:], two[2:] = ids[:-1], ids[:-2]
+    starts = np.cumsum(lengths) - lengths
+    one[starts], two[starts] = END, END
+    second = starts[lengths > 1] + 1
+    two[second] = END
+    return one, two
+
+
 class Counter:
     """Counts of int64 keys; adds arrays up and is emptied when it holds many."""
 
