@@ -44,7 +44,7 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep=["doc_id"])
 
 
 def op9_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

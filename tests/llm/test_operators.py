@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mediagraph.llm import bpe, chat, decontam, lm, minhash, quality, sharding, tokencount, urlfilter, warc
+from mediagraph.llm import bpe, chat, decontam, lm, minhash, ngrams, quality, sharding, tokencount, urlfilter, warc
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -79,6 +79,24 @@ def test_edits_encode_only_what_is_near(encoding):
     assert e.encoded < 8 and e.ids() == encoding.encode_ordinary(e.text)
 
 
+def test_pairs_are_valid_where_merging_keeps_them():
+    v, r = bpe.Vocabulary(bpe.read_ranks(RANKS)), random.Random(4)
+    low = [i for i in v.tokens if i < 3000]
+    pairs = [(r.choice(low), r.choice(low)) for _ in range(8000)] + [(r.randrange(50000), r.randrange(50000)) for _ in range(4000)]
+    pairs += [(v.ranks[t[:k]], v.ranks[t[k:]]) for t in r.sample(sorted(v.ranks), 6000) for k in range(1, len(t)) if t[:k] in v.ranks and t[k:] in v.ranks]
+    for a, b in pairs:
+        assert v.neighbours(a, b) == (v.merged(v.tokens[a] + v.tokens[b]) == [v.tokens[a], v.tokens[b]])
+
+
+@pytest.mark.parametrize("words", [bpe.WORDS_REMEMBERED, 5])
+def test_long_texts_and_forgotten_words(encoding, monkeypatch, words):
+    for name in ("WORDS_REMEMBERED", "PIECES_REMEMBERED", "PAIRS_REMEMBERED"):
+        monkeypatch.setattr(bpe, name, words)
+    encoder, r = bpe.TextEncoder(bpe.read_ranks(RANKS), PATTERN), random.Random(7)
+    for t in (prose(r, 2000), "y" * 20_000, "z9 " * 30_000, " " * 50_000 + "end"):
+        assert encoder.encode(t) == encoding.encode_ordinary(t)
+
+
 def test_prefix_program_grows_by_appends():
     v = bpe.Vocabulary(bpe.read_ranks(RANKS))
     whole, grown = bpe.PieceEncoder(v), bpe.PieceEncoder(v)
@@ -311,7 +329,7 @@ def test_scores_with_fixed_weights_equal_brute_force():
         q = p["emb"][of[given[i]]] @ p["q"]
         a = np.array([np.exp(q @ (p["emb"][of[given[j]]] @ p["k"]) / lm.WIDTH**0.5 + p["near"][i - j]) for j in range(low, i + 1)])
         h = (a / a.sum()) @ np.stack([p["emb"][of[given[j]]] @ p["v"] for j in range(low, i + 1)])
-        logits = h @ p["out"] + p["bias"] + classes.prior[classes.row[given[i]]]
+        logits = h @ p["out"] + p["bias"] + np.log(classes.prior[classes.row[given[i]]])
         of_class = np.exp(logits - logits.max())
         of_class /= of_class.sum()
         every = np.arange(known)
@@ -437,13 +455,110 @@ def test_base_counts(texts):
         assert quality.base_counts((t or "").encode()) == slow_counts(t or "")
 
 
-def test_model_is_a_distribution():
-    stream = np.frombuffer(b"".join(b"\xff\xff" + t + b"\xfe" for t in (b"abracadabra", b"banana", b"abba")), np.uint8)
-    model = quality.Perplexity(*quality.trigram_counts(stream))
-    for context in (b"ab", b"\xff\xff", b"zz", b"ra"):
-        keys = np.array([(context[0] << 16) | (context[1] << 8) | b for b in range(256)])
-        assert abs((10 ** model.log10(keys)).sum() - 1) < 1e-6
-    assert model.log10(np.array([0x616272]))[0] > model.log10(np.array([0x61627A]))[0]
+def test_hash_arrays():
+    r = np.random.default_rng(3)
+    keys = np.unique(r.integers(0, 1 << 48, 5000))
+    table = ngrams.HashArrays(keys, np.arange(len(keys)))
+    wanted = np.concatenate([keys[::3], r.integers(0, 1 << 48, 500)])
+    got, missing = table.get(wanted, -1)
+    place = {k: i for i, k in enumerate(keys.tolist())}
+    assert got.tolist() == [place.get(k, -1) for k in wanted.tolist()] and {wanted[i] for i in missing} == set(wanted.tolist()) - set(place)
+    assert ngrams.HashArrays(keys[:0], keys[:0]).get(wanted)[1].tolist() == list(range(len(wanted)))
+
+
+@pytest.mark.parametrize("entries", [ngrams.ENTRIES, 60])
+def test_model_is_a_distribution(spark, entries):
+    """Also where n-grams are left out of the model; and the probabilities follow from the counts as the method says."""
+    r = np.random.default_rng(2)
+    texts = [np.append(r.geometric(0.3, r.integers(1, 40)).clip(1, 19), 0) for _ in range(60)]
+    counts = {}
+    for t in texts:
+        for i in range(len(t)):
+            g = (*([0, 0, *t.tolist()])[i : i + 2], int(t[i]))
+            counts[g] = counts.get(g, 0) + 1
+    rows = [(int(ngrams.keys_of(*np.array(g)[:, None])[0]), n) for g, n in counts.items()]
+    model, _ = ngrams.train(spark.createDataFrame(rows, "key long, n long"), 20, entries)
+    for context in ((0, 0), (1, 1), (2, 3), (19, 18), (0, 5)):
+        keys = ngrams.keys_of(*(np.full(20, c) for c in context), np.arange(20))
+        assert abs((10.0 ** model.log10(keys)).sum() - 1) < 1e-4
+    if entries == 60:
+        assert len(model.three.hashes) < len(counts)
+        return
+    two, one = {}, {}
+    for a, b, c in counts:
+        two[b, c] = two.get((b, c), 0) + 1
+    for _, c in two:
+        one[c] = one.get(c, 0) + 1
+
+    def discount(table, n):
+        ones = [sum(v == k for v in table.values()) for k in (1, 2, 3, 4)]
+        return ngrams.discounts(ones)[min(n, 3)]
+
+    def slow(a, b, c):
+        total = sum(one.values())
+        left = sum(min(discount(one, n), n) for n in one.values())
+        p = (max(one.get(c, 0) - discount(one, one.get(c, 0)), 0) + left / 20) / total
+        for table, context in ((two, (b,)), (counts, (a, b))):
+            own = {k: n for k, n in table.items() if k[:-1] == context}
+            if own:
+                n = own.get((*context, c), 0)
+                total, left = sum(own.values()), sum(discount(table, n) for n in own.values())
+                p = (n - discount(table, n) + left * p) / total
+        return p
+
+    for g in [*itertools.islice(counts, 40), (3, 3, 3), (0, 19, 19)]:
+        assert abs(10 ** model.log10(ngrams.keys_of(*np.array(g)[:, None]))[0] / slow(*g) - 1) < 1e-3
+
+
+def test_empty_model(spark):
+    model, raw = ngrams.train(spark.createDataFrame([], "key long, n long"), 10)
+    assert np.allclose(10.0 ** model.log10(np.arange(10)), 0.1) and not len(raw["keys"])
+
+
+def sentences(r, n):
+    """Words that follow one another by a rule."""
+    subjects, verbs, things = (["%s%d" % (w, i) for i in range(12)] for w in ("dog", "sees", "house"))
+    return " ".join(f"the {r.choice(subjects)} often {r.choice(verbs)} a {r.choice(things)} today" for _ in range(n))
+
+
+def test_quality_rejects_shuffled_words(spark, monkeypatch):
+    """Base columns and verdict of every row against the rules, with nulls, ties, repeated rows and clashing columns."""
+    r = random.Random(31)
+    rows = [(i, sentences(r, r.randint(20, 60)), ["en", "de", None][i % 3]) for i in range(150)]
+    words = sentences(r, 60).split()
+    r.shuffle(words)
+    rows += [(500, " ".join(words), "en"), (501, " ".join(words), "rare"), (502, sentences(r, 40), "rare"), (503, None, None), (504, "", "en"), rows[7], (505, sentences(r, 20000), "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("kept", F.lit("given")).withColumn("_lang", F.lit(1)).withColumn("_text", F.lit(2))
+    whole = quality.judge(df).collect()
+    monkeypatch.setattr(quality, "BROADCAST_BANDS", 0)
+    light = quality.judge(df, keep=["doc_id", "_lang"]).collect()
+    assert len(whole) == len(light) == len(rows) and light[0].__fields__[:2] == ["doc_id", "_lang"]
+    verdicts = lambda got: sorted((x["doc_id"], x["n_words"], x["kept"], round(x["log10_perplexity"], 9)) for x in got)
+    assert verdicts(whole) == verdicts(light)
+    text = dict((i, t) for i, t, _ in rows)
+    for x in whole:
+        n_words, chars, symbols, lines, again = slow_counts(text[x["doc_id"]] or "") if x["doc_id"] != 505 else (x["n_words"], x["word_chars"], x["n_symbols"], x["n_dup_lines"], x["n_repeat_words"])
+        assert (x["n_words"], x["word_chars"], x["n_symbols"], x["n_dup_lines"], x["n_repeat_words"]) == (n_words, chars, symbols, lines, again)
+        assert x["base_failed"] == (n_words < 50 or 100 * again > 50 * n_words)
+        assert not (x["base_failed"] and x["kept"])
+    by_id = {x["doc_id"]: x for x in whole}
+    for i in (500, 501):
+        assert not by_id[i]["base_failed"] and not by_id[i]["kept"]
+    assert all(x["kept"] for x in whole if not x["base_failed"] and x["doc_id"] not in (500, 501))
+
+
+def test_bands_equal_brute_force(spark):
+    r = random.Random(8)
+    rows = [(lang, bytes([i % 251, i // 251]), r.randint(300, 700)) for i, lang in enumerate(["a"] * 90 + ["b"] * 5 + [""] * 1 + ["a"] * 30)]
+    rows += rows[:40]
+    got = {x["lang"]: (x["low"], x["high"]) for x in quality.bands_of(spark.createDataFrame(rows, "lang string, digest binary, bin long"), 2.0, 30.0).collect()}
+    distinct = {(lang, d): b for lang, d, b in rows}
+    quartile = lambda v, q: sorted(v)[int(np.ceil(q * len(v))) - 1] / 1000
+    every = list(distinct.values())
+    for lang in (None, "a", "b", ""):
+        own = [b for (x, _), b in distinct.items() if lang in (None, x)]
+        q1, q3 = ((len(own) * quartile(own, q) + 30 * quartile(every, q)) / (len(own) + 30) for q in (0.25, 0.75))
+        assert got[lang] == pytest.approx((q1 - 2 * (q3 - q1), q3 + 2 * (q3 - q1)))
 
 
 def test_quality_keeps_prose_and_rejects_noise(spark):
