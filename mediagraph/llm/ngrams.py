@@ -58,12 +58,14 @@ class Counter:
             self.parts.append(np.unique(keys, return_counts=True))
             self.size += len(self.parts[-1][0])
 
-    def full(self) -> bool:
-        if self.size <= HELD:
-            return False
+    def settled(self) -> int:
+        """How many keys are held, once those added are brought together."""
         self.parts = [self.total()]
         self.size = len(self.parts[0][0])
-        return self.size > HELD // 2
+        return self.size
+
+    def full(self) -> bool:
+        return self.size > HELD and self.settled() > HELD // 2
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
         if len(self.parts) == 1:
