@@ -80,13 +80,15 @@ def variant_mismatch(a: Column, b: Column) -> Column:
 
 
 def instrumental(flags: list[Column], texts: list[Column]) -> Column:
-    """Whether a flag says so (text flags 1, true, yes, instrumental) or a text names it."""
-    by_flag = [F.coalesce(folded(F.trim(f)).isin("1", "true", "yes", "instrumental"), F.lit(False)) for f in flags]
-    by_text = [F.coalesce(F.contains(folded(t), F.lit("instrumental")), F.lit(False)) for t in texts]
-    out = F.lit(False)
-    for c in by_flag + by_text:
-        out = out | c
-    return out
+    """What the first flag that decides says: a boolean one decides either way, a text one only with 1, true, yes or instrumental; else
+    whether a text names it."""
+    decided = []
+    for f in flags:
+        boolean = F.typeof(f) == "boolean"
+        said = folded(F.trim(f.cast("string"))).isin("1", "true", "yes", "instrumental")
+        decided.append(F.when(boolean, f.cast("string") == "true").when(said, True))
+    named = [F.coalesce(F.contains(folded(t), F.lit("instrumental")), F.lit(False)) for t in texts]
+    return F.coalesce(*decided, F.array_contains(F.array(*named), True) if named else F.lit(False), F.lit(False))
 
 
 def path_component(c: Column, fallback: str) -> Column:

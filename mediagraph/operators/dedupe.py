@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 from mediagraph.operators.graph import connected, saved
 
-#: Tiers from strong to weak, with their labels.
+#: Tiers from strong to weak, with their labels, and what to do about them.
 TIERS = {"binary_hash": "Exact binary duplicate", "acoustid_track": "Strong perceptual duplicate", "recording_mbid": "Likely same recording", "metadata_duration_candidate": "Weak metadata-duration candidate"}
+ADVICE = {
+    "binary_hash": "Review manually. These files have identical SHA-256 content hashes. No files were changed.",
+    "acoustid_track": "Review manually. These files share an AcoustID track match, but encodes and releases may differ.",
+    "recording_mbid": "Review manually. These files likely point to the same MusicBrainz recording, but release context may differ.",
+    "metadata_duration_candidate": "Review manually. This is a weak candidate based on metadata similarity and duration only.",
+}
 SAFE_TIERS = ("binary_hash",)
 
 
@@ -29,7 +35,7 @@ def duration_islands(tracks: DataFrame, keys: list[str], duration: str, file: st
     """file, keys and island: runs of durations with no gap above the tolerance, of two files or more."""
     w = Window.partitionBy(*keys).orderBy(duration, file)
     gap = F.col(duration) - F.lag(duration).over(w) > tolerance
-    marked = tracks.select(file, *keys, duration).filter(F.col(duration).isNotNull()).withColumn("_new", F.coalesce(gap.cast("int"), F.lit(0)))
+    marked = tracks.select(file, *keys, duration).dropna().withColumn("_new", F.coalesce(gap.cast("int"), F.lit(0)))
     numbered = marked.withColumn("island", F.sum("_new").over(w)).drop("_new")
     return numbered.withColumn("members", F.count("*").over(Window.partitionBy(*keys, "island"))).filter("members > 1")
 
@@ -37,44 +43,69 @@ def duration_islands(tracks: DataFrame, keys: list[str], duration: str, file: st
 def uncovered_groups(tiers: list[DataFrame]) -> DataFrame:
     """tier, bucket, part and file: what each tier adds to the pairs of the stronger ones before it.
 
-    A bucket without covered pairs is one group, one whose pairs are all covered is none. In the others the uncovered pairs make
-    components: one that is complete is a group, else each of its pairs is. Only these mixed buckets are paired.
+    A bucket without covered pairs is one group, one whose pairs are all covered is none. In the others, the mixed ones, the uncovered
+    pairs make components: one that is complete is a group, else each of its pairs is. Files of a mixed bucket that share the same
+    stronger buckets there are one class, so that pairs are counted by classes; only pairs that are groups themselves are listed.
     """
     tiers = [saved(t, "tier") for t in tiers]
     out = tiers[0].select("tier", "bucket", F.lit("all").alias("part"), "file")
     stronger = tiers[0].select("tier", "bucket", "file")
     for tier in tiers[1:]:
-        seen = tier.select("bucket", "file").join(stronger.select(F.col("tier").alias("by"), F.col("bucket").alias("key"), "file"), "file", "left")
+        by = stronger.select(F.col("tier").alias("by"), F.col("bucket").alias("key"), "file")
         size = tier.groupBy("bucket").agg(F.count("*").alias("n"))
-        held = seen.filter("key is not null").groupBy("bucket", "by", "key").agg(F.count("*").alias("k")).filter("k > 1").join(size, "bucket")
+        held = tier.select("bucket", "file").join(by, "file").groupBy("bucket", "by", "key").agg(F.count("*").alias("k")).filter("k > 1").join(size, "bucket")
+        held = saved(held, "held")
         state = held.groupBy("bucket").agg(F.max((F.col("k") == F.col("n")).cast("int")).alias("covered"))
-        fate = size.join(state, "bucket", "left").select("bucket", "n", F.col("covered").isNull().alias("whole"), F.coalesce("covered", F.lit(0)).alias("covered"))
+        fate = size.join(state, "bucket", "left").select("bucket", F.col("covered").isNull().alias("whole"), F.coalesce("covered", F.lit(0)).alias("covered"))
         whole = tier.join(fate.filter("whole"), "bucket").select("tier", "bucket", F.lit("all").alias("part"), "file")
-        some = tier.join(fate.filter("not whole and covered = 0").select("bucket"), "bucket", "left_semi")
-        a, b = some.alias("a"), some.alias("b")
-        pairs = a.join(b, F.expr("a.bucket = b.bucket and a.file < b.file")).select(F.col("a.tier").alias("tier"), F.col("a.bucket").alias("bucket"), F.col("a.file").alias("x"), F.col("b.file").alias("y"))
-        known = stronger.alias("p").join(stronger.alias("q"), F.expr("p.tier = q.tier and p.bucket = q.bucket and p.file < q.file")).select(F.col("p.file").alias("x"), F.col("q.file").alias("y")).distinct()
-        pairs = pairs.join(known.join(pairs.select("x", "y").distinct(), ["x", "y"], "left_semi"), ["x", "y"], "left_anti")
-        pairs = saved(pairs, "pairs")
-        node = lambda f: F.concat_ws("\x1f", "bucket", F.lpad(F.col(f).cast("string"), 20, "0"))
-        edges = pairs.select(node("x").alias("a"), node("y").alias("b"))
-        comp = connected(edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))), edges)
-        placed = pairs.withColumn("a", node("x")).join(comp, F.col("a") == F.col("id")).drop("a", "id")
-        members = comp.groupBy("component").agg(F.count("*").alias("m"))
-        full = placed.groupBy("component").agg(F.count("*").alias("e")).join(members, "component").select("component", (F.col("e") * 2 == F.col("m") * (F.col("m") - 1)).alias("clique"))
-        placed = placed.join(full, "component")
-        part = F.when(F.col("clique"), F.col("component")).otherwise(F.concat_ws("+", F.col("x").cast("string"), F.col("y").cast("string")))
-        split = placed.select("tier", "bucket", part.alias("part"), F.explode(F.array("x", "y")).alias("file")).distinct()
-        out = out.unionByName(whole).unionByName(saved(split, "split"))
+        out = out.unionByName(whole).unionByName(_mixed(tier.join(fate.filter("not whole and covered = 0").select("bucket"), "bucket", "left_semi"), by, held))
         stronger = stronger.unionByName(tier.select("tier", "bucket", "file"))
     return out
 
 
+def _mixed(some: DataFrame, by: DataFrame, held: DataFrame) -> DataFrame:
+    """The groups of mixed buckets."""
+    some = saved(some, "mixed")
+    marks = some.join(by, "file").join(held.select("bucket", "by", "key"), ["bucket", "by", "key"], "left_semi")
+    keys = marks.groupBy("bucket", "file").agg(F.array_sort(F.collect_set(F.concat_ws("\x1f", "by", "key"))).alias("keys"))
+    placed = saved(some.join(keys, ["bucket", "file"], "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>"))), "placed")
+    classes = saved(placed.groupBy("tier", "bucket", "keys").agg(F.min("file").alias("first"), F.count("*").alias("n")), "classes")
+    apart = F.expr("a.bucket = b.bucket and a.first < b.first and not arrays_overlap(a.keys, b.keys)")
+    links = classes.alias("a").join(classes.alias("b"), apart).select("a.bucket", F.col("a.first").alias("x"), F.col("b.first").alias("y"), (F.col("a.n") * F.col("b.n")).alias("pairs"))
+    # files that share no stronger bucket are uncovered with each other, too
+    alone = classes.filter("size(keys) = 0").select("bucket", F.col("first").alias("x"), F.col("first").alias("y"), F.expr("n * (n - 1) div 2").alias("pairs"))
+    links = saved(links.unionByName(alone), "links")
+    node = lambda f: F.concat_ws("\x1f", "bucket", F.lpad(F.col(f).cast("string"), 20, "0"))
+    edges = links.select(node("x").alias("a"), node("y").alias("b"))
+    comp = saved(connected(edges.select(F.explode(F.array("a", "b")).alias("id")), edges), "components")
+    of = classes.select("bucket", "keys", "first", "n", node("first").alias("id")).join(comp, "id")
+    files = of.groupBy("component").agg(F.sum("n").alias("m"))
+    pairs = links.select(node("x").alias("id"), "pairs").join(comp, "id").groupBy("component").agg(F.sum("pairs").alias("e"))
+    clique = saved(pairs.join(files, "component").select("component", (F.col("e") * 2 == F.col("m") * (F.col("m") - 1)).alias("clique")), "cliques")
+    member = saved(placed.join(of.join(clique, "component").select("bucket", "keys", "first", "component", "clique"), ["bucket", "keys"]), "members")
+    groups = member.filter("clique").select("tier", "bucket", F.col("component").alias("part"), "file")
+    rest = member.filter("not clique").select("tier", "bucket", "first", "file")
+    a, b = rest.alias("a"), rest.alias("b")
+    both = a.join(links.alias("l"), F.expr("a.bucket = l.bucket and a.first = l.x")).join(b, F.expr("b.bucket = l.bucket and b.first = l.y and (l.x <> l.y or a.file < b.file)"))
+    both = both.select("a.tier", "a.bucket", F.least("a.file", "b.file").alias("x"), F.greatest("a.file", "b.file").alias("y"))
+    part = F.concat_ws("+", F.col("x").cast("string"), F.col("y").cast("string")).alias("part")
+    return groups.unionByName(both.select("tier", "bucket", part, F.explode(F.array("x", "y")).alias("file")))
+
+
 def numbered_groups(groups: DataFrame, tier_order: list[str] | None = None) -> DataFrame:
     """groups with group_id, which goes by tier and then by first member: a digest-free stable name tier:first file[:part]."""
     rank = F.array_position(F.array(*map(F.lit, tier_order or list(TIERS))), F.col("tier"))
     first = groups.groupBy("tier", "bucket", "part").agg(F.min("file").alias("first"), F.count("*").alias("members"))
-    return groups.join(first, ["tier", "bucket", "part"]).withColumn("tier_rank", rank).withColumn("group_id", F.concat_ws(":", "tier", "first", F.when(F.col("part") != "all", F.col("part"))))
+    named = groups.join(first, ["tier", "bucket", "part"]).withColumn("tier_rank", rank)
+    return named.withColumn("group_id", F.concat_ws(":", "tier", "first", F.when(F.col("part") != "all", F.col("part"))))
+
+
+def ordered_groups(groups: DataFrame, paths: DataFrame) -> DataFrame:
+    """tier, label, advice and files (in the order of their paths, lower-cased, then of file) of each group. paths: file, path."""
+    named = groups.join(paths.select("file", F.lower("path").alias("_path")), "file", "left")
+    listed = named.groupBy("tier", "bucket", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("_path", "file"))), lambda x: x["file"]).alias("files"))
+    pick = lambda d: F.element_at(F.create_map(*[F.lit(x) for pair in d.items() for x in pair]), F.col("tier"))
+    return listed.select("tier", pick(TIERS).alias("label"), pick(ADVICE).alias("advice"), "files")
 
 
 def keeper_order(lossless: Column, bits: Column, rate: Column, bitrate: Column, size: Column, path: Column) -> list[Column]:
@@ -89,23 +120,37 @@ def cleanup_plan(members: DataFrame, order: list[Column], group: str = "group_id
     return members.withColumn("rank", rank).withColumn("action", F.when(~F.col(tier).isin(*SAFE_TIERS), "review").when(F.col("rank") == 1, "keep").otherwise("move"))
 
 
-def action_ledger(plan: DataFrame, present: DataFrame, failed: DataFrame | None = None, file: str = "file", group: str = "group_id") -> DataFrame:
+def action_ledger(
+    plan: DataFrame,
+    present: DataFrame,
+    failed: DataFrame | None = None,
+    file: str = "file",
+    group: str = "group_id",
+    order: str | None = None,
+    cancelled: bool = False,
+) -> DataFrame:
     """What a dry run of the plan would report for each file to move.
 
-    present: files that exist; failed: files whose move fails. After a group's first failure its later files aren't tried.
+    present: files that exist; failed: files whose move fails. Groups go by order (their id where it is None), files by rank. The first
+    failure ends the run: no later file of any group is tried. cancelled: the run is called off before it starts.
     """
+    moves = plan.withColumn("_order", F.col(order or group))
+    if cancelled:
+        return moves.filter("action = 'move'").select(group, file, "rank", F.lit("cancelled_before_start").alias("result"))
     there = present.select(F.col(file), F.lit(True).alias("_there")).distinct()
-    moves = plan.join(there, file, "left").withColumn("_there", F.coalesce("_there", F.lit(False)))
+    moves = moves.join(there, file, "left").withColumn("_there", F.coalesce("_there", F.lit(False)))
     kept = moves.filter("action = 'keep'").select(group, F.col("_there").alias("_kept"))
-    moves = moves.filter("action = 'move'").join(kept, group, "left")
+    moves = moves.filter("action = 'move'").join(kept, group, "left").withColumn("_kept", F.coalesce("_kept", F.lit(False)))
     bad = F.lit(False)
     if failed is not None:
         moves = moves.join(failed.select(F.col(file), F.lit(True).alias("_failed")).distinct(), file, "left")
         bad = F.coalesce("_failed", F.lit(False))
-    moves = moves.withColumn("_bad", bad & F.col("_there"))
-    before = F.max(F.col("_bad").cast("int")).over(Window.partitionBy(group).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
-    status = F.when(~F.coalesce("_kept", F.lit(False)), "skipped_group").when(F.coalesce(before, F.lit(0)) == 1, "not_attempted_cancelled").when(~F.col("_there"), "skipped_missing").when(F.col("_bad"), "failed").otherwise("moved")
-    return moves.withColumn("result", status).select(group, file, "rank", "result")
+    place = F.struct("_order", group, "rank")
+    moves = saved(moves.withColumn("_bad", bad & F.col("_there") & F.col("_kept")).select(group, file, "rank", "_order", "_there", "_kept", "_bad"), "moves")
+    end = moves.agg(F.min(F.when(F.col("_bad"), place)).alias("_end"))  # one row
+    late = F.coalesce(place > F.col("_end"), F.lit(False))
+    status = F.when(late, "not_attempted_cancelled").when(~F.col("_kept"), "skipped_group").when(~F.col("_there"), "skipped_missing").when(F.col("_bad"), "failed").otherwise("moved")
+    return moves.crossJoin(F.broadcast(end)).select(group, file, "rank", status.alias("result"))
 
 
 def cleanup_counters(ledger: DataFrame) -> DataFrame:

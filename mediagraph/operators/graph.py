@@ -2,38 +2,73 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ROOTS: dict[str, str] = {}
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, in the shared folder that the session names in spark.checkpoint.dir.
+
+    Where the session names none, a temporary folder serves a local master only: on a cluster, executors would write to their own disks.
+    """
+    app = spark.sparkContext.applicationId
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _LOCAL_ROOTS.setdefault(app, tempfile.mkdtemp(prefix="spark-"))
+    return f"{root}/mediagraph/{app}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{scratch_root(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables. Results that are still to be computed from them are lost, so call it at the end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir and read again; a temporary one where the session names none."""
-    spark: SparkSession = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _ROOTS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
-    path = f"{root}/mediagraph/{uuid.uuid4().hex}/{name}"
+    """df written to the shared scratch folder and read again: a cut in the lineage that outlives lost executors."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """id and component (its smallest id) of each vertex, by rounds in which every vertex takes the least label near it and every
-    label is replaced by its own label. edges: a, b. Each round is written out; rounds end when no label changes."""
-    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = saved(vertices.select("id").distinct().withColumn("component", F.col("id")), "labels")
+def stars(edges: DataFrame) -> DataFrame:
+    """id and component (the smallest id it reaches) of each end of edges (a, b), by alternating large-star and small-star steps.
+
+    An edge of an id with itself is none. Each round is written to the shared scratch folder; rounds end when every edge joins a
+    smallest id with one that has no other.
+    """
+    e = saved(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("least"))
-        met = labels.join(near, labels["id"] == near["a"], "left").select("id", F.least("component", F.coalesce("least", "component")).alias("component"))
-        hop = labels.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        new = saved(met.join(hop, "component").select("id", F.least("component", "next").alias("component"), (F.least("component", "next")).alias("now")).drop("now"), "labels")
-        changed = new.join(labels.withColumnRenamed("component", "was"), "id").filter("component <> was").isEmpty()
-        labels = new
-        if changed:
-            return labels
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("m").alias("u"), "v")
+        lower = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(lower, "v").filter("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))
+        e = saved(small.unionByName(lower.select(F.col("m").alias("u"), "v")).distinct(), "edges")
+        sides = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u")
+        ends = sides.agg(F.count_if(F.expr("v < u")).alias("below"), F.count_if(F.expr("v > u")).alias("above"))
+        if ends.filter("below > 1 or below = 1 and above > 0").isEmpty():
+            break
+    roots = e.select("u").distinct().select(F.col("u").alias("id"), F.col("u").alias("component"))
+    return e.select(F.col("v").alias("id"), F.col("u").alias("component")).unionByName(roots)
+
+
+def connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """id and component (its smallest id) of each vertex; edges: a, b."""
+    known = vertices.select("id").distinct()
+    return known.join(stars(edges), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def shared_weights(candidates: DataFrame, least: int = 2) -> DataFrame:

@@ -80,7 +80,7 @@ def file_status(fractions: DataFrame, key: str, least: float = 0.05, quiet: floa
     top = fractions.groupBy(key).agg(F.max_by("fraction", "cutoff").alias("top"), F.max("heard").alias("heard"), F.max("frames").alias("frames"))
     found = top.join(elbow(fractions, key, quiet, before), key, "left")
     original, drop = F.col("top") >= least, F.col("kbps").isNotNull()
-    status = F.when(F.col("frames") == 0, "No audio data.").when(F.col("heard") == 0, "No significant frames.").when(original, "Likely ORIGINAL").when(drop, F.concat(F.lit("Likely UPSCALED from <= "), F.col("kbps"), F.lit(" kbps"))).otherwise("Inconclusive (no cutoff match)")
+    status = F.when(F.col("frames") == 0, "No audio data.").when(F.col("heard") == 0, "No significant frames.").when(original, "Likely ORIGINAL").when(drop, F.concat(F.lit("Likely UPSCALED from <="), F.col("kbps"), F.lit(" kbps"))).otherwise("Inconclusive (no cutoff match)")
     share = (F.col("top") - least) / (1 - least)
     sure = F.when(F.col("heard") == 0, F.lit(0.0)).when(original, F.least(F.lit(1.0), F.greatest(F.lit(0.0), share))).when(drop, F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col("fraction")))).otherwise(0.0)
     return found.select(key, status.alias("status"), sure.alias("confidence"))

@@ -124,55 +124,94 @@ def j13(s, d):
 
 # -- release scores: parts by brand and type as local albums -----------------------------------------------------------------------
 
-_SCORES = """WITH a AS (SELECT p_brand || p_type AS cluster, CAST(p_size AS VARCHAR) AS release, count(*) AS matched, min(p_size) AS size FROM part WHERE p_partkey % 5 <> 0 GROUP BY ALL),
-l AS (SELECT p_brand || p_type AS cluster, count(*) AS n FROM part WHERE p_partkey % 5 <> 0 GROUP BY 1), t AS (SELECT CAST(p_size AS VARCHAR) AS release, count(*) AS tracks, strftime(make_date(1990 + CAST(min(p_size) % 7 AS INT), 1, 1), '%Y-%m-%d') AS date FROM part GROUP BY 1),
-sc AS (SELECT a.cluster, a.release, a.matched, (['official','bootleg','promotion','pseudo-release'])[size % 4 + 1] AS status, t.date,
-  CASE WHEN n = tracks THEN 100 WHEN abs(n - tracks) / n <= 0.33 THEN 40 ELSE -80 END + CASE WHEN matched / n >= 0.66 THEN 5 * matched ELSE 0 END + ([20, -50, -30, -30])[size % 4 + 1] + CASE WHEN size % 3 = 0 THEN 15 ELSE 0 END + CASE WHEN size % 5 = 0 THEN -50 ELSE 0 END + CASE WHEN size % 2 = 0 THEN 10 ELSE 0 END AS score FROM a JOIN l USING (cluster) JOIN t USING (release)),
-tb AS (SELECT *, count(*) OVER w AS k, count(*) FILTER (status = 'official') OVER w AS g, row_number() OVER (PARTITION BY cluster, score ORDER BY status <> 'official', date, release) AS r FROM sc WINDOW w AS (PARTITION BY cluster, score)),
-fin AS (SELECT cluster, release, matched, CAST(score + CASE WHEN k >= 2 AND g >= 2 AND r = 1 THEN 5 ELSE 0 END AS BIGINT) AS score FROM tb),
+#: Even brands have one candidate far ahead, odd ones six of about equal size.
+_RELEASE = "CASE WHEN CAST(right(p_brand, 1) AS INT) % 2 = 0 AND p_partkey % 10 < 9 THEN 0 ELSE p_size % 6 END"
+_SCORES = f"""WITH p AS (SELECT p_partkey, p_brand AS cluster, {_RELEASE} AS k FROM part),
+a AS (SELECT cluster, k, cluster || '-' || k AS release, count(*) AS matched FROM p WHERE p_partkey % 5 <> 0 GROUP BY ALL),
+l AS (SELECT cluster, count(*) AS n FROM p WHERE p_partkey % 5 <> 0 GROUP BY 1), t AS (SELECT cluster || '-' || k AS release, count(*) AS tracks FROM p GROUP BY 1),
+sc AS (SELECT a.cluster, a.release, a.matched, n, tracks, (['official','bootleg','promotion','pseudo-release'])[k % 4 + 1] AS status, (1990 + k % 7) || '-01-01' AS date,
+  CASE WHEN n = tracks THEN 100 WHEN abs(n - tracks) / n <= 0.33 THEN 40 ELSE -80 END + CASE WHEN matched / n >= 0.66 THEN 5 * matched ELSE 0 END + ([20, -50, -30, -30])[k % 4 + 1]
+  + CASE WHEN k % 4 = 0 THEN 15 ELSE 0 END + CASE WHEN k % 5 = 3 THEN -50 ELSE 0 END + CASE WHEN k % 2 = 0 THEN 10 ELSE 0 END AS score FROM a JOIN l USING (cluster) JOIN t USING (release)),
+pl AS (SELECT *, row_number() OVER w AS place, lead(matched, 1, 0) OVER w AS nxt FROM sc WINDOW w AS (PARTITION BY cluster ORDER BY matched DESC, release)),
+dom AS (SELECT cluster, matched / n >= 0.85 AND matched - nxt >= greatest(3, CAST(floor(n * 0.35) AS BIGINT)) AND abs(tracks - n) / n <= 0.33 AS dominant FROM pl WHERE place = 1),
+lk AS (SELECT pl.* FROM pl JOIN dom USING (cluster) WHERE place = 1 OR (place <= 3 AND NOT dominant)),
+tb AS (SELECT *, count(*) OVER w AS ties, count(*) FILTER (status = 'official') OVER w AS good, row_number() OVER (PARTITION BY cluster, score ORDER BY status <> 'official', date, release) AS r FROM lk WINDOW w AS (PARTITION BY cluster, score)),
+fin AS (SELECT cluster, release, matched, TRUE AS looked_up, CAST(score + CASE WHEN ties >= 2 AND good >= 2 AND r = 1 THEN 5 ELSE 0 END AS BIGINT) AS score FROM tb
+  UNION ALL SELECT cluster, release, matched, FALSE, 10 * matched FROM pl WHERE release NOT IN (SELECT release FROM lk)),
 rk AS (SELECT *, row_number() OVER w AS rank, score - lead(score) OVER w AS margin FROM fin WINDOW w AS (PARTITION BY cluster ORDER BY score DESC, matched DESC, release))"""
 
 
-def scored(s, d) -> DataFrame:
-    p = table(s, d, "part").withColumn("cluster", F.concat("p_brand", "p_type")).withColumn("release", F.col("p_size").cast("string"))
+def candidates(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Occurrences (cluster, release, files), sizes (cluster, n) and detailed scores of the candidate releases of each brand."""
+    k = F.when((F.right("p_brand", F.lit(1)).cast("int") % 2 == 0) & (F.col("p_partkey") % 10 < 9), 0).otherwise(F.col("p_size") % 6)
+    p = table(s, d, "part").select("p_partkey", F.col("p_brand").alias("cluster"), k.alias("k")).withColumn("release", F.concat_ws("-", "cluster", "k"))
     local = p.filter("p_partkey % 5 <> 0")
-    a = local.groupBy("cluster", "release").agg(F.count("*").alias("matched"), F.min("p_size").alias("size"))
-    n, t = local.groupBy("cluster").agg(F.count("*").alias("n")), p.groupBy("release").agg(F.count("*").alias("tracks"), F.concat((F.min("p_size") % 7 + 1990), F.lit("-01-01")).alias("date"))
-    size = F.col("size")
-    status = F.element_at(F.array(*map(F.lit, ("official", "Bootleg", "promotion", "pseudo-release"))), size % 4 + 1)
-    points, reasons = A.metadata_points(status, F.when(size % 3 == 0, "Album"), F.when(size % 5 == 0, F.array(F.lit("Live"))), F.when(size % 2 == 0, "Digital Media"))
-    total = A.track_count_points(F.col("n"), F.col("tracks")) + A.recording_points(F.col("matched"), F.col("n")) + points
-    return a.join(n, "cluster").join(t, "release").select("cluster", "release", "matched", F.lower(status).alias("status"), "date", total.alias("score"), reasons.alias("reasons"))
+    counts = local.groupBy("cluster", "release", "k").agg(F.count("*").alias("files"))
+    sizes, tracks = local.groupBy("cluster").agg(F.count("*").alias("n")), p.groupBy("release").agg(F.count("*").alias("tracks"))
+    status = F.element_at(F.array(*map(F.lit, ("official", "Bootleg", "promotion", "pseudo-release"))), F.col("k") % 4 + 1)
+    points, reasons = A.metadata_points(status, F.when(F.col("k") % 4 == 0, "Album"), F.when(F.col("k") % 5 == 3, F.array(F.lit("Live"))), F.when(F.col("k") % 2 == 0, "Digital Media"))
+    total = A.track_count_points(F.col("n"), F.col("tracks")) + A.recording_points(F.col("files"), F.col("n")) + points
+    detailed = counts.join(sizes, "cluster").join(tracks, "release").select(
+        "cluster", "release", F.col("files").alias("matched"), "tracks", F.lower(status).alias("status"), F.concat(F.col("k") % 7 + 1990, F.lit("-01-01")).alias("date"), total.alias("score"), reasons.alias("reasons")
+    )
+    return counts.select("cluster", "release", "files"), sizes, detailed
+
+
+def ranking(s, d) -> DataFrame:
+    return A.ranked(A.composed(*candidates(s, d)))
 
 
 @query("r2_r3_r6_scores", _SCORES + " SELECT cluster, release, CAST(score AS BIGINT) AS score FROM sc")
 def r6(s, d):
-    return scored(s, d).select("cluster", "release", F.col("score").cast("long").alias("score"))
+    return candidates(s, d)[2].select("cluster", "release", F.col("score").cast("long").alias("score"))
 
 
-@query("w6_w7_ranking", _SCORES + " SELECT cluster, release, score, rank, margin FROM rk")
+@query("w6_w7_ranking", _SCORES + " SELECT cluster, release, looked_up, score, rank, margin FROM rk")
 def w6(s, d):
-    r = A.ranked(A.tie_break(scored(s, d)))
-    return r.select("cluster", "release", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"), F.col("margin").cast("long").alias("margin"))
+    return ranking(s, d).select("cluster", "release", "looked_up", *[F.col(c).cast("long").alias(c) for c in ("score", "rank", "margin")])
 
 
-@query("r8_verdict", _SCORES + " SELECT cluster, release, 'selected' AS status, CASE WHEN score < 80 THEN 'low score' WHEN margin < 25 THEN 'small margin' ELSE 'best candidate' END AS reason FROM rk WHERE rank = 1")
+@query(
+    "r8_verdict",
+    _SCORES + """, c AS (SELECT DISTINCT cluster FROM l UNION ALL SELECT DISTINCT 'none-' || cluster FROM l), bad AS (SELECT cluster, min(release) AS release FROM lk WHERE right(cluster, 1) = '3' AND place = 2 GROUP BY 1)
+SELECT c.cluster, coalesce(bad.release, rk.release) AS release, CASE WHEN rk.release IS NULL THEN 'unmatched' WHEN bad.release IS NOT NULL THEN 'error' ELSE 'selected' END AS status,
+  CASE WHEN rk.release IS NULL THEN 'no candidates' WHEN bad.release IS NOT NULL THEN 'lookup failed' WHEN score < 80 THEN 'low score' WHEN margin < 25 THEN 'small margin' ELSE 'best candidate' END AS reason
+FROM c LEFT JOIN rk ON rk.cluster = c.cluster AND rk.rank = 1 LEFT JOIN bad ON bad.cluster = c.cluster""",
+)
 def r8(s, d):
-    return A.verdict(A.ranked(A.tie_break(scored(s, d)))).select("cluster", "release", "status", "reason")
+    counts, sizes, _ = candidates(s, d)
+    every = sizes.select("cluster").unionByName(sizes.select(F.concat(F.lit("none-"), "cluster").alias("cluster")))
+    failed = A.shortlist(counts).filter("rank = 2 and right(cluster, 1) = '3'").select("cluster", "release")
+    return A.verdict(ranking(s, d), clusters=every, failed=failed)
 
 
-@query("r4_order_points", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 60 WHEN 1 THEN 20 ELSE 0 END AS points FROM orders")
+@query("r4_order_points", "SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 60 WHEN 1 THEN 20 WHEN 4 THEN 20 WHEN 6 THEN 20 ELSE 0 END AS points FROM orders")
 def r4(s, d):
-    k = F.col("o_orderkey") % 3
-    arr = lambda v: F.array(*map(F.lit, v))
-    rel = F.when(k == 0, arr("abcd")).when(k == 1, arr("abxcd")).otherwise(arr("bdca"))
-    return table(s, d, "orders").select("o_orderkey", A.order_points(arr("abcd"), rel, F.lit(True)).cast("long").alias("points"))
+    """Same order; one recording more in between; too little in order; not numbered; one track without recording; nothing matched; swapped."""
+    k = F.col("o_orderkey") % 7
+    arr = lambda v: F.array(*map(F.lit, v)).cast("array<string>")
+    local = F.when(k == 5, arr("")).otherwise(arr("abcd"))
+    rel = F.when(k == 1, arr("abxcd")).when(k == 2, arr("bdca")).when(k == 5, arr("")).when(k == 6, arr("abdc")).otherwise(arr("abcd"))
+    return table(s, d, "orders").select("o_orderkey", A.order_points(local, rel, k != 3, F.when(k == 4, 5).otherwise(4)).cast("long").alias("points"))
 
 
-@query("r5_a13_disc_points", "SELECT l_orderkey, CASE WHEN max(l_linenumber) > 6 THEN 0 WHEN max(l_linenumber) = 3 THEN 40 ELSE -30 END AS points FROM lineitem GROUP BY l_orderkey")
+@query(
+    "r5_a13_disc_points",
+    """WITH lo AS (SELECT l_orderkey AS c, l_linenumber AS pos, l_partkey AS rec, nullif(l_linenumber % 3, 0) AS disc FROM lineitem WHERE l_orderkey % 6 <> 5 OR l_linenumber = 3),
+re AS (SELECT l_orderkey AS c, l_linenumber AS pos, l_partkey AS rec, nullif(CASE l_orderkey % 6 WHEN 1 THEN l_linenumber % 2 WHEN 2 THEN 3 - l_linenumber % 3 ELSE l_linenumber % 3 END, 0) AS disc FROM lineitem WHERE l_orderkey % 6 <> 3 AND l_partkey % 7 <> 0),
+lc AS (SELECT c, max(coalesce(disc, 0)) AS n FROM lo GROUP BY 1), rc AS (SELECT c, max(coalesce(disc, 0)) AS n FROM re GROUP BY 1),
+lm AS (SELECT c, rec, arg_max(disc, pos) AS disc FROM lo WHERE disc IS NOT NULL GROUP BY ALL), rm AS (SELECT c, rec, arg_max(disc, pos) AS disc FROM re WHERE disc IS NOT NULL GROUP BY ALL),
+sm AS (SELECT lm.c, bool_and(rm.disc IS NULL OR rm.disc = lm.disc) AS same FROM lm LEFT JOIN rm ON rm.c = lm.c AND rm.rec = lm.rec GROUP BY 1)
+SELECT lc.c AS cluster, CASE WHEN lc.n = 0 THEN 0 WHEN lc.n = coalesce(rc.n, 0) AND coalesce(same, FALSE) THEN 40 WHEN lc.n <> coalesce(rc.n, 0) THEN -30 ELSE 0 END AS points
+FROM lc LEFT JOIN rc USING (c) LEFT JOIN sm USING (c)""",
+)
 def r5(s, d):
-    t = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("m"))
-    return t.select("l_orderkey", A.disc_points(F.when(F.col("m") <= 6, F.col("m")), F.lit(3)).cast("long").alias("points"))
+    """Equal and unequal layouts, unequal counts, releases without tracks, albums without disc numbers."""
+    k, n = F.col("l_orderkey") % 6, F.col("l_linenumber")
+    t = table(s, d, "lineitem").select(F.col("l_orderkey").alias("cluster"), n.alias("position"), F.col("l_partkey").alias("recording"), k.alias("k"), n.alias("n"))
+    local = t.filter("k <> 5 or n = 3").withColumn("disc", F.col("n") % 3)
+    release = t.filter("k <> 3 and recording % 7 <> 0").withColumn("disc", F.expr("case k when 1 then n % 2 when 2 then 3 - n % 3 else n % 3 end"))
+    return A.disc_layout(local, release).select("cluster", F.col("points").cast("long").alias("points"))
 
 
 @query("a8_track_count", "SELECT l_orderkey, CASE WHEN l_orderkey % 2 = 0 THEN 99 ELSE sum(l_linenumber) END::BIGINT AS tracks FROM lineitem GROUP BY l_orderkey")

@@ -14,9 +14,13 @@ EXTENSIONS = (".mp3", ".flac", ".m4a", ".ogg", ".opus", ".wav", ".aiff", ".wma")
 #: documents as files: the SQL twin of files().
 FILES_SQL = """f AS (SELECT doc_id AS file_id, '/lib/' || source || '/' || lang || '/' || doc_id || (['.mp3','.flac','.m4a','.ogg','.opus','.wav','.aiff','.wma'])[doc_id % 8 + 1] AS path,
   (['.mp3','.flac','.m4a','.ogg','.opus','.wav','.aiff','.wma'])[doc_id % 8 + 1] AS ext, n_chars AS size_bytes, text AS content, CASE WHEN doc_id % 2 = 0 THEN 16 ELSE 24 END AS bits,
-  CASE WHEN doc_id % 3 = 0 THEN 96000 ELSE 44100 END AS rate, doc_id % 50 AS ac, (doc_id % 100) / 100.0 AS score, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 40 END AS rec FROM documents)"""
+  CASE WHEN doc_id % 3 = 0 THEN 96000 ELSE 44100 END AS rate, doc_id % 50 AS ac, (doc_id % 100) / 100.0 AS score, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 40 END AS rec,
+  lang AS title, source AS artist, n_chars / 10 AS dur FROM documents)"""
 PAIRS_SQL = f"""WITH RECURSIVE {FILES_SQL},
-k AS (SELECT 1 AS t, sha256(content) AS bucket, file_id FROM f UNION ALL SELECT 2, CAST(ac AS VARCHAR), file_id FROM f WHERE score >= 0.85 UNION ALL SELECT 3, CAST(rec AS VARCHAR), file_id FROM f WHERE rec IS NOT NULL),
+isl AS (SELECT *, CASE WHEN dur - lag(dur) OVER w > 2.0 THEN 1 ELSE 0 END AS new FROM f WINDOW w AS (PARTITION BY title, artist ORDER BY dur, file_id)),
+md AS (SELECT file_id, concat_ws('|', title, artist, CAST(sum(new) OVER (PARTITION BY title, artist ORDER BY dur, file_id) AS VARCHAR)) AS bucket FROM isl),
+k AS (SELECT 1 AS t, sha256(content) AS bucket, file_id FROM f UNION ALL SELECT 2, CAST(ac AS VARCHAR), file_id FROM f WHERE score >= 0.85 UNION ALL SELECT 3, CAST(rec AS VARCHAR), file_id FROM f WHERE rec IS NOT NULL
+  UNION ALL SELECT 4, bucket, file_id FROM md),
 p AS (SELECT a.t, a.bucket, a.file_id AS a, b.file_id AS b FROM k a JOIN k b ON a.t = b.t AND a.bucket = b.bucket AND a.file_id < b.file_id),
 e AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.a = p.a AND q.b = p.b AND q.t < p.t)),
 s AS (SELECT t, bucket, a, b FROM e UNION ALL SELECT t, bucket, b, a FROM e),
@@ -26,7 +30,8 @@ g AS (SELECT t, bucket, c, list_sort(list(n)) AS files, count(*) AS m FROM c GRO
 ec AS (SELECT e.t, e.bucket, c.c, count(*) AS n FROM e JOIN c ON c.t = e.t AND c.bucket = e.bucket AND c.n = e.a GROUP BY ALL),
 groups AS (SELECT g.t, g.files FROM g JOIN ec USING (t, bucket, c) WHERE ec.n * 2 = m * (m - 1)
   UNION ALL SELECT e.t, [e.a, e.b] FROM e JOIN c ON c.t = e.t AND c.bucket = e.bucket AND c.n = e.a JOIN g ON g.t = e.t AND g.bucket = e.bucket AND g.c = c.c JOIN ec ON ec.t = e.t AND ec.bucket = e.bucket AND ec.c = c.c WHERE ec.n * 2 <> m * (m - 1))"""
-_TIER = "(['binary_hash','acoustid_track','recording_mbid'])[t]"
+_TIER = "(['binary_hash','acoustid_track','recording_mbid','metadata_duration_candidate'])[t]"
+_LABEL = "(['Exact binary duplicate','Strong perceptual duplicate','Likely same recording','Weak metadata-duration candidate'])[t]"
 
 
 def files(s, d) -> DataFrame:
@@ -35,13 +40,17 @@ def files(s, d) -> DataFrame:
     return table(s, d, "documents").select(
         i.alias("file_id"), F.concat(F.lit("/lib/"), "source", F.lit("/"), "lang", F.lit("/"), i, ext).alias("path"), ext.alias("ext"), F.col("n_chars").alias("size_bytes"), F.col("text").alias("content"),
         F.when(i % 2 == 0, 16).otherwise(24).alias("bits"), F.when(i % 3 == 0, 96000).otherwise(44100).alias("rate"), (i % 50).alias("ac"), ((i % 100) / 100).alias("score"), F.when(i % 4 != 0, i % 40).alias("rec"),
+        F.col("lang").alias("title"), F.col("source").alias("artist"), (F.col("n_chars") / 10).alias("dur"),
     )
 
 
 def tiers(s, d) -> DataFrame:
     f = files(s, d)
     hashed = D.by_key(D.worth_hashing(f), F.sha2("content", 256), "binary_hash")
-    return D.uncovered_groups([hashed, D.by_key(f.filter("score >= 0.85"), F.col("ac"), "acoustid_track"), D.by_key(f, F.col("rec"), "recording_mbid")])
+    tracks = f.select("file_id", X.match_token(F.col("title")).alias("title"), X.match_token(F.col("artist")).alias("artist"), "dur")
+    islands = D.duration_islands(tracks, ["title", "artist"], "dur", "file_id")
+    weak = D.by_key(islands, F.concat_ws("|", "title", "artist", "island"), "metadata_duration_candidate")
+    return D.uncovered_groups([hashed, D.by_key(f.filter("score >= 0.85"), F.col("ac"), "acoustid_track"), D.by_key(f, F.col("rec"), "recording_mbid"), weak])
 
 
 def keep_first() -> list:
@@ -85,9 +94,12 @@ def j6(s, d):
     return D.duration_islands(t, ["title", "artist"], "dur", "p_partkey").groupBy("title", "artist", "island").agg(F.min("dur").alias("low"), F.max("dur").alias("high")).drop("island")
 
 
-@query("d6_tiered_duplicates", PAIRS_SQL + f" SELECT {_TIER} AS tier, files FROM groups")
+@query(
+    "d6_tiered_duplicates",
+    PAIRS_SQL + f", m AS (SELECT row_number() OVER () AS g, t, unnest(files) AS file FROM groups) SELECT {_TIER} AS tier, {_LABEL} AS label, list(file ORDER BY lower(path), file) AS files FROM m JOIN f ON f.file_id = m.file GROUP BY g, t",
+)
 def d6(s, d):
-    return tiers(s, d).groupBy("tier", "bucket", "part").agg(F.array_sort(F.collect_list("file")).alias("files")).select("tier", "files")
+    return D.ordered_groups(tiers(s, d), files(s, d).select(F.col("file_id").alias("file"), "path")).select("tier", "label", "files")
 
 
 @query("j7_d5_uncovered_pairs", PAIRS_SQL + f" SELECT {_TIER} AS tier, a, b FROM e")
@@ -122,14 +134,17 @@ def d7(s, d):
     return plan(s, d).select("file", F.col("rank").cast("long").alias("rank"), "action")
 
 
-_LEDGER = _PLAN + """, m AS (SELECT *, file % 7 <> 3 AS there, file % 7 <> 3 AND file % 11 = 5 AS bad FROM plan),
-l AS (SELECT m.file, CASE WHEN NOT k.there THEN 'skipped_group' WHEN coalesce(max(CAST(m.bad AS INT)) OVER (PARTITION BY m.b ORDER BY m.rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'not_attempted_cancelled'
-  WHEN NOT m.there THEN 'skipped_missing' WHEN m.bad THEN 'failed' ELSE 'moved' END AS result FROM m JOIN m k ON k.b = m.b AND k.rank = 1 WHERE m.rank > 1)"""
+_LEDGER = _PLAN + """, m AS (SELECT *, min(file) OVER (PARTITION BY b) AS g, file % 7 <> 3 AS there, file % 7 <> 3 AND file % 11 = 5 AND file > 400 AS bad FROM plan),
+j AS (SELECT m.*, k.there AS kept FROM m JOIN m k ON k.b = m.b AND k.rank = 1 WHERE m.rank > 1), e AS (SELECT g AS eg, rank AS er FROM j WHERE bad AND kept ORDER BY g, rank LIMIT 1),
+l AS (SELECT j.file, CASE WHEN g > eg OR g = eg AND rank > er THEN 'not_attempted_cancelled' WHEN NOT kept THEN 'skipped_group' WHEN NOT there THEN 'skipped_missing' WHEN bad THEN 'failed' ELSE 'moved' END AS result
+  FROM j LEFT JOIN e ON TRUE)"""
 
 
 def ledger(s, d) -> DataFrame:
     f = files(s, d).select(F.col("file_id").alias("file"))
-    return D.action_ledger(plan(s, d), f.filter("file % 7 <> 3"), f.filter("file % 11 = 5"))
+    planned = plan(s, d)
+    first = planned.groupBy("group_id").agg(F.min("file").alias("first"))
+    return D.action_ledger(planned.join(first, "group_id"), f.filter("file % 7 <> 3"), f.filter("file % 11 = 5 and file > 400"), order="first")
 
 
 @query("d8_action_ledger", _LEDGER + " SELECT file, result FROM l")
@@ -168,8 +183,9 @@ def m2(s, d):
     return copy_results(planned, f.filter("file_id % 7 <> 3").select("file_id"), None).select("file_id", "status")
 
 
-@query("m3_tag_eligibility", f"WITH {FILES_SQL} SELECT file_id, CASE WHEN file_id % 5 = 0 THEN 'skipped' WHEN ext IN ('.wma','.aiff') THEN 'error: unsupported' ELSE 'tagged' END AS status FROM f")
+@query("m3_tag_eligibility", f"WITH {FILES_SQL} SELECT file_id, CASE WHEN file_id % 5 = 0 THEN 'skipped' WHEN file_id % 11 = 0 THEN 'unsupported_format' ELSE 'tagged' END AS status FROM f")
 def m3(s, d):
     from mediagraph.operators.plan import tag_eligibility
 
-    return tag_eligibility(files(s, d).withColumn("copied", F.col("file_id") % 5 != 0), "file_id", "path", "ext", F.col("copied")).select("file_id", "status")
+    ext = F.when(F.col("file_id") % 11 == 0, ".ape").otherwise(F.upper("ext"))
+    return tag_eligibility(files(s, d).withColumn("copied", F.col("file_id") % 5 != 0).withColumn("ext", ext), "file_id", "path", "ext", F.col("copied")).select("file_id", "status")

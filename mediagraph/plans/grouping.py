@@ -82,7 +82,7 @@ def w1(s, d):
 
 
 _STATUS = f"""WITH {_ELBOW}, t AS (SELECT a.label, a.fraction AS top, e.cutoff, b.fraction AS low FROM a LEFT JOIN e ON e.label = a.label LEFT JOIN a b ON b.label = e.label AND b.cutoff = e.cutoff WHERE a.cutoff = 20500),
-st AS (SELECT label, CASE WHEN top >= 0.12 THEN 'Likely ORIGINAL' WHEN cutoff IS NOT NULL THEN 'Likely UPSCALED from <= ' || (MAP {{13000: 96, 16000: 128, 19000: 192, 20000: 256, 20500: 320}})[cutoff] || ' kbps' ELSE 'Inconclusive (no cutoff match)' END AS status,
+st AS (SELECT label, CASE WHEN top >= 0.12 THEN 'Likely ORIGINAL' WHEN cutoff IS NOT NULL THEN 'Likely UPSCALED from <=' || (MAP {{13000: 96, 16000: 128, 19000: 192, 20000: 256, 20500: 320}})[cutoff] || ' kbps' ELSE 'Inconclusive (no cutoff match)' END AS status,
   CASE WHEN top >= 0.12 THEN least(1.0, (top - 0.12) / 0.88) WHEN cutoff IS NOT NULL THEN 1 - low ELSE 0.0 END::DOUBLE AS confidence FROM t)"""
 
 

@@ -84,10 +84,14 @@ def p11(s, d):
     return table(s, d, "part").select("p_partkey", X.variant_mismatch(add(2, " (Live)"), add(3, " - LIVE")).alias("v"))
 
 
-@query("p12_instrumental", "SELECT p_partkey, p_size % 5 = 0 OR p_size % 7 = 0 AS v FROM part")
+@query(
+    "p12_instrumental",
+    "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN TRUE WHEN p_size % 3 = 0 THEN p_size % 2 = 0 WHEN p_size % 11 = 0 THEN TRUE ELSE p_size % 7 = 0 END AS v FROM part",
+)
 def p12(s, d):
-    flag = F.when(F.col("p_size") % 5 == 0, " Yes").otherwise("no")
-    return table(s, d, "part").select("p_partkey", X.instrumental([flag], [F.concat("p_type", F.when(F.col("p_size") % 7 == 0, " (Instrumental)").otherwise(""))]).alias("v"))
+    z = F.col("p_size")
+    flags = [F.when(z % 5 == 0, " Yes").otherwise("no"), F.when(z % 3 == 0, z % 2 == 0), F.when(z % 11 == 0, "INSTRUMENTAL")]
+    return table(s, d, "part").select("p_partkey", X.instrumental(flags, [F.concat("p_type", F.when(z % 7 == 0, " (Instrumental)").otherwise(""))]).alias("v"))
 
 
 @query("p13_path_component", r"""SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_replace(url, '[?:/\\*"<>|]+', ' ', 'g'), '\s+', ' ', 'g')), ''), 'Unknown') AS v FROM pages""")
