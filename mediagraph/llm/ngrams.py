@@ -46,6 +46,14 @@ def before(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return one, two
 
 
+def summed_keys(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 class Counter:
     """Counts of int64 keys; adds arrays up and is emptied when it holds many."""
 
@@ -53,9 +61,9 @@ class Counter:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, keys: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, times: np.ndarray | None = None) -> None:
         if len(keys):
-            self.parts.append(np.unique(keys, return_counts=True))
+            self.parts.append(summed_keys(keys, times) if times is not None else np.unique(keys, return_counts=True))
             self.size += len(self.parts[-1][0])
 
     def settled(self) -> int:
@@ -72,10 +80,7 @@ class Counter:
             return self.parts[0]
         keys = np.concatenate([k for k, _ in self.parts] or [np.zeros(0, np.int64)])
         counts = np.concatenate([n for _, n in self.parts] or [np.zeros(0, np.int64)])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-        return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+        return summed_keys(keys, counts)
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
         out = self.total()
