@@ -1,36 +1,12 @@
-"""What several corpus operators share: scratch tables and words."""
+"""What several corpus operators share: scratch tables, tables by name and free column names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from mediagraph.operators.graph import saved, scratch_path
 
-_LOCAL_ROOTS: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a new temporary one where it names none (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="spark-")
-    return _LOCAL_ROOTS[app]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/mediagraph/{uuid.uuid4().hex}/{name}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared scratch folder and reads it back: a cut in the lineage that outlives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["as_bytes", "fresh", "saved", "scratch_path", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,10 +22,6 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
-def text_or_empty(c: str | Column) -> Column:
-    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
-
-
 def as_bytes(value) -> bytes:
     """UTF-8 bytes of an Arrow string scalar; null is empty."""
     return b"" if value is None else value.encode("utf-8", "surrogatepass")

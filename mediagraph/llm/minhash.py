@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediagraph.llm.common import saved
+from mediagraph.operators.graph import stars
 
 BANDS, ROWS = 32, 4
 #: Candidates whose estimated similarity is this far below the threshold are dropped: over five standard errors of the estimate.
@@ -196,22 +197,8 @@ def _window(key: str, *order: str):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and comp (the smallest node it reaches) for every node of edges (u, v), by alternating large-star and small-star.
-
-    Each round is written to the shared scratch folder; rounds end when every edge joins a smallest node with a node that has no other.
-    """
-    e = saved(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("m").alias("u"), "v")
-        lower = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(lower, "v").filter("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))
-        e = saved(small.unionByName(lower.select(F.col("m").alias("u"), "v")).distinct(), "edges")
-        ends = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.count_if(F.expr("v < u")).alias("below"), F.count_if(F.expr("v > u")).alias("above"))
-        if ends.filter("below > 1 or below = 1 and above > 0").isEmpty():
-            break
-    return e.select(F.col("v").alias("node"), F.col("u").alias("comp")).unionByName(e.select("u").distinct().select(F.col("u").alias("node"), F.col("u").alias("comp")))
+    """node and comp (the smallest node it reaches) for every node of edges (u, v), by alternating large-star and small-star."""
+    return stars(edges.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("id").alias("node"), F.col("component").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -612,10 +612,44 @@ def test_section_tokens(docs, texts, encoding, rule):
         assert abs(got[i]["source"]["n_tokens"] - want) < 1e-6
 
 
-def test_token_spans_cover_the_text(encoding):
-    text = "naïve 😀 text"
-    spans = tokencount.token_spans(text, encoding.encode_ordinary(text), {i: encoding.decode_single_token_bytes(i) for i in encoding.encode_ordinary(text)})
-    assert spans[0][0] == 0 and spans[-1][1] == len(text) and all(a <= b for a, b in spans)
+@pytest.mark.parametrize("rule", tokencount.RULES)
+def test_allocation_equals_brute_force(rule):
+    """Character by character, with tokens over several sections, inside one character, and empty sections."""
+    r = random.Random(6)
+    for _ in range(200):
+        text = "".join(r.choice("ab é😀\n") for _ in range(r.randint(0, 12)))
+        data, sizes = text.encode(), []
+        while sum(sizes) < len(data):
+            sizes.append(min(r.randint(1, 9), len(data) - sum(sizes)))
+        cuts = sorted(r.choices(range(len(text) + 1), k=4))
+        bounds = np.array([0, *cuts, len(text)])
+        starts, ends = tokencount.token_spans(data, np.array(sizes, np.int64))
+        of_byte = [i for i, c in enumerate(text) for _ in c.encode()]
+        of_char = [next(k for k in range(5) if bounds[k] <= i < bounds[k + 1]) for i in range(len(text))]
+        want, at = np.zeros(5), 0
+        for n in sizes:
+            first, last = of_byte[at], of_byte[at + n - 1]
+            i = sum(x <= at for x in np.cumsum(sizes))
+            assert (first, last + 1) == (starts[i], ends[i])
+            met = [of_char[i] for i in range(first, last + 1)]
+            if rule == "split":
+                for k in met:
+                    want[k] += 1 / len(met)
+            else:
+                want[{"start": met[0], "end": met[-1], "most": max(sorted(set(met)), key=met.count)}[rule]] += 1
+            at += n
+        assert np.allclose(tokencount.allocate(starts, ends, bounds, rule), want)
+
+
+def test_section_tokens_of_odd_tables(spark, encoding):
+    rows = [(1, None, "z" * 60_000 + "\nrest"), (1, None, "z" * 60_000 + "\nrest"), (None, "s", ""), (2, "s", None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("n_tokens", F.lit("given"))
+    got = tokencount.section_tokens(df, RANKS, PATTERN).collect()
+    assert len(got) == 4 * 4 and sum(r["n_tokens"] for r in got if r["doc_id"] == 1) == 2 * len(encoding.encode_ordinary("\n\n" + rows[0][2]))
+    assert {(r["section"], r["section_bytes"]) for r in got if r["doc_id"] == 2} == {("source", 2), ("lang", 1), ("title", 0), ("body", 0)}
+    assert tokencount.section_tokens(df.limit(0), RANKS, PATTERN).count() == 0
+    with pytest.raises(ValueError, match="none of"):
+        tokencount.section_tokens(df, RANKS, PATTERN, rule="other")
 
 
 # -- 10 ---------------------------------------------------------------------------------------------------------------------------
@@ -651,6 +685,74 @@ def test_urls(spark):
     assert urlfilter.judge_urls(pages.limit(0), spark.createDataFrame([], "url_key long, bad int"), RULES).count() == 0
 
 
+def slow_tree(rows, children=16, repeats=4.0, z=1.96, labelled=5):
+    """Template of each (segments, bad or None) of one host, by recursion over the rows."""
+
+    def walk(part, level, template):
+        ended = [r for r in part if len(r["s"]) == level]
+        for r in ended:
+            r["t"] = template
+        part = [r for r in part if len(r["s"]) > level]
+        kinds = {tuple(r["s"]) for r in part}
+        if len(kinds) == 1:
+            for r in part:
+                r["t"] = [*template, *r["s"][level:]]
+            return
+        values = {r["s"][level] for r in part}
+        wide = len(values) >= children and len(part) < repeats * len(values)
+        groups = {}
+        for r in part:
+            groups.setdefault(len(r["s"]), {}).setdefault("<any>" if wide else r["s"][level], []).append(r)
+        after = {}
+        for branches in groups.values():
+            marks = {k: [r["bad"] for r in v if r["bad"] is not None] for k, v in branches.items()}
+            every = [b for m in marks.values() for b in m]
+            share = (sum(every) + 1) / (len(every) + 2)
+            for k, v in branches.items():
+                m = marks[k]
+                like = len(branches) > 1 and len(m) >= labelled and abs(sum(m) / len(m) - share) < z * (share * (1 - share) / len(m)) ** 0.5
+                after.setdefault("<like>" if like else k, []).extend(v)
+        for k, v in after.items():
+            walk(v, level + 1, [*template, k])
+
+    walk(rows, 0, [])
+
+
+def test_templates_and_verdicts_equal_brute_force(spark):
+    r = random.Random(41)
+    kinds = [("a/spam", 0.95), ("a/news", 0.05), ("a/blog", 0.06), ("b/x/shop", 0.9), ("b/x/docs", 0.1), ("c", 0.2)]
+    rows, labels = [], []
+    for i in range(900):
+        k, share = r.choice(kinds)
+        tail = r.choice([str(i), f"{i}.html", f"w{r.randrange(400)}x/{i}", "fixed", ""])
+        rows.append((i, f"http://h.example.org/{k}/{tail}"))
+        if r.random() < 0.7:
+            labels.append((i, int(r.random() < share)))
+    rows += [(5000, None), (5001, "http://h.example.org"), rows[3]]
+    got = urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "url_key long, bad int"), []).collect()
+    by_key, typed = dict(labels), {}
+    for x in spark.createDataFrame(rows, "page_id long, url string").select("page_id", "url", urlfilter.typed_segments(urlfilter.path_of(F.col("url"))).alias("s")).collect():
+        m = re.search(r"([0-9]+)[^0-9]*$", (x["url"] or "").removeprefix("http://h.example.org"))
+        typed.setdefault("h" if x["url"] else "", []).append({"id": x["page_id"], "s": x["s"], "bad": by_key.get(int(m[1])) if m else None})
+    every = [p for part in typed.values() for p in part]
+    marks = [p["bad"] for p in every if p["bad"] is not None]
+    good, leaves = 1 - sum(marks) / len(marks), {}
+    for host, part in typed.items():
+        slow_tree(part)
+        for p in part:
+            leaves.setdefault((host, tuple(p["t"])), []).append(p)
+    want = {}
+    for (_, t), part in leaves.items():
+        m = [p["bad"] for p in part if p["bad"] is not None]
+        purity = (len(m) - sum(m) + 10 * good) / (len(m) + 10)
+        block = purity < 0.5 and purity + 3 * (purity * (1 - purity) / (len(m) + 10)) ** 0.5 < good
+        for p in part:
+            want[p["id"]] = ("/" + "/".join(t), "block" if block else "allow", round(purity, 6))
+    assert {x["page_id"]: (x["template"], x["verdict"], x["purity"]) for x in got} == want
+    blocked = {x["template"] for x in got if x["verdict"] == "block"}
+    assert blocked and all("spam" in t or "shop" in t for t in blocked)
+
+
 def test_deep_paths_have_templates(spark):
     lone = "/" + "/".join(f"x{i}y" for i in range(60)) + "/7777"
     rows = [(i, f"http://deep.example.org/a/b/c/d/{'news' if i % 2 else 'spam'}/{2000 + i % 9}/{i}") for i in range(60)]
