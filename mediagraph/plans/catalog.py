@@ -10,7 +10,6 @@ from mediagraph.operators import albums as A
 from mediagraph.operators import cache as C
 from mediagraph.operators import lyrics as L
 from mediagraph.operators import resolve as R
-from mediagraph.operators.graph import saved
 from mediagraph.plans.registry import query, table
 from mediagraph.sources import ingest as I
 
@@ -249,7 +248,7 @@ def j9(s, d):
 @query("j10_enrichment", _ASSIGN + " SELECT l.f AS file, coalesce(p.p_name, 'file-' || l.f) AS title, p.p_type AS album FROM l LEFT JOIN r ON r.c = l.c AND r.rec = l.rec AND r.k = l.k LEFT JOIN part p ON p.p_partkey = r.t")
 def j10(s, d):
     p = table(s, d, "part").select(F.col("p_partkey").alias("track"), "p_name", "p_type")
-    return saved(assigned(s, d), "assigned").join(p, "track", "left").select("file", F.coalesce("p_name", F.concat(F.lit("file-"), "file")).alias("title"), F.col("p_type").alias("album"))
+    return assigned(s, d).join(p, "track", "left").select("file", F.coalesce("p_name", F.concat(F.lit("file-"), "file")).alias("title"), F.col("p_type").alias("album"))
 
 
 # -- cache: documents against an older manifest ------------------------------------------------------------------------------------
@@ -350,3 +349,30 @@ def a10(s, d):
 
     e = table(s, d, "events").withColumn("reason", F.when(F.col("event_id") % 9 == 0, " ").otherwise(F.col("event_type")))
     return error_digest(e, "reason", "event_id")
+
+
+@query(
+    "p36_release_summary",
+    "SELECT p_partkey, p_name AS album, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN p_brand || ' & ' || p_type WHEN 2 THEN p_type END AS album_artist, CASE WHEN p_size % 2 = 0 THEN '1990-01' END AS date FROM part",
+)
+def p36(s, d):
+    k = F.col("p_partkey") % 4
+    artist = lambda c: F.struct(F.struct(F.concat(F.lit(" "), c).alias("name")).alias("artist"))
+    two = F.concat_ws("", F.lit("["), F.to_json(artist("p_brand")), F.lit('," & ",'), F.to_json(artist("p_type")), F.lit("]"))
+    credits = F.when(k == 1, two).when(k == 2, F.concat(F.lit("["), F.to_json(artist("p_type")), F.lit("]"))).otherwise(F.lit("[]"))
+    head = F.to_json(F.struct(F.col("p_name").alias("title"), F.when(F.col("p_size") % 2 == 0, "1990-01").alias("date"), F.when(k == 0, F.col("p_brand")).otherwise(" ").alias("artist-credit-phrase")))
+    json = F.concat(F.left(head, F.length(head) - 1), F.lit(',"artist-credit":'), credits, F.lit("}"))
+    r = I.release_summary(json)
+    return table(s, d, "part").select("p_partkey", r["album"].alias("album"), r["album_artist"].alias("album_artist"), r["date"].alias("date"))
+
+
+@query("s14_cache_tables", _CACHE + " SELECT path AS file_id, version FROM o WHERE version = '1.0' AND path IN (SELECT path FROM n)")
+def s14(s, d):
+    from mediagraph.operators.graph import scratch_path
+
+    new, old, _ = manifests(s, d)
+    of = lambda df, name: df.select(F.col("path").alias("file_id"), *([F.col("version").alias(C.TABLES[name])] if C.TABLES[name] else []))
+    path = scratch_path(s, "cache")
+    C.write_tables({name: of(new if name == "files" else old, name) for name in C.TABLES}, path, buckets=8)
+    return C.read_table(s, path, "analysis_results", "1.0").select("file_id", F.col("analyzer_version").alias("version"))
+

@@ -183,6 +183,33 @@ def w9(s, d):
     return M.collision_free(t, "path", ["o", "p", "s", "n", "x"], ["rec"], "rec").select("o", "p", "s", "n", "status", "output_path")
 
 
+_PLANNED = """t AS (SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s, l_linenumber AS n, CAST(l_extendedprice AS VARCHAR) AS x, 'r' || l_partkey % 5 AS rec, l_partkey % 13 = 0 AS lost,
+  CASE WHEN l_partkey % 13 = 0 THEN '/out/_unmatched/' || l_orderkey % 900 || '.flac' ELSE '/out/' || CASE WHEN l_suppkey % 7 < 2 THEN 'Unknown Artist' ELSE 'A B ' || l_suppkey % 7 END || '/Album ' || l_orderkey % 500 || '/'
+    || CASE WHEN l_orderkey % 3 = 0 AND l_linenumber % 3 > 0 THEN l_linenumber % 3 || '-' ELSE '' END || '0' || l_linenumber || ' - ' || CASE WHEN l_linenumber = 7 THEN 'Unknown Title' ELSE 'T ' || l_linenumber END || '.flac' END AS path FROM lineitem),
+a AS (SELECT *, row_number() OVER w AS k, first(rec) OVER w AS first FROM t WINDOW w AS (PARTITION BY path ORDER BY o, p, s, n, x)),
+b AS (SELECT *, CASE WHEN k = 1 THEN 'planned' WHEN rec = first THEN 'duplicate_skipped' ELSE 'renamed' END AS st FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY path, st, rec ORDER BY o, p, s, n, x) AS q FROM b),
+pl AS (SELECT o, p, s, n, CASE WHEN st = 'duplicate_skipped' THEN st WHEN lost THEN 'unmatched' ELSE 'planned' END AS status,
+  CASE WHEN st = 'renamed' THEN replace(path, '.flac', '') || ' [' || rec || CASE WHEN q > 1 THEN '-' || q ELSE '' END || '].flac' ELSE path END AS output_path FROM c)"""
+
+
+def planned(s, d) -> DataFrame:
+    o, p, n = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
+    t = table(s, d, "lineitem").select(
+        o.alias("o"), p.alias("p"), F.col("l_suppkey").alias("s"), n.alias("n"), F.col("l_extendedprice").cast("string").alias("x"),
+        F.concat(F.lit("/in/"), o % 900, F.lit(".flac")).alias("original_path"), (p % 13 != 0).alias("matched"),
+        F.when(F.col("l_suppkey") % 7 == 0, " ").when(F.col("l_suppkey") % 7 > 1, F.concat(F.lit("A/B: "), F.col("l_suppkey") % 7)).alias("album_artist"), F.concat(F.lit("Album  "), o % 500).alias("album"),
+        F.when(n == 7, "???").otherwise(F.concat(F.lit("T "), n)).alias("title"), n.alias("track_number"), (n % 3).alias("disc_number"), F.when(o % 3 == 0, 2).alias("total_discs"),
+        F.when(o % 2 == 0, "flac").alias("extension"), F.concat(F.lit("r"), p % 5).alias("recording"),
+    )
+    return M.planned_files(t, "/out", ["o", "p", "s", "n", "x"], ["recording"])
+
+
+@query("m1_plan_files", f"WITH {_PLANNED} SELECT o, p, s, n, status, output_path FROM pl")
+def m1(s, d):
+    return planned(s, d).select("o", "p", "s", "n", "status", "output_path")
+
+
 @query("p32_container_tags", "SELECT p_partkey, k.container_key, CASE k.field WHEN 'title' THEN p_name WHEN 'artist' THEN p_brand ELSE CAST(p_size AS VARCHAR) END AS value FROM part JOIN (VALUES (0, 'title', 'TITLE'), (0, 'artist', 'ARTIST'), (0, 'track', 'TRACKNUMBER'), (1, 'title', 'TIT2'), (1, 'artist', 'TPE1'), (1, 'track', 'TRCK'), (2, 'title', 'Title'), (2, 'artist', 'Author'), (2, 'track', 'WM/TrackNumber')) k(fam, field, container_key) ON k.fam = p_partkey % 3")
 def p32(s, d):
     ext = F.element_at(F.array(*map(F.lit, (".flac", ".mp3", ".wma"))), (F.col("p_partkey") % 3 + 1).cast("int"))

@@ -57,6 +57,16 @@ def release_tracks(df: DataFrame, json: str) -> DataFrame:
     return t.select("release", "disc", "discs", F.coalesce("t.position", F.col("k") + 1).alias("position"), F.col("t.id").alias("track"), F.coalesce(clean(F.col("t.title")), clean(F.col("t.recording.title"))).alias("title"), F.col("t.recording.id").alias("recording"))
 
 
+def release_summary(json: Column) -> Column:
+    """album, album_artist and date of a selected release: its credit phrase, else the names of its credits one after the other."""
+    shape = "struct<title:string,date:string,`artist-credit-phrase`:string,`artist-credit`:array<string>>"
+    r = F.from_json(json, shape)
+    # a credit is a text between names or an object with an artist
+    part = lambda x: F.when(x.startswith("{"), F.coalesce(F.trim(F.get_json_object(x, "$.artist.name")), F.lit(""))).otherwise(x)
+    joined = F.array_join(F.transform(r["artist-credit"], lambda x: F.coalesce(part(x), F.lit(""))), "")
+    return F.struct(r["title"].alias("album"), F.coalesce(clean(r["artist-credit-phrase"]), clean(joined)).alias("album_artist"), r["date"].alias("date"))
+
+
 def transcript_segments(df: DataFrame, key: str, json: str) -> DataFrame:
     """key, seg_no, start_s, end_s and text; blank texts are left out, bad offsets make both 0."""
     p = df.select(key, F.posexplode(F.from_json(json, "struct<segments:array<struct<text:string,start:string,end:string>>>")["segments"]).alias("seg_no", "s")).filter(clean(F.col("s.text")).isNotNull())

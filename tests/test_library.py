@@ -293,3 +293,20 @@ def test_entry_module_without_the_corpus_operators(tmp_path):
         code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert q and set(o) <= set(q) and 'pipeline' not in q and not any(n.startswith('op') for n in q)"
         done = subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True)
         assert done.returncode == 0, done.stderr
+
+
+def test_cache_tables_cascade_and_versions(spark, tmp_path):
+    ids = lambda *i: spark.createDataFrame([(x, "1.0" if x % 2 else "0.9") for x in i], "file_id long, version string")
+    tables = {n: ids(1, 2, 3, 9) if v is None else ids(1, 2, 3, 4, 5).withColumnRenamed("version", v) for n, v in cache.TABLES.items()}
+    cache.write_tables(tables, f"{tmp_path}/c", buckets=3)
+    got = lambda *a: sorted(r["file_id"] for r in cache.read_table(spark, f"{tmp_path}/c", *a).collect())
+    assert [got("files"), got("fingerprints"), got("analysis_results", "1.0"), got("metadata_resolution", "0.9")] == [[1, 2, 3, 9], [1, 2, 3], [1, 3], [2]]
+    cache.write_tables(tables | {"files": ids()}, f"{tmp_path}/d", buckets=3)
+    assert spark.read.schema("file_id long").parquet(f"{tmp_path}/d/fingerprints").count() == 0
+
+
+def test_planned_files(spark):
+    rows = [("/in/a.mp3", True, "A/B", " ", "T?", 1, 0, 1, None, "r1"), ("/in/b.flac", True, "A B", None, "T", 1, None, None, "MP3", "r2"), ("/in/a.mp3", False, None, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "original_path string, matched boolean, album_artist string, album string, title string, track_number int, disc_number int, total_discs int, extension string, recording string")
+    got = [(r["output_path"], r["status"]) for r in plan.planned_files(df, "/out", ["original_path", "recording"], ["recording"]).orderBy("original_path", "recording").collect()]
+    assert got == [("/out/_unmatched/a.mp3", "unmatched"), ("/out/A B/Unknown Album/01 - T.mp3", "planned"), ("/out/A B/Unknown Album/01 - T.MP3", "planned")]
