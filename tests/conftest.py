@@ -21,6 +21,7 @@ def spark():
         .config("spark.driver.memory", "4g")
         .config("spark.local.dir", root)
         .config("spark.sql.warehouse.dir", f"{root}/warehouse")
+        .config("spark.checkpoint.dir", f"{root}/checkpoints")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
