@@ -10,22 +10,32 @@ from mediagraph.llm.common import saved, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the perplexity bands keep."""
+    """Documents that the base rules and the perplexity bands keep.
+
+    Null and empty texts fail the base rules; a null language has bands of its own; repeated rows are judged each, alike; columns keep
+    their names and values; an empty table stays empty.
+    """
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at a similarity of 0.8 or more."""
+    """One document of each group linked by five-word shingles at a similarity of 0.8 or more, the one of the smallest id.
+
+    Rows without words are linked with nothing and stay; rows without id stay; rows that repeat an id stay or go together.
+    """
     return minhash.one_of_each(docs, size=5, threshold=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of a benchmark item."""
+    """Documents that hold no passage of a benchmark item.
+
+    Rows without id or words stay; rows that repeat an id go if any of them holds a passage; without items all stay.
+    """
     return decontam.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, token_ids and the digests of the ids and of what they decode to."""
+    """doc_id, n_tokens, token_ids and the digests of the ids and of what they decode to, for each row; a null text has no ids."""
     ids = bpe.encode_documents(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return ids.select("doc_id", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
 

@@ -9,7 +9,6 @@ its bytes if all neighbouring pairs are valid.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -18,10 +17,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from mediagraph.llm.common import as_bytes
+from mediagraph.llm.common import as_bytes, kept
 
 #: Words, pieces and pairs of tokens that one Python worker remembers, about 250, 250 and 120 bytes each.
-WORDS_REMEMBERED, PIECES_REMEMBERED, PAIRS_REMEMBERED = 120_000, 400_000, 300_000
+WORDS_REMEMBERED, PIECES_REMEMBERED, PAIRS_REMEMBERED = 60_000, 220_000, 200_000
 #: A blank between two characters that aren't white space always begins a piece: no piece has one further on.
 BREAK = re.compile(r"(?<=\S) (?=\S)")
 
@@ -267,10 +266,9 @@ class EditableText:
         self.pieces = self.pieces[:keep] + fresh_pieces + rest
 
 
-@functools.lru_cache(maxsize=2)
 def encoder_of(rank_file: bytes, pattern: str) -> TextEncoder:
     """One encoder for each Python worker."""
-    return TextEncoder(rank_file, pattern)
+    return kept((rank_file, pattern), lambda: TextEncoder(rank_file, pattern))
 
 
 def encode_documents(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -280,8 +278,8 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, text_col: st
     empty tables; texts of any length are encoded whole, a text at a time.
     """
     out = ["n_tokens", "token_ids", "ids_sha256", "decoded_sha256"]
-    kept = docs.drop(*[c for c in out if c != text_col])
-    return _encoded(kept, rank_path, pattern, text_col, with_ids=True)
+    given = docs.drop(*[c for c in out if c != text_col])
+    return _encoded(given, rank_path, pattern, text_col, with_ids=True)
 
 
 def encode_digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,9 +318,9 @@ def _encoded(docs: DataFrame, rank_path: str, pattern: str, text_col: str, with_
 def decode_documents(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
     """Adds the bytes that the ids stand for; null ids give null."""
     shared = df.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
-    kept = df.drop(out_col)
-    place, names = kept.columns.index(ids_col), kept.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    given = df.drop(out_col)
+    place, names = given.columns.index(ids_col), given.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shared.value, pattern)
@@ -330,4 +328,4 @@ def decode_documents(df: DataFrame, rank_path: str, pattern: str, ids_col: str =
             made = [None if (ids := cell.as_py()) is None else encoder.decode(ids) for cell in batch.column(place)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*names, out_col])
 
-    return kept.mapInArrow(decode, f"{fields}, `{out_col}` binary")
+    return given.mapInArrow(decode, f"{fields}, `{out_col}` binary")

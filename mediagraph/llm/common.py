@@ -6,7 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mediagraph.operators.graph import saved, scratch_path
 
-__all__ = ["as_bytes", "fresh", "saved", "scratch_path", "table"]
+__all__ = ["as_bytes", "fresh", "kept", "saved", "scratch_path", "table"]
+
+
+_KEPT: dict = {}
+
+
+def kept(key, build):
+    """What build makes, kept in this Python worker for its next tasks, until another key is asked for: what an operator remembers goes
+    when the worker turns to another one."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = build()
+    return _KEPT[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
