@@ -23,6 +23,8 @@ IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_END = "\r\n\r\n"
 #: Three records for each page; an archive is one row when it is read, so its length is bounded.
 RECORDS_PER_FILE = 30_000
+#: Digests of repeated payloads that go to every task; more of them are joined by a shuffle.
+REPEATED_SENT = 1_000_000
 
 
 def base32_sha1(text: Column) -> Column:
@@ -57,29 +59,45 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """A column `record` with three records for each row.
 
     Null html is an empty payload, a null url leaves the target out, a null id leaves the page id out of the metadata. Of equal
-    payloads the row with the largest id is the response; of rows that are alike in id and payload one is.
+    payloads the row with the largest id (of equal ids, the largest url) is the response; of rows that are alike in all three one is.
+    Record ids follow from id, url and payload, so a task that runs again gives the same ones. Only digests are compared: a payload goes
+    to another task at most once, and where few payloads repeat (REPEATED_SENT), only those do.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.withColumn("same", F.sha2("payload", 256))
-    last = rows.groupBy("same").agg(F.max(F.struct("page_id", "row")).alias("last"), F.count("*").alias("n")).filter("n > 1").select("same", "last")
-    rows = rows.join(last, "same", "left")
-    revisit = F.coalesce(F.col("last.row") != F.col("row"), F.lit(False))
-    digest = F.concat(F.lit("sha1:"), base32_sha1(F.col("payload")))
-    own = _urn(F.lit("answer"), F.col("row").cast("string"), F.col("page_id").cast("string"))
-    first = _urn(F.lit("answer"), F.col("last.row").cast("string"), F.col("last.page_id").cast("string"))
+    payload = F.coalesce(F.col(html_col), F.lit(""))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.unhex(F.sha2(payload.cast("binary"), 256)).alias("same"))
+    light = rows.select("same", "page_id", "url", base32_sha1(F.col("payload")).alias("digest"), F.octet_length("payload").cast("long").alias("bytes"))
+    alike = light.groupBy("same", "page_id", "url").agg(F.count("*").alias("rows"), F.first("digest").alias("digest"), F.first("bytes").alias("bytes"))
+    rank = F.max(F.struct("page_id", "url"))
+    repeated = saved(alike.groupBy("same").agg(rank.alias("last"), F.sum("rows").alias("n")).filter("n > 1").select("same", "last"), "repeated")
+    few = repeated.count() <= REPEATED_SENT
+    known = F.broadcast(repeated) if few else repeated
+    alone = rows.join(known.select("same"), "same", "left_anti")
+    # keyed by id too, so that the copies of one payload are spread; rows alike in everything are one here
+    last = known.select(F.col("same").alias("l_same"), F.col("last.page_id").alias("l_id"), F.col("last.url").alias("l_url"))
+    at = F.expr("same = l_same and page_id <=> l_id and url <=> l_url")
+    first = rows.join(last, at).groupBy("same", "page_id", "url").agg(F.first("payload").alias("payload"))
+    answers = alone.select("same", "page_id", "url", "payload").unionByName(first.select("same", "page_id", "url", "payload"))
+    answers = answers.select("*", F.lit(0).alias("copy"), base32_sha1(F.col("payload")).alias("digest"), F.octet_length("payload").cast("long").alias("bytes"), F.lit(None).cast(repeated.schema["last"].dataType).alias("last"))
+    is_last = F.col("page_id").eqNullSafe(F.col("last.page_id")) & F.col("url").eqNullSafe(F.col("last.url"))
+    more = alike.join(known, "same").withColumn("least", F.when(is_last, 1).otherwise(0).cast("long")).filter("rows > least")
+    more = more.withColumn("copy", F.explode(F.expr("sequence(least, rows - 1)"))).withColumn("copy", F.col("copy").cast("int"))
+    both = answers.unionByName(more.select("same", "page_id", "url", F.lit("").alias("payload"), "copy", "digest", "bytes", "last"))
+    revisit = F.col("last").isNotNull()
+    name = lambda i, u, copy: _urn(F.lit("answer"), F.hex("same"), F.coalesce(i.cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("+"), u), F.lit("-")), copy.cast("string"))
+    own, origin = name(F.col("page_id"), F.col("url"), F.col("copy")), name(F.col("last.page_id"), F.col("last.url"), F.lit(0))
     target, when = F.concat(F.lit("WARC-Target-URI: "), _header_value(F.col("url"))), F.lit(f"WARC-Date: {date}")
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload"), F.lit("\r\n\r\n"))
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes"), F.lit("\r\n\r\n"))
     answer = _record(
         F.when(revisit, "revisit").otherwise("response"), own,
-        [when, target, F.concat(F.lit("WARC-Payload-Digest: "), digest), F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), first)), F.when(revisit, F.lit(f"WARC-Profile: {IDENTICAL}")), F.lit("Content-Type: application/http; msgtype=response")],
-        F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("payload"))),
+        [when, target, F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")), F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), origin)), F.when(revisit, F.lit(f"WARC-Profile: {IDENTICAL}")), F.lit("Content-Type: application/http; msgtype=response")],
+        F.concat(http, F.col("payload")),
     )
     concurrent = F.concat(F.lit("WARC-Concurrent-To: "), own)
     place = F.coalesce(_header_value(F.col("url")), F.lit("/"))
     request = _record("request", _urn(F.lit("request"), own), [when, target, concurrent, F.lit("Content-Type: application/http; msgtype=request")], F.concat(F.lit("GET "), place, F.lit(" HTTP/1.1\r\n\r\n")))
-    fields = F.concat(F.coalesce(F.concat(F.lit("pageId: "), F.col("page_id"), F.lit("\r\n")), F.lit("")), F.lit("payloadBytes: "), F.octet_length("payload"), F.lit("\r\n"))
+    fields = F.concat(F.coalesce(F.concat(F.lit("pageId: "), F.col("page_id"), F.lit("\r\n")), F.lit("")), F.lit("payloadBytes: "), F.col("bytes"), F.lit("\r\n"))
     metadata = _record("metadata", _urn(F.lit("metadata"), own), [when, target, concurrent, F.lit("Content-Type: application/warc-fields")], fields)
-    return rows.select(F.explode(F.array(request, answer, metadata)).alias("record"))
+    return both.select(F.explode(F.array(request, answer, metadata)).alias("record"))
 
 
 def write_archives(pages: DataFrame, path: str, **columns: str) -> None:

@@ -238,7 +238,9 @@ def test_every_passage_that_reaches_the_least_score_is_found(spark, monkeypatch)
 # -- 4 ----------------------------------------------------------------------------------------------------------------------------
 
 
-def test_archives_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("sent", [warc.REPEATED_SENT, 0])
+def test_archives_round_trip(spark, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(warc, "REPEATED_SENT", sent)
     trap = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nzzzzz"
     rows = [(1, "http://x/1\r\nEvil: y", trap), (2, None, None), (3, "http://x/3", ""), (4, "http://x/4", trap), (5, "http://x/5", "é😀" * 4000), (5, "http://x/5", "é😀" * 4000), (None, "http://x/n", "only")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1))
@@ -256,6 +258,13 @@ def test_archives_round_trip(spark, tmp_path):
     assert {bytes(r["answer"]["payload"]).decode() for r in nested} == {trap, "", "é😀" * 4000, "only"}
     assert all(len(r["requests"]) == len(r["metadata"]) == 1 for r in nested)
     assert warc.archived_pages(pages.limit(0), f"{tmp_path}/e").count() == 0
+    # rows dealt anew give the same records
+    ids = lambda df: sorted(x["record"] for x in warc.page_records(df).collect())
+    assert ids(pages) == ids(pages.repartition(5))
+    alike = spark.createDataFrame([(7, None, "z")] * 4 + [(7, "u", "z"), (None, "u", "z")], "page_id long, url string, html string")
+    got = warc.archived_pages(alike, f"{tmp_path}/r").collect()
+    assert sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in got if r["record_type"] == "revisit") == [(0, "revisit", 7), *[(7, "revisit", 7)] * 4]
+    assert [r["page_id"] for r in got if r["record_type"] == "response"] == [7]
 
 
 # -- 5 ----------------------------------------------------------------------------------------------------------------------------
@@ -785,3 +794,25 @@ def test_pipeline_stages(spark, tmp_path, encoding):
     done = corpus_pipeline.run(spark, str(tmp_path)).collect()
     by_id = {x[0]: x[1] for x in rows}
     assert {x["doc_id"] for x in done} == set(range(40)) and all(x["token_ids"] == encoding.encode_ordinary(by_id[x["doc_id"]]) for x in done)
+
+
+def test_pipeline_stages_take_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows and ids, ties, very long texts, columns with clashing names, and empty tables."""
+    r = random.Random(14)
+    same = prose(r, 120)
+    rows = [(i, prose(r, 120), "en", "s", 0) for i in range(30)]
+    rows += [(50, same, None, None, None), (51, same, "en", "s", 0), (51, same, "en", "s", 0), (None, prose(r, 120), "en", "s", 0), (60, prose(r, 20_000), "en", "s", 0), (None, None, None, None, None), (61, "", "", "", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    for name in ("kept", "_gone", "node", "component_id", "score", "n_words", "_text", "digest"):
+        df = df.withColumn(name, F.lit(1))
+    spark.createDataFrame([(None, None), (1, "a few words that no document has")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = [{*range(30), 50, 51, 60, None}, {*range(30), 50, 60, None}, {*range(30), 50, 60, None}]
+    docs, columns = df, df.columns
+    for (_, stage), ids in zip(corpus_pipeline.STAGES[:-1], want, strict=True):
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns and {x["doc_id"] for x in docs.select("doc_id").collect()} == ids
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 33
+    docs = df.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0
