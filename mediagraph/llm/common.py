@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from mediagraph.operators.graph import saved, scratch_path
@@ -17,10 +21,21 @@ def kept(key, build):
     when the worker turns to another one."""
     if key not in _KEPT:
         _KEPT.clear()
+        give_back()
         _KEPT[key] = build()
     return _KEPT[key]
 
 
+def give_back() -> None:
+    """Returns freed memory of this Python worker to the system, as the executor's processes share one limit."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediagraph.llm.common import saved
+from mediagraph.llm.common import kept, saved
 from mediagraph.llm.minhash import WordHashes
 
 #: Words of test items that go out at once: 8 bytes each, with as many for their seeds.
@@ -216,7 +216,7 @@ def contaminated(
         shared = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            hashes, block = WordHashes(), shared.value
+            hashes, block = kept("word hashes", WordHashes), shared.value
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 texts = [words_of(cell.as_py(), hashes) for cell in batch.column(1)]

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediagraph.llm.common import saved
+from mediagraph.llm.common import kept, saved
 from mediagraph.operators.graph import stars
 
 BANDS, ROWS = 32, 4
@@ -32,7 +32,7 @@ STAR_ROUNDS = 3
 #: Ids that go to every task to pick rows by; more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Words whose hashes one call remembers before it starts over.
-WORDS_REMEMBERED = 500_000
+WORDS_REMEMBERED = 150_000
 
 
 class WordHashes(dict):
@@ -83,7 +83,7 @@ def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
     a, b = universal(BANDS * ROWS)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = kept("word hashes", WordHashes)
         for batch in batches:
             counts, keys, sigs = [], [], []
             for cell in batch.column(1):
@@ -108,7 +108,7 @@ def full_sets(docs: DataFrame, size: int, id_col: str, text_col: str, pairs: Dat
     """node and its whole shingle set, packed, for the documents at the ends of pairs."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = kept("word hashes", WordHashes)
         for batch in batches:
             packed = [shingle_set((cell.as_py() or "").encode(), size, hashes).tobytes() for cell in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "shingles"])
