@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,20 +42,29 @@ def band_ratios(signals: DataFrame, key: list[str], samples: str, rate: Column,
 
     def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, cuts, shares = [], [], []
-            for i, (r, x) in enumerate(zip(batch.column(len(key)).to_pylist(), batch.column(len(key) + 1).to_pylist(), strict=True)):
-                x, r = np.array(x or [], float), r or 0.0
+            column = batch.column(len(key) + 1)
+            samples = column.flatten().to_numpy(zero_copy_only=False)
+            sizes = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
+            starts, hertz = np.cumsum(sizes) - sizes, np.nan_to_num(batch.column(len(key)).to_numpy(zero_copy_only=False))
+            rows, cuts, shares = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0)]
+            # rows of one length and rate are transformed together, about a million samples at a time
+            for n, r in {*zip(sizes.tolist(), hertz.tolist(), strict=True)}:
+                alike = np.flatnonzero((sizes == n) & (hertz == r))
                 wanted = [c for c in cutoffs if c <= min(20500.0, max(0.0, r / 2 - 100))]
-                mags, freqs = np.zeros(0), np.zeros(0)
-                if len(x) and r > 0 and np.abs(x).max() >= 1e-4:
-                    mags, freqs = np.abs(np.fft.rfft(x * np.hanning(len(x)))), np.fft.rfftfreq(len(x), 1 / r)
-                total = mags.sum()
-                for c in wanted:
-                    rows.append(i)
-                    cuts.append(c)
-                    shares.append(float(mags[np.searchsorted(freqs, c, side="right") :].sum() / total) if np.isfinite(total) and total > 0 else 0.0)
-            taken = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns[: len(key)], pa.array(cuts, pa.int32()), pa.array(shares, pa.float64())], names=[*key, "cutoff", "ratio"])
+                for part in np.array_split(alike, -(-len(alike) * max(n, 1) // 1_000_000)):
+                    above = np.zeros((len(part), len(wanted)))
+                    if n and r > 0:
+                        x = samples[starts[part][:, None] + np.arange(n)]
+                        mags, freqs = np.abs(np.fft.rfft(x * np.hanning(n), axis=1)), np.fft.rfftfreq(n, 1 / r)
+                        total = mags.sum(axis=1)
+                        heard = (np.abs(x).max(axis=1) >= 1e-4) & np.isfinite(total) & (total > 0)
+                        for k, c in enumerate(wanted):
+                            above[heard, k] = mags[heard, np.searchsorted(freqs, c, side="right") :].sum(axis=1) / total[heard]
+                    rows.append(np.repeat(part, len(wanted)))
+                    cuts.append(np.tile(np.array(wanted, np.int32), len(part)))
+                    shares.append(above.reshape(-1))
+            taken = batch.take(pa.array(np.concatenate(rows)))
+            yield pa.RecordBatch.from_arrays([*taken.columns[: len(key)], pa.array(np.concatenate(cuts)), pa.array(np.concatenate(shares))], names=[*key, "cutoff", "ratio"])
 
     return given.mapInArrow(ratios, f"{fields}, cutoff int, ratio double")
 

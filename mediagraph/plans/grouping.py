@@ -65,11 +65,11 @@ def a2(s, d):
     return fractions(s, d).select("label", "cutoff", F.round("fraction", 6).alias("fraction"))
 
 
-@query("a3_ratio_summary", f"WITH {RATIOS_SQL} SELECT label, round(min(ratio), 6) AS low, round(quantile_cont(ratio, 0.9), 6) AS p90, round(quantile_cont(ratio, 0.99), 6) AS p99, round(max(ratio), 6) AS high, round(avg(ratio), 6) AS mean FROM r WHERE cutoff = 20500 GROUP BY label")
+@query("a3_ratio_summary", f"WITH {RATIOS_SQL} SELECT label, round(min(ratio), 6) AS low, round(quantile_cont(ratio, 0.9), 6) AS p90, round(quantile_cont(ratio, 0.95), 6) AS p95, round(quantile_cont(ratio, 0.99), 6) AS p99, round(max(ratio), 6) AS high, round(avg(ratio), 6) AS mean FROM r WHERE cutoff = 20500 GROUP BY label")
 def a3(s, d):
-    q = F.percentile("ratio", F.array(F.lit(0.9), F.lit(0.99)))
+    q = F.percentile("ratio", F.array(F.lit(0.9), F.lit(0.95), F.lit(0.99)))
     t = ratios(s, d).filter("cutoff = 20500").groupBy("label").agg(F.min("ratio").alias("low"), q.alias("q"), F.max("ratio").alias("high"), F.avg("ratio").alias("mean"))
-    return t.select("label", *[F.round(c, 6).alias(n) for c, n in (("low", "low"), (F.col("q")[0], "p90"), (F.col("q")[1], "p99"), ("high", "high"), ("mean", "mean"))])
+    return t.select("label", *[F.round(c, 6).alias(n) for c, n in (("low", "low"), (F.col("q")[0], "p90"), (F.col("q")[1], "p95"), (F.col("q")[2], "p99"), ("high", "high"), ("mean", "mean"))])
 
 
 _ELBOW = FRACTIONS_SQL + """, q AS (SELECT *, lag(fraction) OVER (PARTITION BY label ORDER BY cutoff) AS prev FROM a),

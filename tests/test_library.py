@@ -310,3 +310,13 @@ def test_planned_files(spark):
     df = spark.createDataFrame(rows, "original_path string, matched boolean, album_artist string, album string, title string, track_number int, disc_number int, total_discs int, extension string, recording string")
     got = [(r["output_path"], r["status"]) for r in plan.planned_files(df, "/out", ["original_path", "recording"], ["recording"]).orderBy("original_path", "recording").collect()]
     assert got == [("/out/_unmatched/a.mp3", "unmatched"), ("/out/A B/Unknown Album/01 - T.mp3", "planned"), ("/out/A B/Unknown Album/01 - T.MP3", "planned")]
+
+
+def test_lyrics_pairs_with_one_name_misspelled(spark):
+    schema = "id long, title string, artist string, album string, duration double"
+    tracks = spark.createDataFrame([(1, "midnight city", "m eighty three", None, 200.0), (2, "midnight city", "m eighty three", "x", None), (3, " ", "", None, 200.0)], schema)
+    entries = [(10, "mdnight city", "M Eighty Three", "y", 204.0), (11, "Midnight City", "m eighti three", None, 196.0), (12, "Midnight City", "m eighty three", None, 300.0), (13, "other", "nobody", None, 200.0), (14, " ", "", None, 200.0)]
+    catalog = spark.createDataFrame(entries, schema).withColumn("instrumental", F.lit(False))
+    scored = lyrics.matches(tracks, catalog)
+    assert sorted((r["t_id"], r["c_id"]) for r in scored.collect()) == [(1, 10), (1, 11), (2, 12)]
+    assert sorted((r["t_id"], r["c_id"]) for r in lyrics.confident(scored).collect()) == [(1, 10), (1, 11), (2, 12)]
