@@ -57,7 +57,8 @@ def summed_keys(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
 class Counter:
     """Counts of int64 keys; adds arrays up and is emptied when it holds many."""
 
-    def __init__(self):
+    def __init__(self, most: int = HELD):
+        self.most = most
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
@@ -73,7 +74,7 @@ class Counter:
         return self.size
 
     def full(self) -> bool:
-        return self.size > HELD and self.settled() > HELD // 2
+        return self.size > self.most and self.settled() > self.most // 2
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
         if len(self.parts) == 1:
