@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from mediagraph.llm.common import as_bytes, kept
 
 #: Words, pieces and pairs of tokens that one Python worker remembers, about 250, 250 and 120 bytes each.
-WORDS_REMEMBERED, PIECES_REMEMBERED, PAIRS_REMEMBERED = 60_000, 220_000, 200_000
+WORDS_REMEMBERED, PIECES_REMEMBERED, PAIRS_REMEMBERED = 50_000, 170_000, 150_000
 #: A blank between two characters that aren't white space always begins a piece: no piece has one further on.
 BREAK = re.compile(r"(?<=\S) (?=\S)")
 

@@ -25,7 +25,7 @@ END = 0
 #: An n-gram is kept in the model if it is at least this part of all: at most so many are kept.
 ENTRIES = 1 << 22
 #: Distinct trigrams that one task holds before it sends their counts on.
-HELD = 700_000
+HELD = 400_000
 
 
 def keys_of(*ids: np.ndarray) -> np.ndarray:
