@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediagraph.llm import bpe, chat, decontam, lm, minhash, quality, sharding, tokencount, urlfilter, warc
-from mediagraph.llm.common import table
+from mediagraph.llm import bpe, chat, decontam, linededup, lm, minhash, quality, runs, sharding, tokencount, trie, urlfilter, warc
+from mediagraph.llm.common import saved, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -60,6 +60,18 @@ def op10_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digests(linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=40, min_docs=5))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(trie.rebuilt(saved(trie.turn_arrays(table(spark, sf_dir, "conversations")), "turns"))).drop("key")
+
+
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.find_runs(table(spark, sf_dir, "documents"), exponent=4, least=6, change=runs.planted))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_byte_bpe": op2_byte_bpe,
@@ -71,6 +83,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_section_tokens": op9_section_tokens,
     "op10_url_tree": op10_url_tree,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_word_runs": op13_word_runs,
 }
 
 OP3_SQL = """
@@ -114,8 +129,45 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM o GROUP BY conv_id
 """
 
+OP11_SQL = """
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents
+), k AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), s AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id < last) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (last IS NULL OR doc_id = last), '')) AS kept_sha256
+FROM k LEFT JOIN s USING (key) GROUP BY doc_id
+"""
+
+#: CRC-32 by its table of 256 entries; subtrees by the prefixes of each node's smallest member.
+OP12_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, i AS v, 0 AS step FROM range(256) AS r(i)
+  UNION ALL SELECT i, xor(v >> 1, 3988292384 * (v & 1)), step + 1 FROM bits WHERE step < 8
+), crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE step = 8),
+own AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+  SELECT conv_id, turns, xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) % 4 AS h FROM own, crc
+), c AS (
+  SELECT h.conv_id, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) AS path FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 20
+), m AS (SELECT conv_id, len(path) AS n, d, path[1:d] AS key FROM (SELECT *, unnest(range(len(path) + 1)) AS d FROM c)),
+k AS (SELECT d, key, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) = d AS leaf, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends FROM m GROUP BY d, key),
+p AS (SELECT k.*, a.conv_id AS parent FROM k LEFT JOIN k a ON k.d = a.d + 1 AND k.key[1:k.d - 1] = a.key),
+f AS (SELECT m.d, m.key, count(*) FILTER (p.leaf) AS leaves, count(*) FILTER (p.d = m.d + 1) AS children,
+    sum(CASE WHEN p.d = 0 THEN 0 ELSE (p.n_convs - 1) * len(regexp_extract_all(p.key[p.d].t, '[^\x20\x09-\x0D]+')) END) AS saved
+  FROM p JOIN m ON m.conv_id = p.conv_id AND m.d <= p.d GROUP BY m.d, m.key)
+SELECT p.conv_id, CAST(p.d AS BIGINT) AS depth, p.parent AS parent_conv_id, p.n_convs, f.children AS n_children, f.leaves AS n_leaves, CAST(f.saved AS BIGINT) AS saved_tokens, p.ends AS ends_sha256
+FROM p JOIN f ON f.d = p.d AND f.key = p.key
+"""
+
 ORACLES: dict[str, str] = {
     "op3_minhash": OP3_SQL,
     "op4_warc": OP4_SQL,
     "op6_chat": OP6_SQL,
+    "op11_line_dedup": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
 }
