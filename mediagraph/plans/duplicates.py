@@ -174,13 +174,21 @@ def s2(s, d):
     return files(s, d).filter(F.lower("ext") == ".flac").select("file_id", "path")
 
 
-@query("m2_copy_results", f"WITH {FILES_SQL}, t AS (SELECT file_id, '/out/' || file_id % 300 AS target FROM f) SELECT file_id, CASE WHEN file_id % 9 = 0 THEN 'skipped' WHEN file_id % 7 = 3 THEN 'error: source missing' WHEN rn > 1 THEN 'error: target reserved' ELSE 'copied' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY target, file_id % 9 = 0 OR file_id % 7 = 3 ORDER BY file_id) AS rn FROM t)")
+@query(
+    "m2_copy_results",
+    f"""WITH {FILES_SQL}, t AS (SELECT file_id, '/out/' || file_id % 300 AS target, CASE WHEN file_id % 9 = 0 THEN 'duplicate_skipped' WHEN file_id % 9 = 1 THEN 'unmatched' WHEN file_id % 31 = 2 THEN 'error' ELSE 'planned' END AS plan FROM f),
+a AS (SELECT *, plan IN ('planned', 'unmatched') AS active FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY active, target ORDER BY file_id) AS rn FROM a)
+SELECT file_id, CASE WHEN NOT active THEN 'skipped' WHEN rn > 1 THEN 'error: target reserved' WHEN file_id % 7 = 3 THEN 'error: source missing' WHEN file_id % 300 % 10 = 4 THEN 'error: target exists' ELSE 'copied' END AS status FROM r""",
+)
 def m2(s, d):
+    """Among the first rows of their targets there are some without a source: the next row of the target is refused all the same."""
     from mediagraph.operators.plan import copy_results
 
-    f = files(s, d)
-    planned = f.select("file_id", F.concat(F.lit("/OUT/"), F.col("file_id") % 300).alias("target"), F.when(F.col("file_id") % 9 == 0, "duplicate_skipped").otherwise("planned").alias("plan"))
-    return copy_results(planned, f.filter("file_id % 7 <> 3").select("file_id"), None).select("file_id", "status")
+    f, i = files(s, d), F.col("file_id")
+    plan = F.when(i % 9 == 0, "duplicate_skipped").when(i % 9 == 1, "unmatched").when(i % 31 == 2, "error").otherwise("planned")
+    planned = f.select("file_id", F.concat(F.lit("/OUT/"), i % 300).alias("target"), plan.alias("plan"))
+    there = f.filter("file_id % 300 % 10 = 4").select(F.concat(F.lit("/Out/"), i % 300).alias("target"))
+    return copy_results(planned, f.filter("file_id % 7 <> 3").select("file_id"), there).select("file_id", "status")
 
 
 @query("m3_tag_eligibility", f"WITH {FILES_SQL} SELECT file_id, CASE WHEN file_id % 5 = 0 THEN 'skipped' WHEN file_id % 11 = 0 THEN 'unsupported_format' ELSE 'tagged' END AS status FROM f")

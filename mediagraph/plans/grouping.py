@@ -170,42 +170,59 @@ def r7(s, d):
 # -- output plan -------------------------------------------------------------------------------------------------------------------
 
 
-@query(
-    "w9_collision_free",
-    """WITH t AS (SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s, l_linenumber AS n, CAST(l_extendedprice AS VARCHAR) AS x, '/out/' || l_orderkey % 700 || '/' || l_linenumber || '.flac' AS path, 'r' || l_partkey % 5 AS rec FROM lineitem),
-a AS (SELECT *, row_number() OVER w AS k, first(rec) OVER w AS first FROM t WINDOW w AS (PARTITION BY path ORDER BY o, p, s, n, x)),
-b AS (SELECT *, CASE WHEN k = 1 THEN 'planned' WHEN rec = first THEN 'duplicate_skipped' ELSE 'renamed' END AS st FROM a),
-c AS (SELECT *, row_number() OVER (PARTITION BY path, st, rec ORDER BY o, p, s, n, x) AS q FROM b)
-SELECT o, p, s, n, CASE WHEN st = 'renamed' THEN 'planned' ELSE st END AS status, CASE WHEN st = 'renamed' THEN replace(path, '.flac', '') || ' [' || rec || CASE WHEN q > 1 THEN '-' || q ELSE '' END || '].flac' ELSE path END AS output_path FROM c""",
-)
+def _in_turn(rows: str) -> str:
+    """SQL that gives names to the rows of a table t (o, p, s, n, x, rec, path) one after another, as a step of a recursion for each
+    row of a group: what is taken is a list. Groups are paths without any suffix in brackets, as only such paths can meet."""
+    stem, ext = "regexp_replace(path, '\\.[^./]+$', '')", "regexp_extract(path, '(\\.[^./]+)$', 1)"
+    name = f"{stem} || ' [' || rec || CASE WHEN k > 1 THEN '-' || k ELSE '' END || ']' || {ext}"
+    return f"""{rows}, q AS (SELECT *, regexp_replace(path, '( \\[[^\\[\\]]*\\])+(\\.[^./]+)?$', '\\2') AS g FROM t),
+z AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY o, p, s, n, x) AS i FROM q),
+w AS (SELECT g, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS taken, CAST([] AS VARCHAR[]) AS recs, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS output_path FROM (SELECT DISTINCT g FROM q)
+UNION ALL SELECT v.g, v.i, CASE WHEN v.st = 'duplicate_skipped' THEN v.taken ELSE list_append(v.taken, v.out) END, CASE WHEN v.st = 'duplicate_skipped' THEN v.recs ELSE list_append(v.recs, v.rec) END, v.st, v.out
+  FROM (SELECT u.*, CASE WHEN st <> 'renamed' THEN path ELSE free END AS out FROM (
+    SELECT z.*, w.taken, w.recs, CASE WHEN NOT list_contains(w.taken, path) THEN 'planned' WHEN w.recs[list_position(w.taken, path)] = rec THEN 'duplicate_skipped' ELSE 'renamed' END AS st,
+      list_filter(list_transform(range(1, len(w.taken) + 2), lambda k: {name}), lambda c: NOT list_contains(w.taken, c))[1] AS free
+    FROM w JOIN z ON z.g = w.g AND z.i = w.i + 1) u) v),
+pl AS (SELECT z.*, CASE WHEN w.status = 'renamed' THEN 'planned' ELSE w.status END AS status, w.output_path FROM w JOIN z ON z.g = w.g AND z.i = w.i)"""
+
+
+#: Some rows ask for a name that others are given: the first or second suffix of a recording, or a suffix behind a suffix.
+_ASKED = "CASE l_orderkey % 11 WHEN 0 THEN ' [r' || l_partkey % 5 || ']' WHEN 1 THEN ' [r3-2]' WHEN 2 THEN ' [r1] [r2]' WHEN 3 THEN ' [r1] [r2] [r3-3]' ELSE '' END"
+_W9 = f"t AS (SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s, l_linenumber AS n, CAST(l_extendedprice AS VARCHAR) AS x, '/out/' || l_orderkey % 700 || '/' || l_linenumber || {_ASKED} || '.flac' AS path, 'r' || l_partkey % 5 AS rec FROM lineitem)"
+
+
+@query("w9_collision_free", f"WITH RECURSIVE {_in_turn(_W9)} SELECT o, p, s, n, status, output_path FROM pl")
 def w9(s, d):
-    t = table(s, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("n"), F.col("l_extendedprice").cast("string").alias("x"), F.concat(F.lit("/out/"), F.col("l_orderkey") % 700, F.lit("/"), "l_linenumber", F.lit(".flac")).alias("path"), F.concat(F.lit("r"), F.col("l_partkey") % 5).alias("rec"))
+    o, p = F.col("l_orderkey"), F.col("l_partkey")
+    k = o % 11
+    more = F.when(k == 0, F.concat(F.lit(" [r"), p % 5, F.lit("]"))).when(k == 1, " [r3-2]").when(k == 2, " [r1] [r2]").when(k == 3, " [r1] [r2] [r3-3]").otherwise("")
+    t = table(s, d, "lineitem").select(
+        o.alias("o"), p.alias("p"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("n"), F.col("l_extendedprice").cast("string").alias("x"),
+        F.concat(F.lit("/out/"), o % 700, F.lit("/"), "l_linenumber", more, F.lit(".flac")).alias("path"), F.concat(F.lit("r"), p % 5).alias("rec"),
+    )
     return M.collision_free(t, "path", ["o", "p", "s", "n", "x"], ["rec"], "rec").select("o", "p", "s", "n", "status", "output_path")
 
 
-_PLANNED = """t AS (SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s, l_linenumber AS n, CAST(l_extendedprice AS VARCHAR) AS x, 'r' || l_partkey % 5 AS rec, l_partkey % 13 = 0 AS lost,
-  CASE WHEN l_partkey % 13 = 0 THEN '/out/_unmatched/' || l_orderkey % 900 || '.flac' ELSE '/out/' || CASE WHEN l_suppkey % 7 < 2 THEN 'Unknown Artist' ELSE 'A B ' || l_suppkey % 7 END || '/Album ' || l_orderkey % 500 || '/'
-    || CASE WHEN l_orderkey % 3 = 0 AND l_linenumber % 3 > 0 THEN l_linenumber % 3 || '-' ELSE '' END || '0' || l_linenumber || ' - ' || CASE WHEN l_linenumber = 7 THEN 'Unknown Title' ELSE 'T ' || l_linenumber END || '.flac' END AS path FROM lineitem),
-a AS (SELECT *, row_number() OVER w AS k, first(rec) OVER w AS first FROM t WINDOW w AS (PARTITION BY path ORDER BY o, p, s, n, x)),
-b AS (SELECT *, CASE WHEN k = 1 THEN 'planned' WHEN rec = first THEN 'duplicate_skipped' ELSE 'renamed' END AS st FROM a),
-c AS (SELECT *, row_number() OVER (PARTITION BY path, st, rec ORDER BY o, p, s, n, x) AS q FROM b),
-pl AS (SELECT o, p, s, n, CASE WHEN st = 'duplicate_skipped' THEN st WHEN lost THEN 'unmatched' ELSE 'planned' END AS status,
-  CASE WHEN st = 'renamed' THEN replace(path, '.flac', '') || ' [' || rec || CASE WHEN q > 1 THEN '-' || q ELSE '' END || '].flac' ELSE path END AS output_path FROM c)"""
+#: One title in fourteen ends in a recording's short id in brackets, and so do some unmatched files.
+_PLANNED = _in_turn("""t AS (SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s, l_linenumber AS n, CAST(l_extendedprice AS VARCHAR) AS x, 'r' || l_partkey % 5 AS rec, l_partkey % 13 = 0 AS lost,
+  CASE WHEN l_partkey % 13 = 0 THEN '/out/_unmatched/' || l_orderkey % 900 || CASE WHEN l_orderkey % 4 = 0 THEN ' [r2]' ELSE '' END || '.flac' ELSE '/out/' || CASE WHEN l_suppkey % 7 < 2 THEN 'Unknown Artist' ELSE 'A B ' || l_suppkey % 7 END || '/Album ' || l_orderkey % 500 || '/'
+    || CASE WHEN l_orderkey % 3 = 0 AND l_linenumber % 3 > 0 THEN l_linenumber % 3 || '-' ELSE '' END || '0' || l_linenumber || ' - ' || CASE WHEN l_linenumber = 7 THEN 'Unknown Title' ELSE 'T ' || l_linenumber END || CASE WHEN l_partkey % 14 = 1 AND l_linenumber < 7 THEN ' [r4]' ELSE '' END || '.flac' END AS path FROM lineitem)""") + """,
+pm AS (SELECT o, p, s, n, CASE WHEN status = 'planned' AND lost THEN 'unmatched' ELSE status END AS status, output_path FROM pl)"""
 
 
 def planned(s, d) -> DataFrame:
     o, p, n = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
     t = table(s, d, "lineitem").select(
         o.alias("o"), p.alias("p"), F.col("l_suppkey").alias("s"), n.alias("n"), F.col("l_extendedprice").cast("string").alias("x"),
-        F.concat(F.lit("/in/"), o % 900, F.lit(".flac")).alias("original_path"), (p % 13 != 0).alias("matched"),
+        F.concat(F.lit("/in/"), o % 900, F.when(o % 4 == 0, " [r2]").otherwise(""), F.lit(".flac")).alias("original_path"), (p % 13 != 0).alias("matched"),
         F.when(F.col("l_suppkey") % 7 == 0, " ").when(F.col("l_suppkey") % 7 > 1, F.concat(F.lit("A/B: "), F.col("l_suppkey") % 7)).alias("album_artist"), F.concat(F.lit("Album  "), o % 500).alias("album"),
-        F.when(n == 7, "???").otherwise(F.concat(F.lit("T "), n)).alias("title"), n.alias("track_number"), (n % 3).alias("disc_number"), F.when(o % 3 == 0, 2).alias("total_discs"),
+        F.when(n == 7, "???").otherwise(F.concat(F.lit("T "), n, F.when(p % 14 == 1, " [r4]").otherwise(""))).alias("title"), n.alias("track_number"), (n % 3).alias("disc_number"), F.when(o % 3 == 0, 2).alias("total_discs"),
         F.when(o % 2 == 0, "flac").alias("extension"), F.concat(F.lit("r"), p % 5).alias("recording"),
     )
     return M.planned_files(t, "/out", ["o", "p", "s", "n", "x"], ["recording"])
 
 
-@query("m1_plan_files", f"WITH {_PLANNED} SELECT o, p, s, n, status, output_path FROM pl")
+@query("m1_plan_files", f"WITH RECURSIVE {_PLANNED} SELECT o, p, s, n, status, output_path FROM pm")
 def m1(s, d):
     return planned(s, d).select("o", "p", "s", "n", "status", "output_path")
 
