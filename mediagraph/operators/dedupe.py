@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediagraph.operators.graph import connected, saved
+from mediagraph.operators.graph import saved
 
-#: Tiers from strong to weak, with their labels, and what to do about them.
+#: Tiers from strong to weak, with their labels.
 TIERS = {"binary_hash": "Exact binary duplicate", "acoustid_track": "Strong perceptual duplicate", "recording_mbid": "Likely same recording", "metadata_duration_candidate": "Weak metadata-duration candidate"}
+#: What to do about a group of each tier.
 ADVICE = {
-    "binary_hash": "Review manually. These files have identical SHA-256 content hashes. No files were changed.",
-    "acoustid_track": "Review manually. These files share an AcoustID track match, but encodes and releases may differ.",
-    "recording_mbid": "Review manually. These files likely point to the same MusicBrainz recording, but release context may differ.",
-    "metadata_duration_candidate": "Review manually. This is a weak candidate based on metadata similarity and duration only.",
+    "binary_hash": "Same bytes: keep one, the others can go to the trash.",
+    "acoustid_track": "Same sound by its fingerprint: compare formats and releases before choosing.",
+    "recording_mbid": "Same recording by its identifier: an edition of its own may be worth keeping.",
+    "metadata_duration_candidate": "Alike in names and length only: listen before choosing.",
 }
 SAFE_TIERS = ("binary_hash",)
 
@@ -40,56 +41,132 @@ def duration_islands(tracks: DataFrame, keys: list[str], duration: str, file: st
     return numbered.withColumn("members", F.count("*").over(Window.partitionBy(*keys, "island"))).filter("members > 1")
 
 
-def uncovered_groups(tiers: list[DataFrame]) -> DataFrame:
+def uncovered_groups(tiers: list[DataFrame], list_pairs: int | None = 10_000_000) -> DataFrame:
     """tier, bucket, part and file: what each tier adds to the pairs of the stronger ones before it.
 
     A bucket without covered pairs is one group, one whose pairs are all covered is none. In the others, the mixed ones, the uncovered
-    pairs make components: one that is complete is a group, else each of its pairs is. Files of a mixed bucket that share the same
-    stronger buckets there are one class, so that pairs are counted by classes; only pairs that are groups themselves are listed.
+    pairs make components: one without covered pairs is a group, else each of its uncovered pairs is one. A component with more than
+    list_pairs pairs in all comes as one group with a part that begins with "open:" instead of as a list of its pairs, which loses
+    nothing: two of its files are a pair unless they share a stronger bucket. None lists every pair.
+
+    A file has one bucket of each tier at most.
+    """
+    whole, mixed, marks = _fates(tiers)
+    placed, comps = _mixed_components(mixed, marks)
+    found = whole.withColumn("part", F.lit("all")).unionByName(_groups(placed, comps, list_pairs))
+    return found.select("tier", F.col("bucket.name").alias("bucket"), "part", "file")
+
+
+def uncovered_pair_counts(tiers: list[DataFrame]) -> DataFrame:
+    """tier, bucket, component (its first file), files and pairs: how many pairs of files each tier adds to the stronger ones, by the
+    components that they make; no pair is listed."""
+    whole, mixed, marks = _fates(tiers)
+    _, comps = _mixed_components(mixed, marks)
+    every = whole.groupBy("tier", "bucket").agg(F.min("file").alias("component"), F.count("*").alias("files")).withColumn("pairs", F.expr("files * (files - 1) div 2"))
+    counted = comps.groupBy("tier", "bucket", "component").agg(F.min("first").alias("least"), F.sum("n").alias("files"), F.first("pairs").alias("pairs"))
+    counted = counted.select("tier", "bucket", F.col("least").alias("component"), "files", "pairs")
+    return every.unionByName(counted).withColumn("bucket", F.col("bucket.name"))
+
+
+def _fates(tiers: list[DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The files of buckets without covered pairs; those of mixed buckets; and bucket, file and key for the stronger buckets that a file
+    of a mixed one shares with another of its files. Buckets are structs of their tier's place and their name, so all tiers go at once."""
+    every = None
+    for place, tier in enumerate(tiers):
+        one = tier.select("tier", F.struct(F.lit(place).alias("place"), F.col("bucket").alias("name")).alias("bucket"), "file")
+        every = one if every is None else every.unionByName(one)
+    every = saved(every, "tiers")
+    by = every.select(F.col("bucket").alias("by"), "file")
+    both = saved(every.join(by, "file").filter("by.place < bucket.place").select("bucket", "by", "file"), "both")
+    size = every.groupBy("bucket").agg(F.count("*").alias("n"))
+    held = saved(both.groupBy("bucket", "by").agg(F.count("*").alias("k")).filter("k > 1").join(size, "bucket"), "held")
+    state = held.groupBy("bucket").agg(F.max((F.col("k") == F.col("n")).cast("int")).alias("covered"))
+    whole = every.join(state, "bucket", "left_anti")
+    mixed = every.join(state.filter("covered = 0"), "bucket", "left_semi")
+    marks = both.join(held.select("bucket", "by"), ["bucket", "by"], "left_semi")
+    return whole, mixed, marks.select("bucket", "file", F.concat_ws("\x1f", F.col("by.place").cast("string"), "by.name").alias("key"))
+
+
+def _shares(classes: DataFrame, own: list[str]) -> DataFrame:
+    """own columns, subset and sign for each set of keys that a class has: a sum of signs times the counts of these sets counts every
+    file once that has one of the keys, however many it has."""
+    subsets = F.aggregate("keys", F.array(F.array().cast("array<string>")), lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(x)))))
+    each = classes.select(*own, F.explode(F.filter(subsets, lambda s: F.size(s) > 0)).alias("s"))
+    return each.select(*own, F.array_join("s", "\x1e").alias("subset"), F.when(F.size("s") % 2 == 1, 1).otherwise(-1).alias("sign"))
+
+
+def _covered(some: DataFrame, among: DataFrame) -> DataFrame:
+    """some (bucket, first, keys, n) with covered: the files of the bucket among those given that share a key with the class."""
+    counts = _shares(among, ["bucket", "n"]).groupBy("bucket", "subset").agg(F.sum("n").alias("m"))
+    hit = _shares(some, ["bucket", "first"]).join(counts, ["bucket", "subset"]).groupBy("bucket", "first").agg(F.sum(F.col("sign") * F.col("m")).alias("covered"))
+    return some.join(hit, ["bucket", "first"], "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+
+
+def _mixed_components(some: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The files of mixed buckets with the stronger buckets they share there (keys), and the classes of files with equal keys that have
+    an uncovered pair: tier, bucket, first, keys, n, component, pairs (of the component) and covered_pairs.
+
+    The uncovered pairs are the complement of a few cliques, so components are found from the covered side. The class that is covered
+    with fewest files begins a component with all classes it shares no key with; of the rest, which share one, a class joins when it
+    isn't covered with every file of the component. What is left then begins another one. Classes covered with all of their bucket are
+    left out before. With at most m keys a file, components of a bucket, and steps of one, can't be more than grows with the binomial of
+    2 m over m: there are disjoint sets in each, that all meet those of the others.
     """
-    tiers = [saved(t, "tier") for t in tiers]
-    out = tiers[0].select("tier", "bucket", F.lit("all").alias("part"), "file")
-    stronger = tiers[0].select("tier", "bucket", "file")
-    for tier in tiers[1:]:
-        by = stronger.select(F.col("tier").alias("by"), F.col("bucket").alias("key"), "file")
-        size = tier.groupBy("bucket").agg(F.count("*").alias("n"))
-        held = tier.select("bucket", "file").join(by, "file").groupBy("bucket", "by", "key").agg(F.count("*").alias("k")).filter("k > 1").join(size, "bucket")
-        held = saved(held, "held")
-        state = held.groupBy("bucket").agg(F.max((F.col("k") == F.col("n")).cast("int")).alias("covered"))
-        fate = size.join(state, "bucket", "left").select("bucket", F.col("covered").isNull().alias("whole"), F.coalesce("covered", F.lit(0)).alias("covered"))
-        whole = tier.join(fate.filter("whole"), "bucket").select("tier", "bucket", F.lit("all").alias("part"), "file")
-        out = out.unionByName(whole).unionByName(_mixed(tier.join(fate.filter("not whole and covered = 0").select("bucket"), "bucket", "left_semi"), by, held))
-        stronger = stronger.unionByName(tier.select("tier", "bucket", "file"))
-    return out
-
-
-def _mixed(some: DataFrame, by: DataFrame, held: DataFrame) -> DataFrame:
-    """The groups of mixed buckets."""
     some = saved(some, "mixed")
-    marks = some.join(by, "file").join(held.select("bucket", "by", "key"), ["bucket", "by", "key"], "left_semi")
-    keys = marks.groupBy("bucket", "file").agg(F.array_sort(F.collect_set(F.concat_ws("\x1f", "by", "key"))).alias("keys"))
+    keys = marks.join(some.select("bucket").distinct(), "bucket", "left_semi").groupBy("bucket", "file").agg(F.array_sort(F.collect_set("key")).alias("keys"))
     placed = saved(some.join(keys, ["bucket", "file"], "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>"))), "placed")
     classes = saved(placed.groupBy("tier", "bucket", "keys").agg(F.min("file").alias("first"), F.count("*").alias("n")), "classes")
-    apart = F.expr("a.bucket = b.bucket and a.first < b.first and not arrays_overlap(a.keys, b.keys)")
-    links = classes.alias("a").join(classes.alias("b"), apart).select("a.bucket", F.col("a.first").alias("x"), F.col("b.first").alias("y"), (F.col("a.n") * F.col("b.n")).alias("pairs"))
-    # files that share no stronger bucket are uncovered with each other, too
-    alone = classes.filter("size(keys) = 0").select("bucket", F.col("first").alias("x"), F.col("first").alias("y"), F.expr("n * (n - 1) div 2").alias("pairs"))
-    links = saved(links.unionByName(alone), "links")
-    node = lambda f: F.concat_ws("\x1f", "bucket", F.lpad(F.col(f).cast("string"), 20, "0"))
-    edges = links.select(node("x").alias("a"), node("y").alias("b"))
-    comp = saved(connected(edges.select(F.explode(F.array("a", "b")).alias("id")), edges), "components")
-    of = classes.select("bucket", "keys", "first", "n", node("first").alias("id")).join(comp, "id")
-    files = of.groupBy("component").agg(F.sum("n").alias("m"))
-    pairs = links.select(node("x").alias("id"), "pairs").join(comp, "id").groupBy("component").agg(F.sum("pairs").alias("e"))
-    clique = saved(pairs.join(files, "component").select("component", (F.col("e") * 2 == F.col("m") * (F.col("m") - 1)).alias("clique")), "cliques")
-    member = saved(placed.join(of.join(clique, "component").select("bucket", "keys", "first", "component", "clique"), ["bucket", "keys"]), "members")
-    groups = member.filter("clique").select("tier", "bucket", F.col("component").alias("part"), "file")
-    rest = member.filter("not clique").select("tier", "bucket", "first", "file")
-    a, b = rest.alias("a"), rest.alias("b")
+    size = classes.groupBy("bucket").agg(F.sum("n").alias("size"))
+    left = saved(_covered(classes, classes).join(size, "bucket").filter("covered < size").drop("size"), "left")
+    parts: list[DataFrame] = []
+    while not left.isEmpty():
+        hub = left.groupBy("bucket").agg(F.min(F.struct("covered", "first", "keys")).alias("hub"))
+        begun = left.join(hub, "bucket").withColumn("component", F.col("hub.first"))
+        inside = (F.col("first") == F.col("component")) | ~F.arrays_overlap("keys", "hub.keys")
+        begun = saved(begun.withColumn("inside", inside).drop("hub", "covered"), "begun")
+        members, rest = begun.filter("inside").drop("inside"), begun.filter("not inside").drop("inside")
+        while not rest.isEmpty():
+            files = members.groupBy("bucket").agg(F.sum("n").alias("files"))
+            judged = saved(_covered(rest, members).join(files, "bucket").withColumn("joins", F.col("covered") < F.col("files")).drop("covered", "files"), "judged")
+            joins = judged.filter("joins").drop("joins")
+            rest = judged.filter("not joins").drop("joins")
+            if joins.isEmpty():
+                break
+            members = members.unionByName(joins)
+        parts.append(members)
+        left = saved(_covered(rest.drop("component"), rest), "left")
+    if not parts:
+        return placed, classes.limit(0).withColumns({"component": F.col("first"), "pairs": F.lit(0).cast("long"), "covered_pairs": F.lit(0).cast("long")})
+    comps = parts[0]
+    for part in parts[1:]:
+        comps = comps.unionByName(part)
+    comps = saved(comps, "components")
+    sets = _shares(comps, ["bucket", "component", "n"]).groupBy("bucket", "component", "subset", "sign").agg(F.sum("n").alias("m"))
+    covered = sets.groupBy("bucket", "component").agg(F.sum(F.expr("sign * (m * (m - 1) div 2)")).alias("covered_pairs"))
+    files = comps.groupBy("bucket", "component").agg(F.sum("n").alias("m"))
+    totals = files.join(covered, ["bucket", "component"], "left").withColumn("covered_pairs", F.coalesce("covered_pairs", F.lit(0)))
+    totals = totals.withColumn("pairs", F.expr("m * (m - 1) div 2") - F.col("covered_pairs")).drop("m")
+    return placed, saved(comps.join(totals, ["bucket", "component"]), "totals")
+
+
+def _groups(placed: DataFrame, comps: DataFrame, list_pairs: int | None) -> DataFrame:
+    """The groups of mixed buckets."""
+    member = placed.join(comps.select("bucket", "keys", "first", "component", "pairs", "covered_pairs"), ["bucket", "keys"])
+    name = F.col("component").cast("string")
+    whole = member.filter("covered_pairs = 0").select("tier", "bucket", name.alias("part"), "file")
+    over = F.lit(False) if list_pairs is None else F.col("pairs") + F.col("covered_pairs") > list_pairs
+    rest = member.filter("covered_pairs > 0").withColumn("over", over)
+    open_ = rest.filter("over").select("tier", "bucket", F.concat(F.lit("open:"), name).alias("part"), "file")
+    few = saved(rest.filter("not over").select("tier", "bucket", "component", "first", "keys", "file"), "few")
+    sides = few.select("bucket", "component", "first", "keys").dropDuplicates(["bucket", "component", "first"])
+    x, y = sides.alias("x"), sides.alias("y")
+    apart = F.expr("x.bucket = y.bucket and x.component = y.component and (x.first < y.first and not arrays_overlap(x.keys, y.keys) or x.first = y.first and size(x.keys) = 0)")
+    links = x.join(y, apart).select("x.bucket", F.col("x.first").alias("x"), F.col("y.first").alias("y"))
+    a, b = few.alias("a"), few.alias("b")
     both = a.join(links.alias("l"), F.expr("a.bucket = l.bucket and a.first = l.x")).join(b, F.expr("b.bucket = l.bucket and b.first = l.y and (l.x <> l.y or a.file < b.file)"))
     both = both.select("a.tier", "a.bucket", F.least("a.file", "b.file").alias("x"), F.greatest("a.file", "b.file").alias("y"))
     part = F.concat_ws("+", F.col("x").cast("string"), F.col("y").cast("string")).alias("part")
-    return groups.unionByName(both.select("tier", "bucket", part, F.explode(F.array("x", "y")).alias("file")))
+    return whole.unionByName(open_).unionByName(both.select("tier", "bucket", part, F.explode(F.array("x", "y")).alias("file")))
 
 
 def numbered_groups(groups: DataFrame, tier_order: list[str] | None = None) -> DataFrame:

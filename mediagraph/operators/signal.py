@@ -15,6 +15,16 @@ PROBES = (13000, 16000, 19000, 20000, 20500)
 KBPS = {13000: 96, 16000: 128, 19000: 192, 20000: 256, 20500: 320}
 
 
+def effective_cutoff(rate: Column) -> Column:
+    """The highest frequency worth looking at: 100 Hz below half the rate, and no more than the highest probe."""
+    return F.least(F.lit(float(PROBES[-1])), F.greatest(F.lit(0.0), rate.cast("double") / 2 - 100))
+
+
+def probe_cutoffs(rate: Column, cutoffs: tuple[int, ...] = PROBES) -> Column:
+    """The cutoffs that a row of this rate is probed at, ascending."""
+    return F.filter(F.array(*map(F.lit, cutoffs)), lambda c: c <= effective_cutoff(rate))
+
+
 def scrubbed(samples: Column) -> Column:
     """Samples as floats, with 0 for what isn't finite."""
     return F.transform(samples, lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")) | x.isNull(), F.lit(0.0)).otherwise(x).cast("float"))
@@ -87,15 +97,16 @@ def elbow(fractions: DataFrame, key: str, quiet: float = 0.02, before: float = 0
 
 def file_status(fractions: DataFrame, key: str, least: float = 0.05, quiet: float = 0.02, before: float = 0.2) -> DataFrame:
     """key, status and confidence, from the fractions at each probe cutoff; the highest cutoff decides whether a file is original."""
-    top = fractions.groupBy(key).agg(F.max_by("fraction", "cutoff").alias("top"), F.max("heard").alias("heard"), F.max("frames").alias("frames"))
+    top = fractions.groupBy(key).agg(F.max_by("fraction", "cutoff").alias("top"), F.max_by("heard", "cutoff").alias("heard"), F.max_by("frames", "cutoff").alias("frames"))
     found = top.join(elbow(fractions, key, quiet, before), key, "left")
     original, drop = F.col("top") >= least, F.col("kbps").isNotNull()
-    status = F.when(F.col("frames") == 0, "No audio data.").when(F.col("heard") == 0, "No significant frames.").when(original, "Likely ORIGINAL").when(drop, F.concat(F.lit("Likely UPSCALED from <="), F.col("kbps"), F.lit(" kbps"))).otherwise("Inconclusive (no cutoff match)")
+    status = F.when(F.col("frames") == 0, "No audio data.").when(F.col("heard") == 0, "Likely UPSCALED (no significant frames)").when(original, "Likely ORIGINAL").when(drop, F.concat(F.lit("Likely UPSCALED from <="), F.col("kbps"), F.lit(" kbps"))).otherwise("Inconclusive (no cutoff match)")
     share = (F.col("top") - least) / (1 - least)
     sure = F.when(F.col("heard") == 0, F.lit(0.0)).when(original, F.least(F.lit(1.0), F.greatest(F.lit(0.0), share))).when(drop, F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col("fraction")))).otherwise(0.0)
     return found.select(key, status.alias("status"), sure.alias("confidence"))
 
 
-def suspects(results: DataFrame) -> DataFrame:
-    """What isn't likely original, errors included."""
-    return results.filter(F.coalesce(F.col("status"), F.lit("ERROR")) != "Likely ORIGINAL")
+def suspects(results: DataFrame, single: bool = False) -> DataFrame:
+    """What isn't likely original, errors included; single: the rule for files looked at one by one, which names only likely upscaled ones."""
+    status = F.coalesce(F.col("status"), F.lit("ERROR"))
+    return results.filter(status.startswith("Likely UPSCALED") if single else status != "Likely ORIGINAL")

@@ -44,13 +44,17 @@ def files(s, d) -> DataFrame:
     )
 
 
-def tiers(s, d) -> DataFrame:
+def tier_tables(s, d) -> list[DataFrame]:
     f = files(s, d)
     hashed = D.by_key(D.worth_hashing(f), F.sha2("content", 256), "binary_hash")
     tracks = f.select("file_id", X.match_token(F.col("title")).alias("title"), X.match_token(F.col("artist")).alias("artist"), "dur")
     islands = D.duration_islands(tracks, ["title", "artist"], "dur", "file_id")
     weak = D.by_key(islands, F.concat_ws("|", "title", "artist", "island"), "metadata_duration_candidate")
-    return D.uncovered_groups([hashed, D.by_key(f.filter("score >= 0.85"), F.col("ac"), "acoustid_track"), D.by_key(f, F.col("rec"), "recording_mbid"), weak])
+    return [hashed, D.by_key(f.filter("score >= 0.85"), F.col("ac"), "acoustid_track"), D.by_key(f, F.col("rec"), "recording_mbid"), weak]
+
+
+def tiers(s, d) -> DataFrame:
+    return D.uncovered_groups(tier_tables(s, d))
 
 
 def keep_first() -> list:
@@ -109,6 +113,12 @@ def d5(s, d):
     return a.join(b, F.expr("a.group_id = b.group_id and a.bucket = b.bucket and a.file < b.file")).select("a.tier", F.col("a.file").alias("a"), F.col("b.file").alias("b"))
 
 
+@query("d5_pair_counts", PAIRS_SQL + f" SELECT {_TIER} AS tier, c AS component, m AS files, ec.n AS pairs FROM g JOIN ec USING (t, bucket, c)")
+def d5_counts(s, d):
+    """Only components of the whole bucket's graph: what lists nothing must count the same pairs."""
+    return D.uncovered_pair_counts(tier_tables(s, d)).select("tier", "component", "files", "pairs")
+
+
 @query("a5_tier_counts", PAIRS_SQL + f" SELECT {_TIER} AS tier, count(*) AS n FROM groups GROUP BY 1")
 def a5(s, d):
     return tiers(s, d).select("tier", "bucket", "part").distinct().groupBy("tier").agg(F.count("*").alias("n"))

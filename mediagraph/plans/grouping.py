@@ -18,7 +18,7 @@ w AS (SELECT vec_id, label, n, v * (0.5 - 0.5 * cos(2 * pi() * n / 63)) AS v FRO
 m AS (SELECT vec_id, label, k, sqrt(power(sum(v * cos(2 * pi() * k * n / 64)), 2) + power(sum(v * sin(2 * pi() * k * n / 64)), 2)) AS a FROM w, range(0, 33) t(k) GROUP BY ALL),
 c AS (SELECT * FROM (VALUES (13000), (16000), (19000), (20000), (20500)) t(cutoff)),
 r AS (SELECT vec_id, label, cutoff, sum(CASE WHEN k * 44100 / 64.0 > cutoff THEN a ELSE 0 END) / sum(a) AS ratio FROM m, c GROUP BY ALL)"""
-FRACTIONS_SQL = RATIOS_SQL + """, a AS (SELECT label, cutoff, coalesce(count(*) FILTER (ratio > 0.13) / nullif(count(*) FILTER (ratio > 0.00001), 0), 0) AS fraction, count(*) AS frames FROM r GROUP BY ALL)"""
+FRACTIONS_SQL = RATIOS_SQL + """, a AS (SELECT label, cutoff, coalesce(count(*) FILTER (ratio > 0.13) / nullif(count(*) FILTER (ratio > 0.00001), 0), 0) AS fraction, count(*) FILTER (ratio > 0.00001) AS heard, count(*) AS frames FROM r GROUP BY ALL)"""
 
 
 def ratios(s, d) -> DataFrame:
@@ -81,29 +81,39 @@ def w1(s, d):
     return S.elbow(fractions(s, d), "label", 0.1, 0.5).select("label", "cutoff", "kbps")
 
 
-_STATUS = f"""WITH {_ELBOW}, t AS (SELECT a.label, a.fraction AS top, e.cutoff, b.fraction AS low FROM a LEFT JOIN e ON e.label = a.label LEFT JOIN a b ON b.label = e.label AND b.cutoff = e.cutoff WHERE a.cutoff = 20500),
-st AS (SELECT label, CASE WHEN top >= 0.12 THEN 'Likely ORIGINAL' WHEN cutoff IS NOT NULL THEN 'Likely UPSCALED from <=' || (MAP {{13000: 96, 16000: 128, 19000: 192, 20000: 256, 20500: 320}})[cutoff] || ' kbps' ELSE 'Inconclusive (no cutoff match)' END AS status,
-  CASE WHEN top >= 0.12 THEN least(1.0, (top - 0.12) / 0.88) WHEN cutoff IS NOT NULL THEN 1 - low ELSE 0.0 END::DOUBLE AS confidence FROM t)"""
+#: The signals of label 3 are flat here: no frame has anything to hear above a cutoff.
+_FLAT = _ELBOW.replace("CASE WHEN isfinite(v) THEN v::DOUBLE ELSE 0 END", "CASE WHEN label = 3 THEN 1 WHEN isfinite(v) THEN v::DOUBLE ELSE 0 END")
+_STATUS = f"""WITH {_FLAT}, t AS (SELECT a.label, a.heard, a.fraction AS top, e.cutoff, b.fraction AS low FROM a LEFT JOIN e ON e.label = a.label LEFT JOIN a b ON b.label = e.label AND b.cutoff = e.cutoff WHERE a.cutoff = 20500),
+st AS (SELECT label, CASE WHEN heard = 0 THEN 'Likely UPSCALED (no significant frames)' WHEN top >= 0.12 THEN 'Likely ORIGINAL' WHEN cutoff IS NOT NULL THEN 'Likely UPSCALED from <=' || (MAP {{13000: 96, 16000: 128, 19000: 192, 20000: 256, 20500: 320}})[cutoff] || ' kbps' ELSE 'Inconclusive (no cutoff match)' END AS status,
+  CASE WHEN heard = 0 THEN 0.0 WHEN top >= 0.12 THEN least(1.0, (top - 0.12) / 0.88) WHEN cutoff IS NOT NULL THEN 1 - low ELSE 0.0 END::DOUBLE AS confidence FROM t)"""
+
+
+def statuses(s, d) -> DataFrame:
+    signal = F.when(F.col("label") == 3, F.transform("embedding", lambda _: F.lit(1.0).cast("float"))).otherwise(F.col("embedding"))
+    found = S.band_ratios(table(s, d, "embeddings").withColumn("embedding", signal), ["vec_id", "label"], "embedding", F.lit(44100))
+    return S.file_status(S.active_fractions(found, "label", active=0.13), "label", 0.12, 0.1, 0.5)
 
 
 @query("a4_file_status", _STATUS + " SELECT label, status, round(confidence, 6) AS confidence FROM st")
 def a4(s, d):
-    return S.file_status(fractions(s, d), "label", 0.12, 0.1, 0.5).select("label", "status", F.round("confidence", 6).alias("confidence"))
+    return statuses(s, d).select("label", "status", F.round("confidence", 6).alias("confidence"))
 
 
-@query("p38_suspects", _STATUS + " SELECT label, status FROM st WHERE status <> 'Likely ORIGINAL'")
+@query("p38_suspects", _STATUS + " SELECT label, status, 'batch' AS rule FROM st WHERE status <> 'Likely ORIGINAL' UNION ALL SELECT label, status, 'single' FROM st WHERE status LIKE 'Likely UPSCALED%'")
 def p38(s, d):
-    return S.suspects(S.file_status(fractions(s, d), "label", 0.12, 0.1, 0.5)).select("label", "status")
+    found = statuses(s, d)
+    batch, single = S.suspects(found).withColumn("rule", F.lit("batch")), S.suspects(found, single=True).withColumn("rule", F.lit("single"))
+    return batch.unionByName(single).select("label", "status", "rule")
 
 
 @query("s9_analysis_rows", _STATUS + " SELECT 'label-' || label AS path, status, printf('%.6f', confidence) AS confidence FROM st")
 def s9(s, d):
-    return S.file_status(fractions(s, d), "label", 0.12, 0.1, 0.5).select(F.concat(F.lit("label-"), "label").alias("path"), "status", F.format_string("%.6f", "confidence").alias("confidence"))
+    return statuses(s, d).select(F.concat(F.lit("label-"), "label").alias("path"), "status", F.format_string("%.6f", "confidence").alias("confidence"))
 
 
 @query("j14_probes", "SELECT vec_id, cutoff FROM embeddings, (VALUES (13000), (16000), (19000), (20000), (20500)) t(cutoff) WHERE cutoff <= least(20500, greatest(0, label * 6000 / 2 - 100))")
 def j14(s, d):
-    return S.band_ratios(table(s, d, "embeddings"), ["vec_id"], "embedding", F.col("label") * 6000).select("vec_id", "cutoff")
+    return table(s, d, "embeddings").select("vec_id", F.explode(S.probe_cutoffs(F.col("label") * 6000)).alias("cutoff"))
 
 
 # -- album grouping: customers as files, parts as releases ------------------------------------------------------------------------
