@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from mediagraph.functions import text as X
 from mediagraph.operators import albums as A
 from mediagraph.operators import cache as C
+from mediagraph.operators import graph as G
 from mediagraph.operators import resolve as R
 from mediagraph.plans.registry import query, table
 from mediagraph.sources import ingest as I
+from mediagraph.sources import releases as V
 
 # -- ingest ------------------------------------------------------------------------------------------------------------------------
 
@@ -22,23 +24,47 @@ def s4(s, d):
     return table(s, d, "documents").select("doc_id", I.fingerprint_text(text).alias("f")).select("doc_id", "f.duration", "f.fingerprint", "f.error")
 
 
-_LOOKUPS = "SELECT l_orderkey AS k, to_json(named_struct('status', 'ok', 'results', collect_list(named_struct('id', concat(' a', l_partkey), 'score', l_discount, 'recordings', array(named_struct('id', concat('r', l_suppkey), 'releases', array(named_struct('id', concat('s', l_linenumber))))))))) AS j FROM lineitem GROUP BY l_orderkey"
+#: A result: ids at its top, and under other names five and more levels down; blank ids, ids that are numbers, JSON inside a string.
+_RESULT = """'{"id":" a' || l_partkey || '","score":' || l_discount || ',"recordings":[{"id":"r' || l_suppkey || '","title":"' || replace('[{"recordings":[{"id":"no"}]}]', '"', chr(92) || '"') || '","releasegroups":[{"id":"g' || l_suppkey % 7
+  || '","releases":[{"id":"s' || l_linenumber || '","mediums":[{"tracks":[{"more":{"recordings":[{"id":"d' || l_partkey % 9 || '"},{"id":7},{"id":" "},{"id":"r' || l_suppkey || '"}]}}]}]}]}]}],"z":[[{"releases":[{"id":"y' || l_linenumber % 2
+  || '"},3]}]],"b":{"releasegroups":{"id":"no"},"releases":[{"id":" x "},{"id":"s1"}]}}'"""
+_S5 = f"""r AS (SELECT row_number() OVER () AS row, l_orderkey AS k, CAST({_RESULT} AS JSON) AS j FROM lineitem),
+n AS (SELECT row, j, CAST([] AS BIGINT[]) AS spot FROM r
+UNION ALL SELECT row, CASE WHEN json_type(j) = 'OBJECT' THEN json_extract(j, '$."' || c.name || '"') ELSE json_extract(j, '$[' || (c.pos - 1) || ']') END, list_append(spot, c.pos)
+  FROM (SELECT row, j, spot, unnest(CASE WHEN json_type(j) = 'OBJECT' THEN list_transform(json_keys(j), lambda x, i: {{'name': x, 'pos': CAST(i AS BIGINT)}})
+    ELSE list_transform(range(1, CAST(json_array_length(j) AS BIGINT) + 1), lambda i: {{'name': CAST(NULL AS VARCHAR), 'pos': i}}) END) AS c FROM n WHERE json_type(j) IN ('OBJECT', 'ARRAY')) u),
+o AS (SELECT row, spot, kind, unnest(range(0, CAST(json_array_length(json_extract(j, '$.' || kind)) AS BIGINT))) AS p, json_extract(j, '$.' || kind) AS l FROM n, (VALUES ('recordings'), ('releases'), ('releasegroups')) v(kind) WHERE json_type(j) = 'OBJECT' AND json_type(json_extract(j, '$.' || kind)) = 'ARRAY'),
+i AS (SELECT row, kind, spot, p, trim(json_extract_string(l, '$[' || p || '].id')) AS id FROM o WHERE json_type(json_extract(l, '$[' || p || '].id')) = 'VARCHAR' AND trim(json_extract_string(l, '$[' || p || '].id')) <> ''),
+q AS (SELECT *, row_number() OVER (PARTITION BY row, kind, id ORDER BY spot, p) AS q FROM i),
+f AS (SELECT row, kind, list(id ORDER BY spot, p) AS ids FROM q WHERE q = 1 GROUP BY ALL)"""
+_OF = "coalesce((SELECT ids FROM f WHERE f.row = r.row AND kind = '{}'), CAST([] AS VARCHAR[]))"
 
 
 def lookups(s, d) -> DataFrame:
-    table(s, d, "lineitem").createOrReplaceTempView("lineitem")
-    return s.sql(_LOOKUPS)
+    """Lookup results of each order, one for each of its rows."""
+    t = table(s, d, "lineitem").withColumn("r", F.expr(_RESULT))
+    return t.groupBy(F.col("l_orderkey").alias("k")).agg(F.concat(F.lit('{"status":"ok","results":['), F.array_join(F.collect_list("r"), ","), F.lit("]}")).alias("j"))
 
 
-@query("s5_lookup_candidates", "SELECT l_orderkey AS k, 'a' || l_partkey AS id, l_discount AS score, ['r' || l_suppkey] AS recordings, ['s' || l_linenumber] AS releases FROM lineitem")
+@query("s5_lookup_candidates", f"WITH RECURSIVE {_S5} SELECT k, trim(json_extract_string(j, '$.id')) AS id, CAST(json_extract_string(j, '$.score') AS DOUBLE) AS score, {_OF.format('recordings')} AS recordings, {_OF.format('releases')} AS releases, {_OF.format('releasegroups')} AS groups FROM r")
 def s5(s, d):
-    return I.lookup_candidates(lookups(s, d), "k", "j").select("k", "id", "score", "recordings", "releases")
+    return I.lookup_candidates(lookups(s, d), "k", "j").select("k", "id", "score", "recordings", "releases", "groups")
 
 
-@query("w3_best_candidate", "SELECT l_orderkey AS k, max(l_discount) AS score, count(*) AS n FROM lineitem GROUP BY l_orderkey")
+@query(
+    "w3_best_candidate",
+    """WITH c AS (SELECT l_orderkey AS k, l_linenumber % 3 AS index, 'a' || l_partkey AS id, CASE WHEN l_suppkey % 4 <> 0 THEN l_quantity % 3 / 2 END AS score, l_partkey % 2 AS rec, CASE WHEN l_partkey % 3 = 0 OR l_partkey % 5 = 0 THEN 1 ELSE 0 END AS rel FROM lineitem)
+SELECT k, id, score FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY coalesce(score, -1) DESC, rec DESC, rel DESC, index, id) AS r FROM c) WHERE r = 1""",
+)
 def w3(s, d):
-    c = I.lookup_candidates(lookups(s, d), "k", "j")
-    return R.best_candidate(c, "k").select("k", "score").join(c.groupBy("k").agg(F.count("*").alias("n")), "k")
+    """Few scores and places, so that every one of the order's keys decides somewhere."""
+    some = lambda c: F.when(c, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    p = F.col("l_partkey")
+    c = table(s, d, "lineitem").select(
+        F.col("l_orderkey").alias("k"), (F.col("l_linenumber") % 3).alias("index"), F.concat(F.lit("a"), p).alias("id"), F.when(F.col("l_suppkey") % 4 != 0, F.col("l_quantity") % 3 / 2).alias("score"),
+        some(p % 2 == 1).alias("recordings"), some(p % 3 == 0).alias("releases"), some(p % 5 == 0).alias("groups"),
+    )
+    return R.best_candidate(c, "k").select("k", "id", "score")
 
 
 @query("s6_recording_lookup", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN ['r' || p_size] ELSE ['r' || p_size, p_brand] END AS recordings, CASE WHEN p_size % 2 = 0 THEN [p_type] ELSE CAST([] AS VARCHAR[]) END AS releases FROM part")
@@ -48,11 +74,40 @@ def s6(s, d):
     return table(s, d, "part").select("p_partkey", I.recording_lookup(F.when(F.col("p_size") % 2 == 0, one).otherwise(two)).alias("x")).select("p_partkey", "x.recordings", "x.releases")
 
 
-@query("s7_release_tracks", "SELECT CAST(l_orderkey AS VARCHAR) AS release, 2 AS disc, 2 AS discs, l_linenumber AS position, 't' || l_partkey AS track, l_returnflag AS title, 'r' || l_suppkey AS recording FROM lineitem")
+#: A track of an order's release, and the release with its two media, as the service writes them: even orders with the one spelling of
+#: lists, odd ones with the other.
+_TRACK = """'{"id":"t' || o || '-' || n || '","position":"' || n || '","title":"' || CASE WHEN n % 2 = 0 THEN ' ' ELSE 'T' || p END || '"' || CASE WHEN n % 3 = 0 THEN ',"grouping":"grp"' ELSE '' END
+  || ',"recording":{"id":" r' || o || '-' || n || ' ","title":"R' || p || '"' || CASE WHEN n % 4 = 1 THEN ',"artist-credit-phrase":"Phrase"' ELSE '' END
+  || CASE WHEN n % 4 = 0 THEN ',"artist-credit":[{"artist":{"id":"A9","name":"Cy","sort-name":" "},"joinphrase":" x "},{"name":"none"}]' ELSE '' END
+  || CASE WHEN n % 3 = 1 THEN ',"tags":[{"name":"pop"},{"name":" "},{"name":"pop"},{"name":"folk"}]' ELSE '' END
+  || ',"artist-relation-list":[{"type":"Composer","artist":{"name":"Cee"}},{"type":"composer","artist":"Dee"},{"type":"composer","work":{"resource":"Cee"}},{"type":"conductor","target":"Eff"},{"target":"lost"}]'
+  || ',"relations":[{"type":"Original Performer","target-credit":"Gee"},{"type":"remix","target":"Aitch"}]' || CASE WHEN n = 5 THEN ',"url-relation-list":[{"target-type":"work","target":"http://no"},{"target-type":"URL","target":"http://t/' || o || '"}]' ELSE '' END || '}}'"""
+_RELEASE_JSON = """'{"id":"R' || o || '","title":" Album ' || o || '","date":"' || CASE WHEN o % 5 = 0 THEN '199' ELSE '2001-0' || (o % 9 + 1) END || '","country":"' || CASE WHEN o % 3 = 0 THEN ' ' ELSE 'DE' END || '","barcode":"b' || o || '","status":"Official"'
+  || CASE WHEN o % 4 = 0 THEN '' ELSE ',"asin":"a' || o || '"' END || CASE WHEN o % 3 = 1 THEN '' ELSE ',"text-representation":{"script":"Latn"}' END
+  || ',"release-group":{"id":"G' || o % 50 || '",' || CASE WHEN o % 2 = 0 THEN '"primary-type":"Album"' ELSE '"type":"Single"' END || CASE WHEN o % 3 = 0 THEN ',"secondary-type-list":["Live"," ","Remix"]' ELSE '' END || ',"first-release-date":"1999-05","tag-list":[{"name":"rock"},{"name":"rock"}]}'
+  || CASE WHEN o % 7 = 0 THEN ',"artist-credit-phrase":"Ann and Bob"' ELSE '' END || ',"artist-credit":[{"artist":{"id":"A1","name":"Ann","sort-name":"Ann, A"},"joinphrase":" & "}," & ",{"artist":{"id":"A2","name":" Bob "}}]'
+  || ',"label-info-list":[{"label":{"name":"L' || o % 9 || '"},"catalog-number":"C' || o || '"},{"label":{"name":"L' || o % 9 || '"}},{"catalog-number":" "}]' || CASE WHEN o % 5 = 1 THEN ',"genre-list":[{"name":"jazz"}]' ELSE '' END
+  || CASE WHEN o % 3 = 0 THEN ',"relation-list":[{"type":"home","url":{"resource":"https://r/' || o || '"}}]' ELSE '' END || CASE WHEN o % 2 = 0 THEN ',"url-relation-list":[{"target":"nothttp"},{"target":"http://u/' || o || '"}]' ELSE '' END
+  || ',"' || CASE WHEN o % 2 = 0 THEN 'medium-list' ELSE 'media' END || '":[{"position":"1","format":"CD","title":" ","' || CASE WHEN o % 2 = 0 THEN 'track-list' ELSE 'tracks' END || '":[' || one || ']},{"position":"' || CASE WHEN o % 4 = 1 THEN 'x' ELSE '2' END
+  || '","format":"Vinyl","title":"Side","' || CASE WHEN o % 2 = 0 THEN 'track-list' ELSE 'tracks' END || '":[' || two || ']}]}'"""
+
+
+def releases(s, d) -> DataFrame:
+    """o and the JSON text of each order's release; its first three rows are on the first medium."""
+    t = table(s, d, "lineitem").selectExpr("l_orderkey AS o", "l_linenumber AS n", "l_partkey AS p", "l_suppkey AS s").withColumn("t", F.expr(_TRACK))
+    texts = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("n", "p", "s", "t")))), lambda x: x["t"]), ",")
+    return t.groupBy("o").agg(texts(F.col("n") <= 3).alias("one"), texts(F.col("n") > 3).alias("two")).select("o", F.expr(_RELEASE_JSON).alias("j"))
+
+
+#: The same tracks by the rules of the row, straight from the table.
+_TRACKS = """l AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_suppkey AS s FROM lineitem),
+k AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY n > 3, n, p, s) - 1 AS place, count(*) OVER (PARTITION BY o, n > 3) AS total FROM l),
+x AS (SELECT *, 'r' || o || '-' || n AS rid, CASE WHEN n <= 3 THEN 1 WHEN o % 4 = 1 THEN NULL ELSE 2 END AS disc, CASE WHEN n % 2 = 0 THEN 'R' ELSE 'T' END || p AS title FROM k)"""
+
+
+@query("s7_release_tracks", f"WITH {_TRACKS} SELECT 'R' || o AS release, disc, 2 AS discs, n AS position, 't' || o || '-' || n AS track, title, rid AS recording FROM x")
 def s7(s, d):
-    table(s, d, "lineitem").createOrReplaceTempView("lineitem")
-    j = s.sql("SELECT to_json(named_struct('id', cast(l_orderkey as string), 'media', array(named_struct('position', 1, 'tracks', array_remove(array(named_struct('id', 'x', 'position', 1, 'title', '', 'recording', named_struct('id', '', 'title', ''))), named_struct('id', 'x', 'position', 1, 'title', '', 'recording', named_struct('id', '', 'title', '')))), named_struct('position', 2, 'tracks', collect_list(named_struct('id', concat('t', l_partkey), 'position', l_linenumber, 'title', ' ', 'recording', named_struct('id', concat('r', l_suppkey), 'title', l_returnflag))))))) AS j FROM lineitem GROUP BY l_orderkey")
-    return I.release_tracks(j, "j")
+    return I.release_tracks(releases(s, d), "j")
 
 
 @query("s8_transcript_segments", "SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 0.0 ELSE turn * 1.5 END::DOUBLE AS start_s, CASE WHEN turn % 3 = 2 THEN 0.0 ELSE turn * 1.5 + 1 END::DOUBLE AS end_s, trim(text) AS text FROM conversations WHERE trim(text) <> ''")
@@ -235,7 +290,8 @@ _ASSIGN = "WITH r AS (SELECT p_brand AS c, p_partkey AS t, p_size AS rec, row_nu
 
 def assigned(s, d) -> DataFrame:
     p = table(s, d, "part").select(F.col("p_brand").alias("cluster"), F.col("p_partkey").alias("file"), F.col("p_partkey").alias("position"), F.col("p_size").cast("string").alias("recording"))
-    local = p.filter("file % 5 <> 0").withColumn("candidates", F.array().cast("array<string>"))
+    # in one brand, files have a candidate that the release hasn't; it changes nothing
+    local = p.filter("file % 5 <> 0").withColumn("candidates", F.when(F.col("cluster") == "Brand#2", F.array("recording", F.lit("none"))).otherwise(F.array().cast("array<string>")))
     return A.assign_tracks(local, p.filter("file % 3 <> 0").withColumnRenamed("file", "track"))
 
 
@@ -244,10 +300,42 @@ def j9(s, d):
     return assigned(s, d)
 
 
-@query("j10_enrichment", _ASSIGN + " SELECT l.f AS file, coalesce(p.p_name, 'file-' || l.f) AS title, p.p_type AS album FROM l LEFT JOIN r ON r.c = l.c AND r.rec = l.rec AND r.k = l.k LEFT JOIN part p ON p.p_partkey = r.t")
+#: Files of an order: its rows but every third, each with the recording of its row or of none.
+_FILES = "fi AS (SELECT DISTINCT o * 10 + n AS file, o, n, CASE WHEN n = 7 THEN NULL ELSE 'r' || o || '-' || n END AS rec, '/in/' || o || '/' || n || CASE n % 3 WHEN 0 THEN '.tar.flac' WHEN 1 THEN '' ELSE '.mp3' END AS path FROM l WHERE (o + n) % 3 <> 0)"
+_NULL = lambda *names: ", ".join(f"CAST(NULL AS VARCHAR) AS {n}" for n in names)
+_ROWS = f"""{_TRACKS}, {_FILES}, y AS (SELECT o, n, place, total, disc, title, rid, row_number() OVER (PARTITION BY o, n ORDER BY place) AS c FROM x),
+z AS (SELECT fi.*, y.place IS NOT NULL AS m, y.* EXCLUDE (o, n) FROM fi LEFT JOIN y ON y.o = fi.o AND y.rid = fi.rec AND c = 1)
+SELECT file, CASE WHEN m THEN 'matched' ELSE 'unmatched_in_release' END AS status, CASE WHEN NOT m THEN 'no track of the release is this file''s' END AS reason, path AS original_path,
+  CASE n % 3 WHEN 0 THEN '.flac' WHEN 1 THEN '' ELSE '.mp3' END AS extension, rec AS recording_mbid, CASE WHEN m THEN 'R' || o END AS release_mbid, CASE WHEN m THEN 'G' || o % 50 END AS release_group_mbid, CASE WHEN m THEN 't' || o || '-' || n END AS track_mbid,
+  CASE WHEN m THEN title ELSE n || CASE WHEN n % 3 = 0 THEN '.tar' ELSE '' END END AS title, CASE WHEN NOT m THEN NULL WHEN n % 4 = 1 THEN 'Phrase' WHEN n % 4 = 0 THEN 'Cy' WHEN o % 7 = 0 THEN 'Ann and Bob' ELSE 'Ann & Bob' END AS artist,
+  CASE WHEN m AND n % 4 = 0 THEN ['Cy'] ELSE CAST([] AS VARCHAR[]) END AS artists, CASE WHEN m AND n % 4 = 0 THEN 'Cyx' END AS artist_sort, CASE WHEN m THEN 'Ann, A& & Bob' END AS album_artist_sort, CASE WHEN m THEN ['Ann', 'Bob'] ELSE CAST([] AS VARCHAR[]) END AS album_artists,
+  CASE WHEN m THEN 'Album ' || o END AS album, CASE WHEN NOT m THEN NULL WHEN o % 7 = 0 THEN 'Ann and Bob' ELSE 'Ann & Bob' END AS album_artist, CASE WHEN NOT m THEN NULL WHEN n % 3 = 1 THEN 'pop; folk' WHEN o % 5 = 1 THEN 'jazz' ELSE 'rock' END AS genre,
+  CASE WHEN m THEN 'Cee; Dee' END AS composer, CASE WHEN m THEN 'Eff' END AS conductor, CASE WHEN m AND n % 3 = 0 THEN 'grp' END AS grouping, CASE WHEN m THEN n END AS track_number, CASE WHEN m THEN disc END AS disc_number, CASE WHEN m THEN total END AS total_tracks, CASE WHEN m THEN 2 END AS total_discs,
+  CASE WHEN m THEN 'Official' END AS release_status, CASE WHEN m AND o % 3 <> 0 THEN 'DE' END AS release_country, CASE WHEN NOT m THEN CAST([] AS VARCHAR[]) ELSE list_concat([CASE WHEN o % 2 = 0 THEN 'Album' ELSE 'Single' END], CASE WHEN o % 3 = 0 THEN ['Live', 'Remix'] ELSE [] END) END AS releasetype,
+  CASE WHEN m THEN CASE WHEN n <= 3 THEN 'CD' ELSE 'Vinyl' END END AS media, CASE WHEN m AND n > 3 THEN 'Side' END AS disc_subtitle, CASE WHEN NOT m THEN NULL WHEN o % 5 = 0 THEN '199' ELSE '2001-0' || (o % 9 + 1) END AS release_date, CASE WHEN m AND o % 5 <> 0 THEN '2001' END AS release_year,
+  CASE WHEN m THEN '1999-05' END AS original_date, CASE WHEN m THEN '1999' END AS original_year, CASE WHEN m AND o % 3 <> 1 THEN 'Latn' END AS script, CASE WHEN m THEN 'b' || o END AS barcode, CASE WHEN m AND o % 4 <> 0 THEN 'a' || o END AS asin, CASE WHEN m THEN 'L' || o % 9 END AS publisher,
+  CASE WHEN NOT m THEN NULL WHEN n = 5 THEN 'http://t/' || o WHEN o % 3 = 0 THEN 'https://r/' || o WHEN o % 2 = 0 THEN 'http://u/' || o END AS url, CASE WHEN m THEN 'Gee' END AS originalartist, CASE WHEN m THEN 'Aitch' END AS remixer,
+  CASE WHEN m THEN ['L' || o % 9, 'L' || o % 9] ELSE CAST([] AS VARCHAR[]) END AS label, CASE WHEN m THEN ['C' || o] ELSE CAST([] AS VARCHAR[]) END AS catalognumber, CASE WHEN m THEN ['A1', 'A2'] ELSE CAST([] AS VARCHAR[]) END AS musicbrainz_albumartistid,
+  CASE WHEN m AND n % 4 = 0 THEN ['A9'] ELSE CAST([] AS VARCHAR[]) END AS musicbrainz_artistid, CAST([] AS VARCHAR[]) AS musicbrainz_originalartistid, CASE WHEN n % 2 = 0 THEN 'I' || n END AS isrc, {_NULL('subtitle', 'acoustid_id', *V.NEVER)} FROM z"""
+
+
+def track_rows(s, d) -> DataFrame:
+    """The canonical rows of all files: each takes the first unused track of its order's release with its recording."""
+    t = table(s, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n")).filter("(o + n) % 3 <> 0").distinct()
+    end = F.when(F.col("n") % 3 == 0, ".tar.flac").when(F.col("n") % 3 == 1, "").otherwise(".mp3")
+    recording = F.when(F.col("n") != 7, F.concat(F.lit("r"), "o", F.lit("-"), "n"))
+    files = t.select(
+        (F.col("o") * 10 + F.col("n")).alias("file"), F.col("o").alias("cluster"), F.col("n").alias("position"), F.concat(F.lit("/in/"), "o", F.lit("/"), "n", end).alias("original_path"), recording.alias("recording"),
+        F.when(F.col("n") % 2 == 0, F.concat(F.lit(" I"), "n")).alias("isrc"), F.lit(" ").alias("acoustid"), F.array().cast("array<string>").alias("candidates"),
+    )
+    tracks = G.saved(V.canonical_tracks(releases(s, d), "j", "o").withColumnRenamed("o", "cluster"), "release_tracks")
+    assigned = A.assign_tracks(files, tracks.select("cluster", F.col("place").cast("long").alias("track"), F.col("place").alias("position"), F.col("recording_mbid").alias("recording")))
+    return V.track_rows(files, assigned.select("file", "cluster", F.col("track").alias("place")), tracks, "file")
+
+
+@query("j10_enrichment", "WITH " + _ROWS)
 def j10(s, d):
-    p = table(s, d, "part").select(F.col("p_partkey").alias("track"), "p_name", "p_type")
-    return assigned(s, d).join(p, "track", "left").select("file", F.coalesce("p_name", F.concat(F.lit("file-"), "file")).alias("title"), F.col("p_type").alias("album"))
+    return track_rows(s, d)
 
 
 # -- cache: documents against an older manifest ------------------------------------------------------------------------------------

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediagraph.functions.text import clean, distinct_clean
+from mediagraph.operators.graph import saved
+from mediagraph.sources.releases import canonical_tracks
 
 #: Extensions of media files.
 MEDIA_EXTENSIONS = (".mp3", ".flac", ".m4a", ".ogg", ".opus", ".wav", ".aiff", ".wma")
-LOOKUP = "struct<status:string,error:struct<code:string,message:string>,results:array<struct<id:string,score:double,recordings:array<struct<id:string,releases:array<struct<id:string>>,releasegroups:array<struct<id:string,releases:array<struct<id:string>>>>>>,releases:array<struct<id:string>>,releasegroups:array<struct<id:string>>>>>"
-RELEASE = "struct<id:string,title:string,date:string,status:string,media:array<struct<position:int,format:string,tracks:array<struct<id:string,position:int,title:string,recording:struct<id:string,title:string>>>>>>"
 
 
 def media_files(spark: SparkSession, root: str) -> DataFrame:
@@ -29,14 +31,62 @@ def fingerprint_text(text: Column) -> Column:
     return F.struct(F.when(~bad, duration).alias("duration"), F.when(~bad, mark).alias("fingerprint"), F.when(bad, "unreadable fingerprint text").alias("error"))
 
 
+#: The keys whose lists name recordings, releases and release groups.
+ID_LISTS = {"recordings": "recordings", "releases": "releases", "groups": "releasegroups"}
+
+
+def _is(value: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
+
+
+def nested_ids(nodes: DataFrame, keys: list[str], json: str, lists: dict[str, str]) -> DataFrame:
+    """keys and, for each of lists, the distinct ids of the objects in lists of that name, at any depth of the JSON text, those of an
+    object before those of what it holds, else in the order of the text.
+
+    Objects are opened level by level, a round for each, until none is left that holds a wanted name; what has no such name below
+    isn't followed. A text that only looks like JSON inside a string isn't opened.
+    """
+    wanted = lambda c: reduce(lambda x, y: x | y, [F.contains(c, F.lit(f'"{n}"')) for n in lists.values()])
+    now = nodes.select(*keys, F.col(json).alias("j"), F.array().cast("array<int>").alias("at"))
+    given: list[DataFrame] = []
+    while True:
+        texts, values = F.from_json("j", "map<string,string>"), F.from_json("j", "map<string,variant>")
+        items, parts = F.from_json("j", "array<string>"), F.from_json("j", "array<variant>")
+        is_list = F.startswith("j", F.lit("["))
+        # an object's values, or a list's items under no name; both readings of a text have them in its order
+        nameless = F.arrays_zip(F.transform(items, lambda _: F.lit(None).cast("string")).alias("name"), items.alias("t"), parts.alias("v"))
+        children = F.when(is_list, nameless).otherwise(F.arrays_zip(F.map_keys(texts).alias("name"), F.map_values(texts).alias("t"), F.map_values(values).alias("v")))
+        opened = now.select(*keys, "at", F.posexplode(children).alias("pos", "c")).select(*keys, F.concat("at", F.array("pos")).alias("at"), "c.name", "c.t", "c.v")
+        opened = opened.filter((F.startswith("t", F.lit("{")) | F.startswith("t", F.lit("["))) & (F.coalesce(F.col("name").isin(*lists.values()), F.lit(False)) | wanted(F.col("t"))))
+        opened = opened.filter(_is(F.col("v"), "OBJECT") | _is(F.col("v"), "ARRAY")).withColumn("listed", F.when(F.col("name").isin(*lists.values()) & _is(F.col("v"), "ARRAY"), F.from_json("t", "array<variant>")))
+        opened = saved(opened.select(*keys, "at", "name", "t", "listed"), "opened")
+        one = F.expr("transform(filter(listed, x -> schema_of_variant(try_variant_get(x, '$.id', 'variant')) = 'STRING'), x -> trim(try_variant_get(x, '$.id', 'string')))")
+        found = opened.filter(F.col("name").isin(*lists.values()) & F.col("listed").isNotNull()).select(*keys, "name", "at", F.filter(one, lambda x: x != "").alias("ids"))
+        given.append(found)
+        now = opened.filter(wanted(F.col("t"))).select(*keys, F.col("t").alias("j"), "at")
+        if now.isEmpty():
+            break
+    found = reduce(DataFrame.unionByName, given)
+    # a list belongs to the object that holds it, which comes before the objects inside it
+    order = F.struct(F.slice("at", 1, F.size("at") - 1).alias("holder"), F.element_at("at", -1).alias("pos"), "ids")
+    pick = lambda n: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("name") == n, order))), lambda x: x["ids"])))
+    return found.groupBy(*keys).agg(*[pick(n).alias(c) for c, n in lists.items()])
+
+
+def lookup_results(df: DataFrame, key: str, json: str) -> DataFrame:
+    """key, index, id, score and r (its JSON text) of each result with an id that is a text."""
+    results = df.select(key, F.posexplode(F.from_json(json, "struct<results:array<string>>")["results"]).alias("index", "r"))
+    results = results.withColumn("v", F.from_json("r", "struct<id:variant,score:string>")).filter(_is(F.col("v.id"), "STRING"))
+    return results.select(key, "index", clean(F.col("v.id").cast("string")).alias("id"), F.col("v.score").try_cast("double").alias("score"), "r").filter("id is not null")
+
+
 def lookup_candidates(df: DataFrame, key: str, json: str) -> DataFrame:
-    """key, index, id, score, recordings, releases and groups of each result with an id; ids at any level of the known shape."""
-    parsed = df.select(key, F.posexplode(F.from_json(json, LOOKUP)["results"]).alias("index", "r")).filter(clean(F.col("r.id")).isNotNull())
-    own = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    rec = F.coalesce(F.col("r.recordings"), F.from_json(F.lit("[]"), "array<struct<id:string,releases:array<struct<id:string>>,releasegroups:array<struct<id:string,releases:array<struct<id:string>>>>>>"))
-    releases = F.concat(own(F.flatten(F.transform(rec, lambda x: F.coalesce(x["releases"]["id"], F.array().cast("array<string>"))))), own(F.col("r.releases.id")))
-    groups = F.concat(own(F.flatten(F.transform(rec, lambda x: F.coalesce(x["releasegroups"]["id"], F.array().cast("array<string>"))))), own(F.col("r.releasegroups.id")))
-    return parsed.select(key, "index", F.trim("r.id").alias("id"), F.col("r.score").alias("score"), distinct_clean(rec["id"]).alias("recordings"), distinct_clean(releases).alias("releases"), distinct_clean(groups).alias("groups"))
+    """key, index, id, score, recordings, releases and groups of each result with an id; ids of recordings, releases and release groups
+    are taken from any depth of the result."""
+    results = saved(lookup_results(df, key, json), "results")
+    ids = nested_ids(results, [key, "index"], "r", ID_LISTS)
+    none = F.array().cast("array<string>")
+    return results.drop("r").join(ids, [key, "index"], "left").select(key, "index", "id", "score", *[F.coalesce(c, none).alias(c) for c in ID_LISTS])
 
 
 def recording_lookup(json: Column) -> Column:
@@ -50,11 +100,9 @@ def recording_lookup(json: Column) -> Column:
 
 
 def release_tracks(df: DataFrame, json: str) -> DataFrame:
-    """A row for each track of each release: release, disc, discs, position, track, title, recording."""
-    r = df.select(F.from_json(json, RELEASE).alias("r")).filter("r.id is not null")
-    media = r.select(F.col("r.id").alias("release"), F.size("r.media").alias("discs"), F.posexplode("r.media").alias("m", "medium"))
-    t = media.select("release", "discs", F.coalesce("medium.position", F.col("m") + 1).alias("disc"), F.posexplode("medium.tracks").alias("k", "t"))
-    return t.select("release", "disc", "discs", F.coalesce("t.position", F.col("k") + 1).alias("position"), F.col("t.id").alias("track"), F.coalesce(clean(F.col("t.title")), clean(F.col("t.recording.title"))).alias("title"), F.col("t.recording.id").alias("recording"))
+    """A row for each track of each release: release, disc, discs, position, track, title, recording; either spelling of the lists."""
+    rows = canonical_tracks(df, json)
+    return rows.select(F.col("release_mbid").alias("release"), F.col("disc_number").alias("disc"), F.col("total_discs").alias("discs"), F.col("track_number").alias("position"), F.col("track_mbid").alias("track"), "title", F.col("recording_mbid").alias("recording"))
 
 
 def release_summary(json: Column) -> Column:
