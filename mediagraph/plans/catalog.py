@@ -146,12 +146,19 @@ def references(s, d) -> DataFrame:
 @query(
     "j1_j2_resolution",
     """WITH f AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN 'recording' WHEN c_custkey % 3 = 0 THEN 'isrc' WHEN c_custkey % 5 = 0 THEN 'acoustid' WHEN c_custkey % 2 = 0 THEN 'fingerprint' END AS source,
-  CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN c_custkey % 90 WHEN c_custkey % 5 = 0 THEN c_custkey % 50 WHEN c_custkey % 2 = 0 THEN c_custkey END AS n FROM customer)
-SELECT k AS file, source, CASE WHEN p_partkey IS NULL THEN 'unmatched' ELSE 'resolved' END AS status, CASE WHEN p_partkey IS NULL THEN CAST([] AS VARCHAR[]) WHEN n % 2 = 0 THEN ['r' || n] ELSE ['r' || n, 'x'] END AS candidates,
-  CASE WHEN source = 'recording' THEN 'R' || k WHEN p_partkey IS NOT NULL AND n % 2 = 0 THEN 'r' || n END AS recording FROM f LEFT JOIN part ON p_partkey = n""",
+  CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN c_custkey % 90 WHEN c_custkey % 5 = 0 THEN c_custkey % 50 WHEN c_custkey % 2 = 0 THEN c_custkey END AS n FROM customer),
+g AS (SELECT *, CASE WHEN source = 'isrc' AND n % 4 = 1 THEN 'no answer' WHEN source = 'fingerprint' AND n % 11 = 0 THEN 'no answer' WHEN source = 'recording' AND k % 52 = 0 THEN 'gone' END AS error FROM f)
+SELECT k AS file, source, CASE WHEN error IS NOT NULL THEN 'error' WHEN p_partkey IS NULL THEN 'unmatched' ELSE 'resolved' END AS status, CASE WHEN p_partkey IS NULL THEN CAST([] AS VARCHAR[]) WHEN n % 2 = 0 THEN ['r' || n] ELSE ['r' || n, 'x'] END AS candidates,
+  CASE WHEN source = 'recording' THEN 'R' || k WHEN p_partkey IS NOT NULL AND n % 2 = 0 THEN 'r' || n END AS recording, error FROM g LEFT JOIN part ON p_partkey = n""",
 )
 def j1(s, d):
-    return R.resolve(keyed_files(s, d), references(s, d))
+    """Some lookups of codes, fingerprints and recordings fail, with and without candidates at hand."""
+    p, c = table(s, d, "part"), table(s, d, "customer")
+    isrc = p.filter("p_partkey % 4 = 1").select(F.lit("isrc").alias("kind"), F.concat(F.lit("I"), "p_partkey").alias("key"), F.lit("no answer").alias("error"))
+    isrc = isrc.unionByName(c.filter("c_custkey < 90 and c_custkey % 4 = 1").select(F.lit("isrc").alias("kind"), F.concat(F.lit("I"), "c_custkey").alias("key"), F.lit("no answer").alias("error")))
+    mark = c.filter("c_custkey % 11 = 0").select(F.lit("fingerprint").alias("kind"), F.concat(F.lit("F"), "c_custkey").alias("key"), F.lit("no answer").alias("error"))
+    gone = c.filter("c_custkey % 52 = 0").select(F.lit("recording").alias("kind"), F.concat(F.lit("R"), "c_custkey").alias("key"), F.lit("gone").alias("error"))
+    return R.resolve(keyed_files(s, d), references(s, d), failed=isrc.unionByName(mark).unionByName(gone))
 
 
 @query("j3_release_expansion", "WITH r AS (SELECT DISTINCT l_orderkey, 'p' || p_brand AS b FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT o_orderkey AS file, CASE WHEN o_orderkey % 10 = 0 THEN ['own'] ELSE coalesce(list_sort(list(b) FILTER (b IS NOT NULL)), CAST([] AS VARCHAR[])) END AS releases FROM orders LEFT JOIN r ON l_orderkey = o_orderkey GROUP BY o_orderkey")
@@ -380,6 +387,29 @@ def c5(s, d):
     return C.upserted(old.select("path", F.lit("old").alias("v"), (F.col("path") % 4).alias("at")), new.select("path", F.lit("new").alias("v"), F.lit(2).cast("long").alias("at")), "path", "at").select("path", "v")
 
 
+_VERSIONS = _CACHE + """, one AS (SELECT path, size, codec, hash, 1 AS seen FROM o),
+two AS (SELECT coalesce(n.path, one.path) AS path, CASE WHEN n.path IS NULL THEN one.size ELSE n.size END AS size, CASE WHEN n.path IS NULL THEN one.codec END AS codec, CASE WHEN n.path IS NULL THEN one.hash END AS hash, CASE WHEN n.path IS NULL THEN 1 ELSE 2 END AS seen FROM one FULL JOIN (SELECT * FROM n WHERE path % 3 = 0) n ON n.path = one.path),
+three AS (SELECT path, size, CASE WHEN path % 5 = 0 THEN CASE WHEN path % 2 = 0 THEN 'c' END ELSE codec END AS codec, CASE WHEN path % 5 = 0 THEN 'h' || path ELSE hash END AS hash, seen FROM two)"""
+
+
+@query("c5_versions", _VERSIONS + " SELECT 1 AS version, path, size, codec, hash, seen FROM one UNION ALL SELECT 2, path, size, codec, hash, seen FROM two UNION ALL SELECT 3, path, size, codec, hash, seen FROM three")
+def c5_versions(s, d):
+    """Three versions of a table, each by a reader that opened it before the next one: as it was, whole rows replaced, two columns updated
+    (also for paths that aren't there, which adds none)."""
+    new, old, _ = manifests(s, d)
+    at = lambda df, n: df.withColumn("seen", F.lit(n))
+    path = G.scratch_path(s, "versions")
+    C.publish(at(old.select("path", F.col("size_bytes").alias("size"), "codec", "hash"), 1), path)
+    one = C.opened(s, path)
+    blank = F.lit(None).cast("string")
+    C.publish(C.upserted(one, at(new.filter("path % 3 = 0").select("path", F.col("size_bytes").alias("size"), blank.alias("codec"), blank.alias("hash")), 2), "path", "seen"), path)
+    two = C.opened(s, path)
+    paths = table(s, d, "documents").filter("doc_id % 5 = 0").select(F.col("doc_id").alias("path"))
+    C.publish(C.updated(two, paths.select("path", F.when(F.col("path") % 2 == 0, "c").alias("codec"), F.concat(F.lit("h"), "path").alias("hash")), "path", ["codec", "hash"]), path)
+    read = [df.withColumn("version", F.lit(n)) for n, df in enumerate((one, two, C.opened(s, path)), 1)]
+    return read[0].unionByName(read[1]).unionByName(read[2])
+
+
 @query("c6_work", _CACHE + " SELECT path FROM n WHERE path NOT IN (SELECT path FROM o JOIN st USING (path) WHERE state = 'unchanged' AND version = '1.0')")
 def c6(s, d):
     new, old, st = manifests(s, d)
@@ -423,13 +453,18 @@ def p36(s, d):
     return table(s, d, "part").select("p_partkey", r["album"].alias("album"), r["album_artist"].alias("album_artist"), r["date"].alias("date"))
 
 
-@query("s14_cache_tables", _CACHE + " SELECT path AS file_id, version FROM o WHERE version = '1.0' AND path IN (SELECT path FROM n)")
+@query(
+    "s14_cache_tables",
+    _CACHE + """, v AS (SELECT path, version FROM o WHERE path IN (SELECT path FROM n))
+SELECT 'files' AS name, path AS file_id, NULL AS version FROM n UNION ALL SELECT t.name, path, version FROM v, (VALUES ('fingerprints', '1.0'), ('analysis_results', '0.9'), ('metadata_resolution', NULL)) t(name, wanted) WHERE wanted IS NULL OR version = wanted""",
+)
 def s14(s, d):
-    from mediagraph.operators.graph import scratch_path
-
+    """All four tables read back: two of them by one version, one with all its versions; rows of files that are gone go with them."""
     new, old, _ = manifests(s, d)
     of = lambda df, name: df.select(F.col("path").alias("file_id"), *([F.col("version").alias(C.TABLES[name])] if C.TABLES[name] else []))
-    path = scratch_path(s, "cache")
+    path = G.scratch_path(s, "cache")
     C.write_tables({name: of(new if name == "files" else old, name) for name in C.TABLES}, path, buckets=8)
-    return C.read_table(s, path, "analysis_results", "1.0").select("file_id", F.col("analyzer_version").alias("version"))
-
+    wanted = {"fingerprints": "1.0", "analysis_results": "0.9"}
+    version = lambda name: F.col(C.TABLES[name]) if C.TABLES[name] else F.lit(None).cast("string")
+    read = [C.read_table(s, path, name, wanted.get(name)).select(F.lit(name).alias("name"), "file_id", version(name).alias("version")) for name in C.TABLES]
+    return read[0].unionByName(read[1]).unionByName(read[2]).unionByName(read[3])

@@ -15,11 +15,11 @@ from mediagraph.sources.releases import canonical_tracks
 MEDIA_EXTENSIONS = (".mp3", ".flac", ".m4a", ".ogg", ".opus", ".wav", ".aiff", ".wma")
 
 
-def media_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, extension, size_bytes and mtime of the media files under root; contents aren't read, a missing root raises."""
+def media_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = MEDIA_EXTENSIONS) -> DataFrame:
+    """path, extension, size_bytes and mtime of the files of these kinds under root; contents aren't read, a missing root raises."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    return listed.withColumn("extension", ext).filter(F.col("extension").isin(*MEDIA_EXTENSIONS))
+    return listed.withColumn("extension", ext).filter(F.col("extension").isin(*extensions))
 
 
 def fingerprint_text(text: Column) -> Column:
