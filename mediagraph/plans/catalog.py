@@ -92,9 +92,10 @@ _RELEASE_JSON = """'{"id":"R' || o || '","title":" Album ' || o || '","date":"'
   || '","format":"Vinyl","title":"Side","' || CASE WHEN o % 2 = 0 THEN 'track-list' ELSE 'tracks' END || '":[' || two || ']}]}'"""
 
 
-def releases(s, d) -> DataFrame:
-    """o and the JSON text of each order's release; its first three rows are on the first medium."""
-    t = table(s, d, "lineitem").selectExpr("l_orderkey AS o", "l_linenumber AS n", "l_partkey AS p", "l_suppkey AS s").withColumn("t", F.expr(_TRACK))
+def releases(s, d, some=None) -> DataFrame:
+    """o and the JSON text of each order's release, of all its rows or some; its first three rows are on the first medium."""
+    rows = table(s, d, "lineitem")
+    t = (rows if some is None else rows.filter(some)).selectExpr("l_orderkey AS o", "l_linenumber AS n", "l_partkey AS p", "l_suppkey AS s").withColumn("t", F.expr(_TRACK))
     texts = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("n", "p", "s", "t")))), lambda x: x["t"]), ",")
     return t.groupBy("o").agg(texts(F.col("n") <= 3).alias("one"), texts(F.col("n") > 3).alias("two")).select("o", F.expr(_RELEASE_JSON).alias("j"))
 

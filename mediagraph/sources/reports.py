@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,13 +30,6 @@ def error_digest(rows: DataFrame, reason: str, example: str, examples: int = 5)
     return named.groupBy("reason").agg(F.count("*").alias("n")).join(firsts, "reason")
 
 
-def grouping_report(verdicts: DataFrame, assigned: DataFrame, planned: DataFrame, lyrics: DataFrame) -> DataFrame:
-    """section, name and n: how many clusters have which verdict, files a track, plans and lyrics which status. Empty parts have no rows."""
-    parts = [("release", verdicts, F.col("status")), ("track", assigned, F.when(F.col("track").isNull(), "unmatched_in_release").otherwise("matched")), ("plan", planned, F.col("status")), ("lyrics", lyrics, F.col("status"))]
-    counted = [df.groupBy(name.alias("name")).agg(F.count("*").alias("n")).select(F.lit(section).alias("section"), "name", "n") for section, df, name in parts]
-    return functools.reduce(DataFrame.unionByName, counted)
-
-
 def grouping_lines(clusters: DataFrame, shortlist: DataFrame) -> DataFrame:
     """section, ord and line of the text report: clusters, then each one's candidates with up to three reasons."""
     heads = clusters.groupBy("cluster").agg(F.count("*").alias("n")).select(F.lit(1).alias("section"), F.col("cluster").cast("string").alias("ord"), F.format_string("cluster %s: %d files", F.col("cluster").cast("string"), "n").alias("line"))
