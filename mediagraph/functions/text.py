@@ -64,6 +64,11 @@ def flat_clean(nested: Column) -> Column:
     return F.filter(F.transform(F.flatten(nested), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def decoded(b: Column) -> Column:
+    """Bytes as text: UTF-8, or else Latin-1."""
+    return F.when(F.is_valid_utf8(b.cast("string")), b.cast("string")).otherwise(F.decode(b, "ISO-8859-1"))
+
+
 def primary_artist(artist: Column, artists: Column | None = None) -> Column:
     given = clean(artist) if artists is None else F.coalesce(F.get(distinct_clean(artists), F.lit(0)), clean(artist))
     first = F.get(F.split(given, r"(?i)\s*(?:;|\bwith\b|\bfeat\.?\b|\bft\.?\b|\bfeaturing\b)\s*", 2), F.lit(0))

@@ -171,11 +171,40 @@ def _groups(placed: DataFrame, comps: DataFrame, list_pairs: int | None) -> Data
 
 
 def numbered_groups(groups: DataFrame, tier_order: list[str] | None = None) -> DataFrame:
-    """groups with group_id, which goes by tier and then by first member: a digest-free stable name tier:first file[:part]."""
+    """groups with first, members, tier_rank and group_id: a stable name tier:first file:last file:members, which no other group has."""
     rank = F.array_position(F.array(*map(F.lit, tier_order or list(TIERS))), F.col("tier"))
-    first = groups.groupBy("tier", "bucket", "part").agg(F.min("file").alias("first"), F.count("*").alias("members"))
+    first = groups.groupBy("tier", "bucket", "part").agg(F.min("file").alias("first"), F.max("file").alias("last"), F.count("*").alias("members"))
     named = groups.join(first, ["tier", "bucket", "part"]).withColumn("tier_rank", rank)
-    return named.withColumn("group_id", F.concat_ws(":", "tier", "first", F.when(F.col("part") != "all", F.col("part"))))
+    return named.withColumn("group_id", F.concat_ws(":", "tier", *[F.col(c).cast("string") for c in ("first", "last", "members")])).drop("last")
+
+
+#: The columns of the report of duplicates, in order.
+REPORT_COLUMNS = (
+    "group_id", "tier", "confidence_label", "path", "extension", "size_bytes", "duration_seconds", "bitrate_bps", "sample_rate_hz", "channels", "bits_per_sample", "content_hash", "acoustid_id", "acoustid_score",
+    "recording_mbid", "source", "recommended_action",
+)
+
+
+def report_rows(groups: DataFrame, files: DataFrame) -> DataFrame:
+    """A row of REPORT_COLUMNS for each file of each group. groups: as numbered_groups gives them; files: file and the columns about it;
+    a source that isn't known is the tier."""
+    named = lambda d: F.element_at(F.create_map(*[F.lit(x) for pair in d.items() for x in pair]), F.col("tier"))
+    rows = groups.select("group_id", "tier", "file").join(files, "file")
+    rows = rows.withColumns({"confidence_label": named(TIERS), "recommended_action": named(ADVICE), "source": F.coalesce("source", "tier")})
+    return rows.select(*REPORT_COLUMNS)
+
+
+def quality_fields(path: Column, extension: Column, codec: Column, lossless: Column, bits: Column, rate: Column, bitrate: Column, size: Column, seconds: Column) -> Column:
+    """What a keeper is chosen by, as one struct."""
+    names = ("path", "extension", "codec", "lossless", "bits_per_sample", "sample_rate_hz", "bitrate_bps", "size_bytes", "duration_seconds")
+    return F.struct(*[c.alias(n) for n, c in zip(names, (path, extension, codec, lossless, bits, rate, bitrate, size, seconds), strict=True)])
+
+
+def quality_reason(q: Column) -> Column:
+    """A keeper's known fields in the order they count, from its struct of quality_fields."""
+    kind = F.when(q["lossless"], F.concat(F.lit("lossless audio preferred ("), F.coalesce(q["codec"], F.nullif(q["extension"], F.lit("")), F.lit("lossless format")), F.lit(")"))).otherwise(F.concat(F.lit("codec="), q["codec"]))
+    with_unit = lambda n, u: F.concat(q[n].cast("string"), F.lit(u))
+    return F.concat_ws(", ", kind, with_unit("bits_per_sample", "-bit"), with_unit("sample_rate_hz", " Hz"), with_unit("bitrate_bps", " bps"), with_unit("size_bytes", " bytes"))
 
 
 def ordered_groups(groups: DataFrame, paths: DataFrame) -> DataFrame:
@@ -231,6 +260,18 @@ def action_ledger(
     return moves.crossJoin(F.broadcast(end)).select(group, file, "rank", status.alias("result"))
 
 
+def cleanup_summary(plan: DataFrame, ledger: DataFrame, group: str = "group_id", tier: str = "tier", reason: str | None = None) -> DataFrame:
+    """One row: groups found, eligible and for review, files to move and to keep, what became of them, and whether the run was called
+    off: before it began (then for the given reason), or by a failed move, which it names."""
+    groups = plan.groupBy(group).agg(F.first(F.col(tier).isin(*SAFE_TIERS)).alias("safe"), F.count_if(F.col("action") == "move").alias("move"), F.count_if(F.col("action") == "keep").alias("keep"))
+    planned = groups.agg(F.count("*").alias("total_groups_found"), F.count_if("safe").alias("eligible_groups"), F.count_if(~F.col("safe")).alias("review_only_groups"), F.coalesce(F.sum("move"), F.lit(0)).alias("files_to_move"), F.coalesce(F.sum("keep"), F.lit(0)).alias("files_to_keep"))
+    r, file = F.col("result"), [c for c in ledger.columns if c not in (group, "rank", "result")][0]
+    early, broken = F.coalesce(F.bool_or(r == "cancelled_before_start"), F.lit(False)), F.count_if(r == "failed") > 0
+    why = F.when(early, F.lit(reason or "cancelled before it started")).when(broken, F.concat(F.lit("cancelled after a failed move of "), F.min(F.when(r == "failed", F.col(file))).cast("string")))
+    done = ledger.agg(F.count_if(r == "moved").alias("moved_successfully"), F.count_if(r == "failed").alias("failed"), F.count_if(r.startswith("skipped")).alias("skipped"), (early | broken).alias("cancelled"), why.alias("cancellation_reason"))
+    return planned.crossJoin(done)  # one row each
+
+
 def cleanup_counters(ledger: DataFrame) -> DataFrame:
     r = F.col("result")
     return ledger.agg(F.count_if(r == "moved").alias("moved"), F.count_if(r == "failed").alias("failed"), F.count_if(r.startswith("skipped")).alias("skipped"), F.count_if(r.startswith("not_attempted")).alias("not_attempted"), F.count("*").alias("planned"))

@@ -15,7 +15,7 @@ EXTENSIONS = (".mp3", ".flac", ".m4a", ".ogg", ".opus", ".wav", ".aiff", ".wma")
 FILES_SQL = """f AS (SELECT doc_id AS file_id, '/lib/' || source || '/' || lang || '/' || doc_id || (['.mp3','.flac','.m4a','.ogg','.opus','.wav','.aiff','.wma'])[doc_id % 8 + 1] AS path,
   (['.mp3','.flac','.m4a','.ogg','.opus','.wav','.aiff','.wma'])[doc_id % 8 + 1] AS ext, n_chars AS size_bytes, text AS content, CASE WHEN doc_id % 2 = 0 THEN 16 ELSE 24 END AS bits,
   CASE WHEN doc_id % 3 = 0 THEN 96000 ELSE 44100 END AS rate, doc_id % 50 AS ac, (doc_id % 100) / 100.0 AS score, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 40 END AS rec,
-  lang AS title, source AS artist, n_chars / 10 AS dur FROM documents)"""
+  lang AS title, source AS artist, n_chars / 10 AS dur, CASE WHEN doc_id % 5 > 0 THEN n_chars * 8 END AS bitrate, doc_id % 2 + 1 AS channels, CASE WHEN doc_id % 6 = 0 THEN 'alac' WHEN doc_id % 6 = 1 THEN 'mp3' END AS codec FROM documents)"""
 PAIRS_SQL = f"""WITH RECURSIVE {FILES_SQL},
 isl AS (SELECT *, CASE WHEN dur - lag(dur) OVER w > 2.0 THEN 1 ELSE 0 END AS new FROM f WINDOW w AS (PARTITION BY title, artist ORDER BY dur, file_id)),
 md AS (SELECT file_id, concat_ws('|', title, artist, CAST(sum(new) OVER (PARTITION BY title, artist ORDER BY dur, file_id) AS VARCHAR)) AS bucket FROM isl),
@@ -41,6 +41,7 @@ def files(s, d) -> DataFrame:
         i.alias("file_id"), F.concat(F.lit("/lib/"), "source", F.lit("/"), "lang", F.lit("/"), i, ext).alias("path"), ext.alias("ext"), F.col("n_chars").alias("size_bytes"), F.col("text").alias("content"),
         F.when(i % 2 == 0, 16).otherwise(24).alias("bits"), F.when(i % 3 == 0, 96000).otherwise(44100).alias("rate"), (i % 50).alias("ac"), ((i % 100) / 100).alias("score"), F.when(i % 4 != 0, i % 40).alias("rec"),
         F.col("lang").alias("title"), F.col("source").alias("artist"), (F.col("n_chars") / 10).alias("dur"),
+        F.when(i % 5 > 0, F.col("n_chars") * 8).alias("bitrate"), (i % 2 + 1).alias("channels"), F.when(i % 6 == 0, "alac").when(i % 6 == 1, "mp3").alias("codec"),
     )
 
 
@@ -167,16 +168,53 @@ def a11(s, d):
     return D.cleanup_counters(ledger(s, d))
 
 
-@query("p20_quality_reason", f"WITH {FILES_SQL} SELECT file_id, concat_ws(', ', CASE WHEN ext IN ('.flac','.wav','.aiff') THEN 'lossless' ELSE 'lossy' END, bits || ' bit', rate || ' Hz', size_bytes || ' bytes') AS v FROM f")
+@query(
+    "s11_cleanup_summary",
+    _LEDGER + """, w AS (SELECT ac FROM f WHERE score >= 0.85 GROUP BY ac HAVING count(*) > 1),
+x AS (SELECT (SELECT count(DISTINCT b) FROM plan) AS eligible_groups, (SELECT count(*) FROM w) AS review_only_groups, (SELECT count(*) FROM plan WHERE rank > 1) AS files_to_move, (SELECT count(*) FROM plan WHERE rank = 1) AS files_to_keep),
+y AS (SELECT count(*) FILTER (result = 'moved') AS moved_successfully, count(*) FILTER (result = 'failed') AS failed, count(*) FILTER (result LIKE 'skipped%') AS skipped, min(file) FILTER (result = 'failed') AS bad FROM l)
+SELECT 'run' AS kind, eligible_groups + review_only_groups AS total_groups_found, x.*, y.* EXCLUDE (bad), bad IS NOT NULL AS cancelled, 'cancelled after a failed move of ' || bad AS cancellation_reason FROM x, y
+UNION ALL SELECT 'called off', eligible_groups + review_only_groups, x.*, 0, 0, 0, files_to_move > 0, CASE WHEN files_to_move > 0 THEN 'no' END FROM x""",
+)
+def s11(s, d):
+    """A run that a failed move may end, and one that is called off before it starts; groups of a weaker tier are for review."""
+    f = files(s, d)
+    review = D.by_key(f.filter("score >= 0.85"), F.col("ac"), "acoustid_track").select("tier", F.concat(F.lit("ac-"), "bucket").alias("group_id"), "file").withColumn("action", F.lit("review"))
+    moves = plan(s, d)
+    whole = moves.select("tier", "group_id", "file", "action").unionByName(review)
+    first = D.cleanup_summary(whole, ledger(s, d)).withColumn("kind", F.lit("run"))
+    off = D.cleanup_summary(whole, D.action_ledger(moves, f.select(F.col("file_id").alias("file")), cancelled=True), reason="no").withColumn("kind", F.lit("called off"))
+    return first.unionByName(off)
+
+
+@query(
+    "p20_quality_reason",
+    f"""WITH {FILES_SQL}, q AS (SELECT *, CASE WHEN codec IS NOT NULL THEN codec = 'alac' ELSE ext IN ('.flac','.wav','.aiff') END AS lossless FROM f)
+SELECT file_id, path, ext AS extension, codec, lossless, bits AS bits_per_sample, rate AS sample_rate_hz, bitrate AS bitrate_bps, size_bytes, dur AS duration_seconds,
+  concat_ws(', ', CASE WHEN lossless THEN 'lossless audio preferred (' || coalesce(codec, ext) || ')' WHEN codec IS NOT NULL THEN 'codec=' || codec END, bits || '-bit', rate || ' Hz', bitrate || ' bps', size_bytes || ' bytes') AS reason FROM q""",
+)
 def p20(s, d):
-    kind = F.when(X.lossless(F.lit(None).cast("string"), F.col("ext")), "lossless").otherwise("lossy")
-    return files(s, d).select("file_id", F.concat_ws(", ", kind, F.concat("bits", F.lit(" bit")), F.concat("rate", F.lit(" Hz")), F.concat("size_bytes", F.lit(" bytes"))).alias("v"))
+    c = F.col
+    q = D.quality_fields(c("path"), c("ext"), c("codec"), X.lossless(c("codec"), c("ext")), c("bits"), c("rate"), c("bitrate"), c("size_bytes"), c("dur"))
+    return files(s, d).select("file_id", q.alias("q")).select("file_id", "q.*", D.quality_reason(c("q")).alias("reason"))
+
+
+_ADVICE = "CASE t " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(D.ADVICE.values(), 1)) + " END"
 
 
-@query("s10_duplicate_report", PAIRS_SQL + f", m AS (SELECT {_TIER} AS tier, files[1] AS first, unnest(files) AS file FROM groups) SELECT tier, first, file, path, size_bytes, bits, rate, coalesce(CASE WHEN ac % 2 = 0 THEN 'tags' END, tier) AS source FROM m JOIN f ON f.file_id = m.file")
+@query(
+    "s10_duplicate_report",
+    PAIRS_SQL + f""", m AS (SELECT t, {_TIER} || ':' || files[1] || ':' || files[-1] || ':' || len(files) AS group_id, unnest(files) AS file FROM groups)
+SELECT group_id, {_TIER} AS tier, {_LABEL} AS confidence_label, path, ext AS extension, size_bytes, dur AS duration_seconds, bitrate AS bitrate_bps, rate AS sample_rate_hz, channels, bits AS bits_per_sample, sha256(content) AS content_hash,
+  CAST(ac AS VARCHAR) AS acoustid_id, score AS acoustid_score, CAST(rec AS VARCHAR) AS recording_mbid, coalesce(CASE WHEN ac % 2 = 0 THEN 'tags' END, {_TIER}) AS source, {_ADVICE} AS recommended_action FROM m JOIN f ON f.file_id = m.file""",
+)
 def s10(s, d):
-    g = D.numbered_groups(tiers(s, d)).join(files(s, d).withColumnRenamed("file_id", "file"), "file")
-    return g.select("tier", "first", "file", "path", "size_bytes", "bits", "rate", F.coalesce(F.when(F.col("ac") % 2 == 0, "tags"), F.col("tier")).alias("source"))
+    about = files(s, d).select(
+        F.col("file_id").alias("file"), "path", F.col("ext").alias("extension"), "size_bytes", F.col("dur").alias("duration_seconds"), F.col("bitrate").alias("bitrate_bps"), F.col("rate").alias("sample_rate_hz"), "channels",
+        F.col("bits").alias("bits_per_sample"), F.sha2("content", 256).alias("content_hash"), F.col("ac").cast("string").alias("acoustid_id"), F.col("score").alias("acoustid_score"), F.col("rec").cast("string").alias("recording_mbid"),
+        F.when(F.col("ac") % 2 == 0, "tags").alias("source"),
+    )
+    return D.report_rows(D.numbered_groups(tiers(s, d)), about)
 
 
 @query("s2_extension_scan", f"WITH {FILES_SQL} SELECT file_id, path FROM f WHERE lower(ext) = '.flac'")

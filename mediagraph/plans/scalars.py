@@ -16,18 +16,20 @@ def p1(s, d):
     return table(s, d, "part").select("p_partkey", X.tag_key(F.col("p_name")).alias("k"))
 
 
-_TAGS = "[{'key': 'Title', 'values': [' ', event_type]}, {'key': 'MusicBrainz Track Id', 'values': [CASE WHEN event_id % 3 = 0 THEN '' ELSE props END]}, {'key': 'x-isrc-code', 'values': ['I' || user_id]}]"
-
-
 @query(
     "p2_tag_identifier",
-    "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE trim(props) END AS recording, 'I' || user_id AS isrc FROM events",
+    "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE trim(props) END AS recording, CASE WHEN event_id % 4 = 0 THEN 'album' ELSE 'own' END || user_id AS release, 'I' || user_id AS isrc, CASE WHEN event_id % 5 > 0 THEN 'A' || event_id END AS acoustid FROM events",
 )
 def p2(s, d):
-    e = table(s, d, "events")
+    """Keys as they are and keys that hold one; an exact key before a longer one that comes first."""
+    e, i = table(s, d, "events"), F.col("event_id")
     tag = lambda k, *v: F.struct(F.lit(k).alias("key"), F.array(*v).alias("values"))
-    tags = F.array(tag("Title", F.lit(" "), F.col("event_type")), tag("MusicBrainz Track Id", F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("props"))), tag("x-isrc-code", F.concat(F.lit("I"), F.col("user_id"))))
-    return e.select("event_id", X.tag_lookup(tags, X.RECORDING_KEYS, X.RECORDING_KEYS[:2]).alias("recording"), X.tag_lookup(tags, ("isrc", "tsrc"), ("isrc",)).alias("isrc"))
+    tags = F.array(
+        tag("Title", F.lit(" "), F.col("event_type")), tag("MusicBrainz Track Id", F.when(i % 3 == 0, "").otherwise(F.col("props"))), tag("x-isrc-code", F.concat(F.lit("I"), F.col("user_id"))),
+        tag("My MusicBrainz Album Id", F.concat(F.lit("own"), "user_id")), tag("MUSICBRAINZ_ALBUMID", F.when(i % 4 == 0, F.concat(F.lit(" album"), "user_id")).otherwise(" ")), tag("Acoustid Id", F.when(i % 5 > 0, F.concat(F.lit("A"), i))),
+    )
+    keys = {"recording": (X.RECORDING_KEYS, X.RECORDING_KEYS[:2]), "release": (("musicbrainzalbumid",),) * 2, "isrc": (("isrc", "tsrc"), ("isrc",)), "acoustid": (("acoustidid",),) * 2}
+    return e.select("event_id", *[X.tag_lookup(tags, *k).alias(n) for n, k in keys.items()])
 
 
 @query("p3_tag_display", "SELECT doc_id, trim(source) AS artist, trim(lang) AS album FROM documents")
@@ -38,9 +40,12 @@ def p3(s, d):
     return t.select("doc_id", X.display_lookup(tags, X.ARTIST_KEYS).alias("artist"), X.display_lookup(tags, X.ALBUM_KEYS).alias("album"))
 
 
-@query("p4_flat_clean", "SELECT doc_id, list_filter([trim(lang), '', trim(source)], lambda x: x <> '') AS v FROM documents")
+@query("p4_flat_clean", "SELECT doc_id, list_filter([trim(lang), '', trim(source) || CASE WHEN doc_id % 2 = 0 THEN 'é' ELSE 'ü' END], lambda x: x <> '') AS v FROM documents")
 def p4(s, d):
-    return table(s, d, "documents").select("doc_id", X.flat_clean(F.array(F.array(F.col("lang"), F.lit("  ")), F.array(F.col("source")))).alias("v"))
+    """Texts, and bytes in UTF-8 (even ids) or Latin-1."""
+    end = F.when(F.col("doc_id") % 2 == 0, F.unhex(F.lit("C3A920"))).otherwise(F.unhex(F.lit("FC20")))
+    data = X.decoded(F.concat(F.encode("source", "utf-8"), end))
+    return table(s, d, "documents").select("doc_id", X.flat_clean(F.array(F.array(F.col("lang"), F.lit("  ")), F.array(data))).alias("v"))
 
 
 @query("p5_first_identifier", "SELECT c_custkey, coalesce(nullif(trim(CASE WHEN c_custkey % 2 = 0 THEN ' ' ELSE c_name END), ''), nullif(trim(c_mktsegment), '')) AS v FROM customer")
@@ -216,13 +221,21 @@ def p29(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", L.plain_text(lrc).alias("v"))
 
 
+_SEGMENTS = """t AS (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN ' ' ELSE trim(text) END AS t, turn % 3 <> 2 AND conv_id % 7 <> 0 AS timed, printf('[%02d:%02d.%02d] ', CAST(turn * 150 // 6000 AS BIGINT), CAST(turn * 150 % 6000 // 100 AS BIGINT), CAST(turn * 150 % 100 AS BIGINT)) AS stamp FROM conversations)"""
+
+
 @query(
     "p30_segment_lines",
-    "SELECT conv_id, string_agg(printf('[%02d:%02d.%02d] %s', CAST(turn * 150 // 6000 AS BIGINT), CAST(turn * 150 % 6000 // 100 AS BIGINT), CAST(turn * 150 % 100 AS BIGINT), trim(text)), chr(10) ORDER BY turn, trim(text)) AS v FROM conversations GROUP BY conv_id",
+    f"WITH {_SEGMENTS} SELECT conv_id, coalesce(list(stamp || t ORDER BY turn, t) FILTER (timed AND t <> ' '), CASE WHEN conv_id % 10 = 0 THEN CAST([] AS VARCHAR[]) ELSE ['[00:00.00] full ' || conv_id] END) AS timed, coalesce(list(t ORDER BY turn, t) FILTER (t <> ' '), CASE WHEN conv_id % 10 = 0 THEN CAST([] AS VARCHAR[]) ELSE ['full ' || conv_id] END) AS plain FROM t GROUP BY conv_id",
 )
 def p30(s, d):
-    t = table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.trim("text").alias("t")))).alias("l"))
-    return t.select("conv_id", F.array_join(F.transform("l", lambda x: L.stamped(x["turn"] * 1.5, x["t"])), "\n").alias("v"))
+    """Some segments have no time, all of some conversations' have none or no text, and some of those have no full text either."""
+    c = F.col("conv_id")
+    text, start = F.when(c % 5 == 0, " ").otherwise(F.trim("text")), F.when((F.col("turn") % 3 != 2) & (c % 7 != 0), F.col("turn") * 1.5).cast("double")
+    t = table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", text.alias("text"), start.alias("start")))).alias("l"))
+    segments = F.transform("l", lambda x: F.struct(x["text"].alias("text"), x["start"].alias("start")))
+    full = F.when(c % 10 == 0, " ").otherwise(F.concat(F.lit(" full "), c))
+    return t.select("conv_id", L.segment_lines(segments, full, True).alias("timed"), L.segment_lines(segments, full, False).alias("plain"))
 
 
 @query("p31_provider_text", "SELECT doc_id, nullif(trim(text), '') AS v FROM documents WHERE NOT regexp_matches(text, '\\d*Embed$')")
