@@ -116,9 +116,10 @@ def j14(s, d):
     return table(s, d, "embeddings").select("vec_id", F.explode(S.probe_cutoffs(F.col("label") * 6000)).alias("cutoff"))
 
 
-# -- album grouping: customers as files, parts as releases ------------------------------------------------------------------------
+# -- album grouping: orders as files, kinds of parts as releases ------------------------------------------------------------------------
 
-CANDS_SQL = "f AS (SELECT DISTINCT o_custkey AS file, l_partkey AS release, p_brand || '-' || p_size AS release_group, c_nationkey AS parent FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity = 50)"
+#: Orders as files: eight neighbouring orders may share releases, sixteen release groups.
+CANDS_SQL = "f AS (SELECT DISTINCT l_orderkey AS file, (l_orderkey // 8) || '-' || l_partkey % 20 AS release, (l_orderkey // 16) || '-' || l_suppkey % 30 AS release_group, o_custkey % 5 AS parent FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 EDGES_SQL = CANDS_SQL + """, w AS (SELECT a, b, sum(w) AS w FROM (SELECT x.file AS a, y.file AS b, 2 AS w FROM (SELECT DISTINCT file, release FROM f) x JOIN (SELECT DISTINCT file, release FROM f) y ON x.release = y.release AND x.file < y.file
   UNION ALL SELECT x.file, y.file, 1 FROM (SELECT DISTINCT file, release_group AS g FROM f) x JOIN (SELECT DISTINCT file, release_group AS g FROM f) y ON x.g = y.g AND x.file < y.file) GROUP BY a, b),
 p AS (SELECT DISTINCT file, parent FROM f), e AS (SELECT w.a, w.b, CAST(w.w + CAST(x.parent = y.parent AS INT) AS BIGINT) AS weight FROM w JOIN p x ON x.file = w.a JOIN p y ON y.file = w.b WHERE w.w + CAST(x.parent = y.parent AS INT) >= 2)"""
@@ -127,9 +128,10 @@ cl AS (SELECT n AS file, min(c) AS cluster FROM r GROUP BY n), cc AS (SELECT clu
 
 
 def candidates(s, d) -> DataFrame:
-    li = table(s, d, "lineitem").filter("l_quantity = 50").select("l_orderkey", "l_partkey")
-    j = li.join(table(s, d, "orders").select("o_orderkey", "o_custkey"), F.expr("l_orderkey = o_orderkey")).join(table(s, d, "part"), F.expr("l_partkey = p_partkey")).join(table(s, d, "customer"), F.expr("o_custkey = c_custkey"))
-    return j.select(F.col("o_custkey").alias("file"), F.col("l_partkey").alias("release"), F.concat_ws("-", "p_brand", "p_size").alias("release_group"), F.col("c_nationkey").alias("parent")).distinct()
+    li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("file"), "l_partkey", "l_suppkey")
+    j = li.join(table(s, d, "orders").select(F.col("o_orderkey").alias("file"), (F.col("o_custkey") % 5).alias("parent")), "file")
+    key = lambda n, c: F.concat(F.floor(F.col("file") / n), F.lit("-"), c)
+    return j.select("file", key(8, F.col("l_partkey") % 20).alias("release"), key(16, F.col("l_suppkey") % 30).alias("release_group"), "parent").distinct()
 
 
 def clusters(s, d) -> tuple[DataFrame, DataFrame]:
