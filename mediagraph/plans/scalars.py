@@ -204,20 +204,26 @@ def p27(s, d):
 _LRC = "conv_id, turn, CASE WHEN conv_id % 9 = 0 THEN '' ELSE '[00:0' || turn % 10 || '.5]' END || trim(split_part(text, chr(10), 1)) AS line"
 
 
+_LINES = "li AS (SELECT conv_id, turn, text, trim(unnest(string_split(text, chr(10)))) AS t, unnest(range(len(string_split(text, chr(10))))) AS p FROM conversations WHERE text IS NOT NULL)"
+
+
 @query(
     "p28_timed_lyrics",
-    f"SELECT conv_id, list(t ORDER BY turn, t) AS texts, CAST(sum(ms) AS BIGINT) AS total_ms FROM (SELECT conv_id, turn, trim(split_part(text, chr(10), 1)) AS t, (turn % 10) * 1000 + 500 AS ms FROM conversations WHERE conv_id % 9 <> 0 AND text IS NOT NULL) GROUP BY conv_id",
+    f"WITH {_LINES} SELECT conv_id, list(t ORDER BY turn, text, p) AS texts, CAST(sum((turn % 10) * 1000 + 500) AS BIGINT) AS total_ms FROM li WHERE conv_id % 9 <> 0 GROUP BY conv_id",
 )
 def p28(s, d):
-    line = F.concat(F.when(F.col("conv_id") % 9 == 0, "").otherwise(F.concat(F.lit("[00:0"), F.col("turn") % 10, F.lit(".5]"))), F.trim(F.get(F.split("text", "\n"), F.lit(0))))
-    t = table(s, d, "conversations").filter("text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"))
+    """Every line of every turn with a stamp; without any in some conversations, which then have no timed lines at all."""
+    stamp = F.when(F.col("conv_id") % 9 == 0, "").otherwise(F.concat(F.lit("[00:0"), F.col("turn") % 10, F.lit(".5]")))
+    lines = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(stamp, x)), "\n")
+    t = table(s, d, "conversations").filter("text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text", lines.alias("line")))).alias("l"))
     t = t.select("conv_id", L.timed_lines(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("e")).filter(F.size("e") > 0)
     return t.select("conv_id", F.transform("e", lambda x: x["text"]).alias("texts"), F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + x["ms"]).alias("total_ms"))
 
 
-@query("p29_plain_lyrics", "SELECT conv_id, turn, nullif(trim(split_part(text, chr(10), 1)), '') AS v FROM conversations")
+@query("p29_plain_lyrics", f"WITH {_LINES} SELECT conv_id, turn, string_agg(t, chr(10) ORDER BY p) FILTER (t <> '') AS v FROM li GROUP BY conv_id, turn, text UNION ALL SELECT conv_id, turn, NULL FROM conversations WHERE text IS NULL")
 def p29(s, d):
-    lrc = F.concat(F.lit("[ar: x]\n[00:01.00]"), F.get(F.split("text", "\n"), F.lit(0)), F.lit("\n\n [00:02.00] "))
+    lines = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("[00:01.00]"), x)), "\n")
+    lrc = F.concat(F.lit("[ar: x]\n"), lines, F.lit("\n\n [00:02.00] "))
     return table(s, d, "conversations").select("conv_id", "turn", L.plain_text(lrc).alias("v"))
 
 
@@ -238,10 +244,10 @@ def p30(s, d):
     return t.select("conv_id", L.segment_lines(segments, full, True).alias("timed"), L.segment_lines(segments, full, False).alias("plain"))
 
 
-@query("p31_provider_text", "SELECT doc_id, nullif(trim(text), '') AS v FROM documents WHERE NOT regexp_matches(text, '\\d*Embed$')")
+@query("p31_provider_text", "SELECT doc_id, nullif(trim(text), '') AS v FROM documents")
 def p31(s, d):
     wrapped = F.concat(F.lit("12 Contributors\nSong Lyrics"), "text", F.lit("You might also like12Embed"))
-    return table(s, d, "documents").filter(~F.col("text").rlike(r"\d*Embed$")).select("doc_id", L.provider_text(wrapped).alias("v"))
+    return table(s, d, "documents").select("doc_id", L.provider_text(wrapped).alias("v"))
 
 
 @query("p33_cached_payload", r"SELECT event_id, try_cast(regexp_extract(props, '\"k\": ?(-?\d+)', 1) AS INT) AS k, event_id % 4 <> 0 AS usable FROM events")
