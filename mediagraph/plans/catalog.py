@@ -275,10 +275,16 @@ def r5(s, d):
     return A.disc_layout(local, release).select("cluster", F.col("points").cast("long").alias("points"))
 
 
-@query("a8_track_count", "SELECT l_orderkey, CASE WHEN l_orderkey % 2 = 0 THEN 99 ELSE sum(l_linenumber) END::BIGINT AS tracks FROM lineitem GROUP BY l_orderkey")
+@query("a8_track_count", "SELECT l_orderkey, CASE l_orderkey % 5 WHEN 0 THEN 99 WHEN 1 THEN 7 WHEN 4 THEN NULL ELSE sum(l_linenumber) FILTER (l_linenumber % 3 > 0) END::BIGINT AS tracks FROM lineitem GROUP BY l_orderkey")
 def a8(s, d):
-    t = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("media"))
-    return t.select("l_orderkey", F.coalesce(F.when(F.col("l_orderkey") % 2 == 0, F.lit(99).cast("long")), F.aggregate("media", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tracks"))
+    """A count of the release by either name, counts of media by either name, some of which are no numbers, and none at all."""
+    k, n = F.col("l_orderkey") % 5, F.col("l_linenumber")
+    count = F.when(n % 3 == 0, F.lit('{"track-count":"x"}')).when(n % 3 == 1, F.concat(F.lit('{"track-count":"'), n, F.lit('"}'))).otherwise(F.concat(F.lit('{"track-count":0,"track_count":'), n, F.lit("}")))
+    t = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(count), ",").alias("m"))
+    media = F.when(k == 2, F.concat(F.lit('"medium-list":['), "m", F.lit("]"))).otherwise(F.concat(F.lit('"medium-list":[],"media":['), F.when(k == 4, "{}").otherwise(F.col("m")), F.lit("]")))
+    own = F.when(k == 0, '"track-count":" 99",').when(k == 1, '"track-count":"?","track_count":7,').otherwise("")
+    r = F.from_json(F.concat(F.lit("{"), own, media, F.lit("}")), V.RELEASE)
+    return t.select("l_orderkey", V.stated_track_count(r).alias("tracks"))
 
 
 @query("j8_candidate_match", "SELECT DISTINCT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size = 7")
