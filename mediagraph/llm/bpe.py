@@ -11,16 +11,20 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from mediagraph.llm.common import as_bytes, kept
 
-#: Words, pieces and pairs of tokens that one Python worker remembers, about 250, 250 and 120 bytes each.
-WORDS_REMEMBERED, PIECES_REMEMBERED, PAIRS_REMEMBERED = 50_000, 170_000, 150_000
+#: Words, pieces and pairs of tokens that one Python worker remembers, about 170, 170 and 100 bytes each.
+WORDS_REMEMBERED, PIECES_REMEMBERED, PAIRS_REMEMBERED = 250_000, 20_000, 250_000
+#: Words and pieces of more characters aren't remembered.
+LONGEST_REMEMBERED = 64
 #: A blank between two characters that aren't white space always begins a piece: no piece has one further on.
 BREAK = re.compile(r"(?<=\S) (?=\S)")
 
@@ -32,25 +36,23 @@ def read_ranks(path: str) -> bytes:
 
 
 class Memo(dict):
-    """Values by key. When it holds as many as it may, the older half is forgotten but for what has been asked for since."""
+    """Values made by key. When it holds as many as it may, the older half is forgotten but for what has been asked for since."""
 
-    def __init__(self, most: int):
+    def __init__(self, most: int, make):
         super().__init__()
-        self.most, self.old = max(1, most // 2), {}
+        self.half, self.make, self.old = max(1, most // 2), make, {}
 
-    def __missing__(self, key):
-        """A value of the older half moves to the newer one; None where there is none."""
+    def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
-        if value is not None:
-            self.put(key, value)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST_REMEMBERED:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
         return value
 
-    def put(self, key, value) -> None:
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-
 
 class Vocabulary:
     """Tokens by rank, merging, and the validity of neighbouring tokens."""
@@ -65,7 +67,8 @@ class Vocabulary:
             for b in token:
                 node = node.setdefault(b, {})
             node[-1] = rank
-        self.pairs: dict[int, bool] = {}  # by left << 32 | right
+        self.pairs: dict[int, bool] = {}  # by left << 32 | right; the older half of what is remembered is apart
+        self._older_pairs: dict[int, bool] = {}
         self._starts: dict[bytes, tuple] = {}
         self._alone: dict[int, bool] = {}
         self._parts: dict[int, tuple[int, int] | None] = {}
@@ -116,9 +119,14 @@ class Vocabulary:
 
     def neighbours(self, left: int, right: int) -> bool:
         """Whether right may follow left; a token that merging never reaches may not."""
-        if len(self.pairs) > PAIRS_REMEMBERED:
+        pair = left << 32 | right
+        ok = self._older_pairs.get(pair)
+        if ok is None:
+            ok = self.reachable(left) and self.reachable(right) and self._apart(left, right)
+        if len(self.pairs) >= max(1, PAIRS_REMEMBERED // 2):
+            self._older_pairs = dict(self.pairs)
             self.pairs.clear()
-        ok = self.pairs[left << 32 | right] = self.reachable(left) and self.reachable(right) and self._apart(left, right)
+        self.pairs[pair] = ok
         return ok
 
     def _apart(self, left: int, right: int) -> bool:
@@ -137,6 +145,7 @@ class Vocabulary:
             else:
                 return True
 
+
 class PieceEncoder:
     """The last token of each prefix of one piece; grows by exact appends."""
 
@@ -185,43 +194,35 @@ class PieceEncoder:
 
 
 class TextEncoder:
-    """Ids of whole texts: the pattern cuts pieces, each piece is encoded separately."""
+    """Ids of whole texts: the pattern cuts pieces, each piece is encoded separately. Ids are kept packed, four bytes each."""
 
     def __init__(self, rank_file: bytes, pattern: str):
         self.v, self.pattern = Vocabulary(rank_file), regex.compile(pattern)
-        self._pieces, self._words = Memo(PIECES_REMEMBERED), Memo(WORDS_REMEMBERED)
+        self._pieces, self._words = Memo(PIECES_REMEMBERED, self._piece), Memo(WORDS_REMEMBERED, self._word)
 
-    def piece(self, text: str) -> tuple[int, ...]:
-        known = self._pieces[text]
-        if known is None:
-            data = as_bytes(text)
-            whole = self.v.ranks.get(data)
-            if whole is not None:
-                known = (whole,)
-            else:
-                prefix = PieceEncoder(self.v)
-                prefix.append(data)
-                known = tuple(prefix.ids())
-            if len(data) < 64:
-                self._pieces.put(text, known)
-        return known
+    def _piece(self, text: str) -> bytes:
+        prefix = PieceEncoder(self.v)
+        data = as_bytes(text)
+        if data not in self.v.ranks:
+            prefix.append(data)
+            return array("i", prefix.ids()).tobytes()
+        return array("i", [self.v.ranks[data]]).tobytes()
 
-    def word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         """Ids of what follows a BREAK, up to the next one, with its blank."""
-        known = self._words[word]
-        if known is None:
-            known = [i for p in self.pattern.findall(" " + word) for i in self.piece(p)]
-            if len(word) < 64:
-                self._words.put(word, known)
-        return known
+        pieces = self.pattern.findall(" " + word)
+        return self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self._pieces.__getitem__, pieces))
 
-    def encode(self, text: str) -> list[int]:
+    def piece(self, text: str) -> tuple[int, ...]:
+        return tuple(array("i", self._pieces[text]))
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as 32-bit integers in the machine's order."""
         first, *words = BREAK.split(text)
-        out = [i for p in self.pattern.findall(first) for i in self.piece(p)]
-        extend, get, word = out.extend, self._words.get, self.word
-        for w in words:
-            extend(get(w) or word(w))
-        return out
+        return b"".join(map(self._pieces.__getitem__, self.pattern.findall(first))) + b"".join(map(self._words.__getitem__, words))
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.packed(text)).tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.v.tokens.__getitem__, ids))
@@ -300,16 +301,19 @@ def _encoded(docs: DataFrame, rank_path: str, pattern: str, text_col: str, with_
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                counts, lists, hashed, decoded = [], [], [], []
+                counts, packs, hashed, decoded = [], [], [], []
                 for cell in part.column(place):
-                    ids = encoder.encode(cell.as_py() or "")
+                    pack = encoder.packed(cell.as_py() or "")
+                    ids = array("i", pack)
                     counts.append(len(ids))
                     hashed.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
                     decoded.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
                     if with_ids:
-                        lists.append(ids)
+                        packs.append(pack)
                 given = [part.column(i) for i, name in enumerate(part.schema.names) if i != place or with_ids]
-                made = [pa.array(counts, pa.int64()), *([pa.array(lists, pa.list_(pa.int32()))] if with_ids else []), pa.array(hashed, pa.string()), pa.array(decoded, pa.string())]
+                ends = pa.array(np.cumsum([0, *counts]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packs), np.int32)))] if with_ids else []
+                made = [pa.array(counts, pa.int64()), *lists, pa.array(hashed, pa.string()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(given + made, names=[*names, "n_tokens", *["token_ids"] * with_ids, "ids_sha256", "decoded_sha256"])
 
     return docs.mapInArrow(encode, schema)

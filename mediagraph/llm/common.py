@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mediagraph.operators.graph import saved, scratch_path
 
-__all__ = ["as_bytes", "fresh", "kept", "saved", "scratch_path", "table"]
+__all__ = ["as_bytes", "fresh", "kept", "saved", "scratch_path", "spread", "table"]
 
 
 _KEPT: dict = {}
@@ -40,6 +40,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(stored: DataFrame) -> DataFrame:
+    """A stored table, dealt out over all cores where it would be read in fewer parts: a row group is never read by two tasks. A table
+    of as many parts as cores, or more, isn't moved."""
+    cores = stored.sparkSession.sparkContext.defaultParallelism
+    return stored.repartition(cores) if stored.rdd.getNumPartitions() < cores else stored
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that df lacks, so that a helper column never clashes with a given one."""
     taken = {c.lower() for c in df.columns}

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediagraph.llm import bpe, chat, decontam, linededup, lm, minhash, quality, runs, sharding, tokencount, trie, urlfilter, warc
-from mediagraph.llm.common import saved, table
+from mediagraph.llm.common import saved, spread, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -17,7 +17,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    done = bpe.encode_digests(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
@@ -48,7 +48,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.section_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return tokencount.section_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]

@@ -105,7 +105,7 @@ def section_tokens(docs: DataFrame, rank_path: str, pattern: str, fields: tuple[
             ids, kinds, lengths, counts, totals = [], [], [], [], []
             for row in zip(*batch.columns, strict=True):
                 text, found, parts = sections_of([c.as_py() for c in row[1:]], names, at)
-                tokens = np.array(encoder.encode(text), dtype=np.int64)
+                tokens = np.frombuffer(encoder.packed(text), np.int32)
                 starts, ends = token_spans(text.encode("utf-8", "surrogatepass"), sizes[tokens])
                 bounds = np.append(0, np.cumsum([len(p) for p in parts]))
                 ids += [row[0].as_py()] * len(found)

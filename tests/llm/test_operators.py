@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mediagraph.llm import bpe, chat, decontam, lm, minhash, ngrams, quality, sharding, tokencount, urlfilter, warc
+from mediagraph.llm.common import spread, table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -816,3 +817,24 @@ def test_pipeline_stages_take_odd_rows(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.count() == 0
+
+
+def test_packed_ids_are_those_of_the_list_and_survive_forgetting(encoding, monkeypatch):
+    r = random.Random(11)
+    texts = ["", " ", "\n\n", "a", *(prose(r, 200) for _ in range(20))]
+    for words, longest in ((250_000, 64), (2, 64), (2, 0)):
+        monkeypatch.setattr(bpe, "WORDS_REMEMBERED", words)
+        monkeypatch.setattr(bpe, "PAIRS_REMEMBERED", words)
+        monkeypatch.setattr(bpe, "LONGEST_REMEMBERED", longest)
+        encoder = bpe.TextEncoder(bpe.read_ranks(RANKS), PATTERN)
+        for t in texts:
+            assert np.frombuffer(encoder.packed(t), np.int32).tolist() == encoder.encode(t) == encoding.encode_ordinary(t)
+        assert len(encoder._words) <= max(1, words // 2) and len(encoder.v.pairs) <= max(1, words // 2)
+
+
+def test_a_table_read_in_one_part_is_dealt_out(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/one.parquet")
+    stored = table(spark, str(tmp_path), "one")
+    got = spread(stored)
+    assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and got.distinct().count() == 1000
+    assert spread(got) is got
