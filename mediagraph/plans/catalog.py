@@ -118,10 +118,6 @@ def s8(s, d):
     return I.transcript_segments(j.withColumn("key", F.struct("conv_id", "turn")), "key", "j").select("key.conv_id", "key.turn", "start_s", "end_s", "text")
 
 
-@query("s13_sidecars", "SELECT doc_id, '/lib/' || source || '/' || doc_id || '.lrc' AS lrc_path FROM documents")
-def s13(s, d):
-    return table(s, d, "documents").select("doc_id", F.regexp_replace(F.concat(F.lit("/lib/"), "source", F.lit("/"), "doc_id", F.lit(".flac")), r"\.[^./]+$", ".lrc").alias("lrc_path"))
-
 
 @query("s15_lyrics_search", "SELECT p_partkey AS id, p_name AS title, p_brand AS artist, p_type AS album, p_retailprice AS duration FROM part WHERE p_size % 5 <> 0")
 def s15(s, d):
@@ -177,11 +173,6 @@ def j11(s, d):
     return R.needs_fingerprint(f, cached, "1.0").select("file")
 
 
-@query("j13_duplicate_records", "SELECT c_custkey AS file, c_name AS title, CASE WHEN c_custkey % 4 = 0 THEN 'R' || c_custkey END AS recording FROM customer WHERE c_custkey % 4 = 0 OR (c_custkey % 3 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 2 <> 0)")
-def j13(s, d):
-    r = R.resolve(keyed_files(s, d), references(s, d)).filter("source = 'recording' or source is null")
-    return table(s, d, "customer").select(F.col("c_custkey").alias("file"), X.first_clean(F.lit(" "), F.col("c_name")).alias("title")).join(r, "file").select("file", "title", "recording")
-
 
 # -- release scores: parts by brand and type as local albums -----------------------------------------------------------------------
 
@@ -287,11 +278,6 @@ def a8(s, d):
     return t.select("l_orderkey", V.stated_track_count(r).alias("tracks"))
 
 
-@query("j8_candidate_match", "SELECT DISTINCT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size = 7")
-def j8(s, d):
-    wanted = table(s, d, "part").filter("p_size = 7").select(F.col("p_partkey").alias("l_partkey"))
-    return table(s, d, "lineitem").join(wanted, "l_partkey", "left_semi").select("l_orderkey").distinct()
-
 
 @query("w11_local_order", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY nullif(p_size % 3, 0) NULLS LAST, nullif(p_size % 11, 0) NULLS LAST, lpad(CAST(p_partkey AS VARCHAR), 8, '0')) AS position FROM part")
 def w11(s, d):

@@ -237,10 +237,3 @@ def planned(s, d) -> DataFrame:
 @query("m1_plan_files", f"WITH RECURSIVE {_PLANNED} SELECT o, p, s, n, status, output_path FROM pm")
 def m1(s, d):
     return planned(s, d).select("o", "p", "s", "n", "status", "output_path")
-
-
-@query("p32_container_tags", "SELECT p_partkey, k.container_key, CASE k.field WHEN 'title' THEN p_name WHEN 'artist' THEN p_brand ELSE CAST(p_size AS VARCHAR) END AS value FROM part JOIN (VALUES (0, 'title', 'TITLE'), (0, 'artist', 'ARTIST'), (0, 'track', 'TRACKNUMBER'), (1, 'title', 'TIT2'), (1, 'artist', 'TPE1'), (1, 'track', 'TRCK'), (2, 'title', 'Title'), (2, 'artist', 'Author'), (2, 'track', 'WM/TrackNumber')) k(fam, field, container_key) ON k.fam = p_partkey % 3")
-def p32(s, d):
-    ext = F.element_at(F.array(*map(F.lit, (".flac", ".mp3", ".wma"))), (F.col("p_partkey") % 3 + 1).cast("int"))
-    t = table(s, d, "part").select("p_partkey", ext.alias("ext"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), F.col("p_size").alias("track"), F.lit(" ").alias("album"))
-    return M.container_tags(t, "p_partkey", "ext")

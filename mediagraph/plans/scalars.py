@@ -250,12 +250,6 @@ def p31(s, d):
     return table(s, d, "documents").select("doc_id", L.provider_text(wrapped).alias("v"))
 
 
-@query("p33_cached_payload", r"SELECT event_id, try_cast(regexp_extract(props, '\"k\": ?(-?\d+)', 1) AS INT) AS k, event_id % 4 <> 0 AS usable FROM events")
-def p33(s, d):
-    payload = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("["), F.col("props"), F.lit("]"))).otherwise(F.col("props"))
-    t = table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"), F.from_json(payload, "map<string,string>").alias("m"))
-    return t.select("event_id", "k", (F.col("m").isNotNull() & F.map_contains_key(F.coalesce("m", F.create_map(F.lit(""), F.lit(""))), "k")).alias("usable"))
-
 
 @query("p34_confidence", "SELECT vec_id, CASE WHEN label / 8.0 >= 1 THEN 1.0 ELSE greatest(0.0, least(1.0, (label / 8.0 - 0.05) / 0.95)) END::DOUBLE AS v FROM embeddings")
 def p34(s, d):
@@ -271,10 +265,6 @@ def p35(s, d):
     return table(s, d, "events").select("event_id", X.provider_error(F.lit("error"), F.when(k == 2, F.col("user_id").cast("string")), F.when(k == 2, F.concat(F.lit(" "), "event_type")).otherwise(" "), k > 0).alias("v"))
 
 
-@query("p37_first_duration", "SELECT p_partkey, coalesce(CASE WHEN p_size > 25 THEN p_retailprice END, CAST(p_size AS DOUBLE)) AS v FROM part")
-def p37(s, d):
-    return table(s, d, "part").select("p_partkey", F.coalesce(F.lit(None).cast("double"), F.when(F.col("p_size") > 25, F.col("p_retailprice")), F.col("p_size").cast("double")).alias("v"))
-
 
 @query("p39_first_format", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_type END AS v FROM part")
 def p39(s, d):
