@@ -95,3 +95,28 @@ def test_a_large_bucket_of_many_stronger_keys(spark):
     assert [(x["files"], x["pairs"]) for x in got] == [(n, n * (n - 1) // 2 - 50_000 * 6)]
     groups = dedupe.uncovered_groups([one, two]).filter("tier = 'two'")
     assert groups.select("part").distinct().count() == 1 and groups.count() == n
+
+
+@pytest.mark.parametrize("chunk", [2, 256])
+def test_pairs_and_counts_without_grouping(spark, monkeypatch, chunk):
+    """Every uncovered pair once, whatever the bound on lists and the chunks; counts of groups, listed pairs and what is known of their files."""
+    monkeypatch.setattr(dedupe, "CHUNK", chunk)
+    r = random.Random(5)
+    tiers = [("one", {"x": {0, 1, 2}, "y": {3, 4}}), ("two", {k: {f for f in range(30) if f % 3 == k} for k in range(3)}), ("three", {"all": set(range(24)), "few": {25, 28, 29}})]
+    tiers[1] = ("two", {str(k): v - {r.randrange(30)} for k, v in tiers[1][1].items()})
+    seen, pairs = set(), collections.Counter()
+    for name, buckets in tiers:
+        new = {p for files in buckets.values() for p in itertools.combinations(sorted(files), 2)}
+        pairs.update((name, *p) for p in new - seen)
+        seen |= new
+    given = tables(spark, tiers)
+    assert collections.Counter(map(tuple, dedupe.uncovered_pairs(given).select("tier", "a", "b").collect())) == pairs
+    groups, _ = by_all_pairs(tiers)
+    counts = collections.Counter()
+    for (tier, _), n in groups.items():
+        counts[tier] += n
+    assert dict(map(tuple, dedupe.uncovered_group_counts(given).collect())) == counts
+    cliques, two = dedupe.groups_and_pairs(given, None, spark.range(30).selectExpr("id file", "concat('p', 30 - id) path"))
+    heads = [*dedupe.group_heads(cliques).select("first", "members").collect(), *dedupe.pair_heads(two).select("first", "members").collect()]
+    assert collections.Counter(map(tuple, heads)) == collections.Counter((f[0], len(f)) for (_, f), n in groups.items() for _ in range(n))
+    assert all(sorted(x["files"], key=lambda f: f"p{30 - f}") == x["files"] for x in dedupe.ordered_pairs(two).collect())
