@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mediagraph.operators import records as R
 from mediagraph.operators import tags as T
+from mediagraph.operators.skew import dealt_out
 from mediagraph.plans.registry import query, table
 from mediagraph.sources import reports
 
@@ -52,7 +53,7 @@ def p32(s, d):
     synced = F.when(size % 2 == 0, F.concat(F.lit("[00:01.50] "), "p_brand", F.lit("\n\n[1:02.25]b"))).otherwise("[00:01.50] a\nno time")
     more = {"rating": size % 6, "rating_email": F.when(size % 2 == 0, F.col("p_brand")).otherwise(" "), "syncedlyrics": synced}
     ext = F.concat(F.lit("."), F.element_at(F.array(*map(F.lit, _EXT)), (p % 9 + 1).cast("int")))
-    t = table(s, d, "part").select("p_partkey", ext.alias("ext"), *[c.alias(f) for f, c in (fields | numbers | more).items()])
+    t = dealt_out(table(s, d, "part")).select("p_partkey", ext.alias("ext"), *[c.alias(f) for f, c in (fields | numbers | more).items()])
     return T.container_tags(t, "p_partkey", "ext").select("p_partkey", "container_key", F.array_join("values", "|").alias("value"))
 
 

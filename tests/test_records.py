@@ -101,3 +101,11 @@ def test_report_text_in_order_and_without_rows(spark, tmp_path):
     assert sorted(text) == sorted(x.replace("!", "|") for x in want.split("|"))
     ordered = [r["line"] for r in reports.grouping_report(*full).orderBy(*reports.LINE_ORDER).collect()]
     assert ordered == [x.replace("!", "|") for x in want.split("|")]
+
+
+def test_container_tags_are_made_by_all_cores(spark):
+    """A small table of one file is no single task."""
+    from mediagraph.plans.library import QUERIES
+
+    df = QUERIES["p32_container_tags"](spark, "/root/testdata/sf0.001")
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
