@@ -109,3 +109,13 @@ def test_container_tags_are_made_by_all_cores(spark):
 
     df = QUERIES["p32_container_tags"](spark, "/root/testdata/sf0.001")
     assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_release_is_parsed_once(spark):
+    """The filter on its id doesn't parse its text again."""
+    from mediagraph.sources.releases import canonical_tracks
+
+    text = '{"id":"R1","media":[{"tracks":[{"id":"t1","title":"T"}]}]}'
+    got = canonical_tracks(spark.createDataFrame([(1, text), (2, '{"id":" "}')], "k long, j string"), "j", "k")
+    assert [(r["k"], r["track_mbid"]) for r in got.collect()] == [(1, "t1")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
