@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediagraph.functions.text import clean, distinct_clean
-from mediagraph.operators.graph import saved
 from mediagraph.sources.releases import canonical_tracks
 
 #: Extensions of media files.
@@ -39,38 +40,39 @@ def _is(value: Column, kind: str) -> Column:
     return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
 
 
-def nested_ids(nodes: DataFrame, keys: list[str], json: str, lists: dict[str, str]) -> DataFrame:
-    """keys and, for each of lists, the distinct ids of the objects in lists of that name, at any depth of the JSON text, those of an
-    object before those of what it holds, else in the order of the text.
-
-    Objects are opened level by level, a round for each, until none is left that holds a wanted name; what has no such name below
-    isn't followed. A text that only looks like JSON inside a string isn't opened.
-    """
-    wanted = lambda c: reduce(lambda x, y: x | y, [F.contains(c, F.lit(f'"{n}"')) for n in lists.values()])
-    now = nodes.select(*keys, F.col(json).alias("j"), F.array().cast("array<int>").alias("at"))
-    given: list[DataFrame] = []
-    while True:
-        texts, values = F.from_json("j", "map<string,string>"), F.from_json("j", "map<string,variant>")
-        items, parts = F.from_json("j", "array<string>"), F.from_json("j", "array<variant>")
-        is_list = F.startswith("j", F.lit("["))
-        # an object's values, or a list's items under no name; both readings of a text have them in its order
-        nameless = F.arrays_zip(F.transform(items, lambda _: F.lit(None).cast("string")).alias("name"), items.alias("t"), parts.alias("v"))
-        children = F.when(is_list, nameless).otherwise(F.arrays_zip(F.map_keys(texts).alias("name"), F.map_values(texts).alias("t"), F.map_values(values).alias("v")))
-        opened = now.select(*keys, "at", F.posexplode(children).alias("pos", "c")).select(*keys, F.concat("at", F.array("pos")).alias("at"), "c.name", "c.t", "c.v")
-        opened = opened.filter((F.startswith("t", F.lit("{")) | F.startswith("t", F.lit("["))) & (F.coalesce(F.col("name").isin(*lists.values()), F.lit(False)) | wanted(F.col("t"))))
-        opened = opened.filter(_is(F.col("v"), "OBJECT") | _is(F.col("v"), "ARRAY")).withColumn("listed", F.when(F.col("name").isin(*lists.values()) & _is(F.col("v"), "ARRAY"), F.from_json("t", "array<variant>")))
-        opened = saved(opened.select(*keys, "at", "name", "t", "listed"), "opened")
-        one = F.expr("transform(filter(listed, x -> schema_of_variant(try_variant_get(x, '$.id', 'variant')) = 'STRING'), x -> trim(try_variant_get(x, '$.id', 'string')))")
-        found = opened.filter(F.col("name").isin(*lists.values()) & F.col("listed").isNotNull()).select(*keys, "name", "at", F.filter(one, lambda x: x != "").alias("ids"))
-        given.append(found)
-        now = opened.filter(wanted(F.col("t"))).select(*keys, F.col("t").alias("j"), "at")
-        if now.isEmpty():
-            break
-    found = reduce(DataFrame.unionByName, given)
-    # a list belongs to the object that holds it, which comes before the objects inside it
-    order = F.struct(F.slice("at", 1, F.size("at") - 1).alias("holder"), F.element_at("at", -1).alias("pos"), "ids")
-    pick = lambda n: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("name") == n, order))), lambda x: x["ids"])))
-    return found.groupBy(*keys).agg(*[pick(n).alias(c) for c, n in lists.items()])
+def ids_in(text: str, names: list[str]) -> list[list[str]]:
+    """For each of names, the distinct ids of the objects in lists of that name at any depth of a JSON text, those of an object before
+    those of what it holds, else in the order of the text; ids that aren't texts, or are blank, don't count."""
+    found: dict[str, dict[str, None]] = {n: {} for n in names}
+    ahead = [json.loads(text, parse_int=float)]
+    while ahead:
+        node = ahead.pop()
+        if isinstance(node, dict):
+            for name in names:
+                listed = node.get(name)
+                if isinstance(listed, list):
+                    ids = (x["id"].strip(" ") for x in listed if isinstance(x, dict) and isinstance(x.get("id"), str))
+                    found[name].update((x, None) for x in ids if x)
+            node = list(node.values())
+        ahead += [x for x in reversed(node) if isinstance(x, (dict, list))] if isinstance(node, list) else []
+    # half of a surrogate pair becomes a question mark, as in Spark's own texts
+    return [[x if x.isascii() else x.encode("utf-8", "replace").decode() for x in ids] for ids in found.values()]
+
+
+def nested_ids(nodes: DataFrame, json: str, lists: dict[str, str]) -> DataFrame:
+    """nodes without their column of JSON texts and, for each of lists, what ids_in finds under that name; none for a null text. Texts
+    are as from_json gives them back. Each is read once, where its row is: no row moves."""
+    kept = [c for c in nodes.columns if c != json]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = list(lists.values())
+        for batch in batches:
+            found = [ids_in(x, names) if x is not None else [[] for _ in names] for x in batch.column(json).to_pylist()]
+            ids = [pa.array([x[i] for x in found], pa.list_(pa.string())) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *ids], names=[*kept, *lists])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema if f.name != json] + [f"`{c}` array<string>" for c in lists]
+    return nodes.mapInArrow(read, ", ".join(fields))
 
 
 def lookup_results(df: DataFrame, key: str, json: str) -> DataFrame:
@@ -83,10 +85,7 @@ def lookup_results(df: DataFrame, key: str, json: str) -> DataFrame:
 def lookup_candidates(df: DataFrame, key: str, json: str) -> DataFrame:
     """key, index, id, score, recordings, releases and groups of each result with an id; ids of recordings, releases and release groups
     are taken from any depth of the result."""
-    results = saved(lookup_results(df, key, json), "results")
-    ids = nested_ids(results, [key, "index"], "r", ID_LISTS)
-    none = F.array().cast("array<string>")
-    return results.drop("r").join(ids, [key, "index"], "left").select(key, "index", "id", "score", *[F.coalesce(c, none).alias(c) for c in ID_LISTS])
+    return nested_ids(lookup_results(df, key, json), "r", ID_LISTS).select(key, "index", "id", "score", *ID_LISTS)
 
 
 def recording_lookup(json: Column) -> Column:

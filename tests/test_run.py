@@ -85,6 +85,19 @@ def test_ids_at_any_depth(spark):
     assert got == want and any(w[1] for w in want.values())
 
 
+def test_deep_ids_take_one_job(spark):
+    deep = {"releases": [{"id": "last"}]}
+    for i in range(200):
+        deep = {"recordings": [{"id": "\ud800" if i == 199 else f" r{i % 3} ", "n": i, "more": deep}]}
+    row = json.dumps({"results": [{"id": "a"} | deep]})
+    sc = spark.sparkContext
+    sc.setJobGroup("deep ids", "")
+    got = ingest.lookup_candidates(spark.createDataFrame([(1, row)], "k long, j string").coalesce(1), "k", "j").collect()
+    jobs = len(sc.statusTracker().getJobIdsForGroup("deep ids"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert [(r["recordings"], r["releases"], r["groups"]) for r in got] == [(["?", "r0", "r2", "r1"], ["last"], [])] and jobs == 1
+
+
 def test_releases_in_either_spelling(spark):
     track = {"id": "t", "position": "3", "title": " ", "recording": {"id": "r", "title": "T", "url-relation-list": [{"target-type": "url", "target": "http://x"}]}}
     one = {"id": "a", "title": "A", "medium-list": [{"position": "2", "track-list": [track]}], "media": []}
