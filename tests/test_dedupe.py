@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from mediagraph.operators import dedupe
+from mediagraph.operators import dedupe, graph
 
 SCHEMA = "tier string, bucket string, file long"
 
@@ -120,3 +120,32 @@ def test_pairs_and_counts_without_grouping(spark, monkeypatch, chunk):
     heads = [*dedupe.group_heads(cliques).select("first", "members").collect(), *dedupe.pair_heads(two).select("first", "members").collect()]
     assert collections.Counter(map(tuple, heads)) == collections.Counter((f[0], len(f)) for (_, f), n in groups.items() for _ in range(n))
     assert all(sorted(x["files"], key=lambda f: f"p{30 - f}") == x["files"] for x in dedupe.ordered_pairs(two).collect())
+
+
+def test_finished_components_are_left_out_of_later_rounds(spark, monkeypatch):
+    sizes, kept = [], graph.saved
+
+    def counting(df, name):
+        out = kept(df, name)
+        if name == "edges":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "saved", counting)
+    chain = [(k, k + 1) for k in range(1000, 1040)]
+    edges = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(300)] + chain, "a long, b long")
+    got = {r["id"]: r["component"] for r in graph.stars(edges).collect()}
+    assert got == {k: k - k % 2 for k in range(600)} | {k: 1000 for k in range(1000, 1041)}
+    assert sizes[0] == 340 and max(sizes[3:]) <= 40
+
+
+def test_album_groups_are_the_components_of_the_weights(spark):
+    r = random.Random(11)
+    rows = [(f, r.choice([None, f"r{r.randint(0, 60)}"]), r.choice([None, f"g{r.randint(0, 25)}"]), f % 7 if f % 3 else None) for f in range(60) for _ in range(r.randint(1, 3))]
+    candidates = spark.createDataFrame(rows, "file long, release string, release_group string, parent int")
+    want = {f: f for f, *_ in rows}
+    edges = [(x["a"], x["b"]) for x in graph.shared_weights(candidates).collect()]
+    for _ in range(60):
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    assert {x["file"]: x["cluster"] for x in graph.album_groups(candidates).collect()} == want and 5 < len(set(want.values())) < 55
