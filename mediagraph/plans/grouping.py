@@ -231,7 +231,7 @@ def planned(s, d) -> DataFrame:
         F.when(n == 7, "???").otherwise(F.concat(F.lit("T "), n, F.when(p % 14 == 1, " [r4]").otherwise(""))).alias("title"), n.alias("track_number"), (n % 3).alias("disc_number"), F.when(o % 3 == 0, 2).alias("total_discs"),
         F.when(o % 2 == 0, "flac").alias("extension"), F.concat(F.lit("r"), p % 5).alias("recording"),
     )
-    return M.planned_files(t, "/out", ["o", "p", "s", "n", "x"], ["recording"])
+    return M.planned_files(t, "/out", ["o", "p", "s", "n", "x"], ["recording"], keep=["o", "p", "s", "n"])
 
 
 @query("m1_plan_files", f"WITH RECURSIVE {_PLANNED} SELECT o, p, s, n, status, output_path FROM pm")
