@@ -525,6 +525,21 @@ def test_empty_model(spark):
     assert np.allclose(10.0 ** model.log10(np.arange(10)), 0.1) and not len(raw["keys"])
 
 
+def test_scores_are_of_all_n_grams(spark, monkeypatch):
+    """Whatever tasks hold of a model, scores and perplexities are those of all n-grams; also of texts that weren't counted."""
+    r = random.Random(12)
+    rows = [(i, prose(r, r.randint(60, 120)), "en") for i in range(80)] + [(100, "again and again " * 60, "en"), (101, "", "en"), (102, "never seen before", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = []
+    for entries, ranges in ((ngrams.ENTRIES, ngrams.ROWS_PER_RANGE), (200, 500), (1, 10**9)):
+        monkeypatch.setattr(ngrams, "ENTRIES", entries)
+        monkeypatch.setattr(ngrams, "ROWS_PER_RANGE", ranges)
+        judged = {x["doc_id"]: x["log10_perplexity"] for x in quality.judge(docs).collect()}
+        scored = {x["doc_id"]: x["score"] for x in lm.score_documents(docs, RANKS).collect()}
+        found.append([v[i] for v in (judged, scored) for i, _, _ in rows])
+    assert np.allclose(found[0], found[1], rtol=1e-5) and np.allclose(found[0], found[2], rtol=1e-5)
+
+
 def sentences(r, n):
     """Words that follow one another by a rule."""
     subjects, verbs, things = (["%s%d" % (w, i) for i in range(12)] for w in ("dog", "sees", "house"))
