@@ -66,6 +66,21 @@ def test_bpe_of_an_empty_table(docs):
     assert bpe.encode_digests(docs.limit(0), RANKS, PATTERN).count() == 0
 
 
+def test_short_pieces_have_the_last_tokens_of_their_prefixes(encoding):
+    """As the library encodes them and as the table of all prefixes says; also where the longest token leads nowhere."""
+    v = bpe.Vocabulary(bpe.read_ranks(RANKS))
+    r = random.Random(15)
+    tokens = [t for t in v.ranks if len(t) < 9]
+    for _ in range(3000):
+        data = b"".join(r.choice(tokens) for _ in range(r.randint(1, 5)))[: r.randint(1, bpe.ShortPiece.MOST)]
+        whole = bpe.PieceEncoder(v)
+        whole.append(data)
+        got = bpe.ShortPiece(v, data).ids()
+        assert b"".join(v.tokens[i] for i in got) == data
+        if data not in v.ranks:
+            assert got == whole.ids() == [v.ranks[t] for t in v.merged(data)]
+
+
 def test_edits_encode_only_what_is_near(encoding):
     encoder, r = bpe.TextEncoder(bpe.read_ranks(RANKS), PATTERN), random.Random(2)
     for _ in range(300):
