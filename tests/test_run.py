@@ -127,3 +127,18 @@ def test_assignment_equals_one_file_after_another(spark):
             free = [t for t in free if t is not hit]
     got = albums.assign_tracks(spark.createDataFrame(local, "cluster long, file long, position int, recording string, candidates array<string>"), spark.createDataFrame(tracks, "cluster long, track long, position int, recording string"))
     assert {x["file"]: x["track"] for x in got.collect()} == want
+
+
+def test_a_run_reads_its_releases_once_and_their_own_fields_once_a_release(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([('{"id":"R","title":"T","release-group":{"id":"G"},"media":[{"tracks":[{"id":"t1"},{"id":"t2"}]}]}',)], "j string")
+    plan = releases.canonical_tracks(rows, "j")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate posexplode", 1)
+    assert "first-release-date" in below and "first-release-date" not in above
+    asked = []
+    facts = releases.release_facts
+    monkeypatch.setattr(releases, "release_facts", lambda *a: asked.append(a) or facts(*a))
+    files = spark.createDataFrame([(1, "a", "r1", 0)], "file long, original_path string, recording string, parent long").withColumns({c: F.lit(None).cast("string") for c in ("isrc", "acoustid", "fingerprint")})
+    references = spark.createDataFrame([("recording", "r1", ["r1"])], "kind string, key string, recordings array<string>")
+    on = spark.createDataFrame([("r1", "R")], "recording string, release string")
+    run = GroupingRun(spark, f"{tmp_path}/run", files=files, references=references, recordings=on, releases=rows)
+    assert [(r["cluster"], r["release"], r["status"]) for r in run.stage("verdicts").collect()] == [(1, "R", "selected")] and len(asked) == 1
