@@ -616,6 +616,28 @@ def test_quality_keeps_prose_and_rejects_noise(spark):
     assert quality.judge(df.limit(0)).count() == 0
 
 
+def test_repeated_words_of_many_texts_at_once(texts):
+    words = [(t or "").encode().split() for t in texts] + [b"a b c a b c a".split(), b"a b c".split(), b"b c a b".split(), []]
+    lexicon = quality.Lexicon(np.zeros(0, np.uint64))
+    numbers, lengths = lexicon.numbers(words)
+    want = [quality.repeated_words(w) for w in words]
+    assert quality.repeats_of(numbers, lengths).tolist() == want and want[-4] == 7
+    far = np.where(numbers > 0, numbers + (1 << 21), 0)
+    assert quality.repeats_of(far, lengths).tolist() == want and quality.repeats_of(numbers[:0], lengths[:0]).tolist() == []
+
+
+@pytest.mark.parametrize("bound", [quality.BROADCAST_REPEATS, 0])
+def test_kept_documents_are_found_without_writing_their_texts(spark, texts, monkeypatch, bound):
+    docs = spark.createDataFrame([(i, t, ("en", "de", None)[i % 3]) for i, t in enumerate(texts[:120])] + [(None, texts[0], "en")], "doc_id long, text string, lang string")
+    want = sorted((x["doc_id"] is None, x["doc_id"] or 0, x["text"] or "") for x in quality.judge(docs).filter("kept").collect())
+    written, save = [], quality.saved
+    monkeypatch.setattr(quality, "saved", lambda df, name: written.extend(df.columns) or save(df, name))
+    monkeypatch.setattr(quality, "BROADCAST_REPEATS", bound)
+    kept = quality.keep_good(docs)
+    assert sorted((x["doc_id"] is None, x["doc_id"] or 0, x["text"] or "") for x in kept.collect()) == want and kept.columns == docs.columns
+    assert "text" not in written and "doc_id" not in written
+
+
 @pytest.mark.parametrize("bound", [quality.BROADCAST_REPEATS, 0])
 def test_copies_do_not_narrow_the_bands(spark, monkeypatch, bound):
     monkeypatch.setattr(quality, "BROADCAST_REPEATS", bound)
