@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from mediagraph.operators import albums, cache, resolve
+from mediagraph.operators import albums, cache, graph, resolve
 from mediagraph.operators.run import STAGES, GroupingRun
 from mediagraph.sources import ingest, releases
 
@@ -142,3 +142,16 @@ def test_a_run_reads_its_releases_once_and_their_own_fields_once_a_release(spark
     on = spark.createDataFrame([("r1", "R")], "recording string, release string")
     run = GroupingRun(spark, f"{tmp_path}/run", files=files, references=references, recordings=on, releases=rows)
     assert [(r["cluster"], r["release"], r["status"]) for r in run.stage("verdicts").collect()] == [(1, "R", "selected")] and len(asked) == 1
+
+
+def test_pairs_are_dealt_over_more_tasks_as_they_grow(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ROWS_AT_ONCE", 10)
+    rows = [(f, f"r{f % 3}", None if f == 5 else f"g{f % 2}", f % 4 or None) for f in range(20)]
+    got = graph.shared_weights(spark.createDataFrame(rows, "file long, release string, release_group string, parent long"))
+    want = set()
+    for (a, r, g, p), (b, s, h, q) in itertools.combinations(rows, 2):
+        shared = 2 * (r == s) + (g is not None and g == h)
+        if shared and (weight := shared + (p is not None and p == q)) >= 2:
+            want.add((a, b, weight))
+    assert set(map(tuple, got.collect())) == want and got.count() == len(want)
+    assert got.rdd.getNumPartitions() > 4
