@@ -122,6 +122,16 @@ def test_pairs_and_counts_without_grouping(spark, monkeypatch, chunk):
     assert all(sorted(x["files"], key=lambda f: f"p{30 - f}") == x["files"] for x in dedupe.ordered_pairs(two).collect())
 
 
+def test_a_component_of_over_ten_million_pairs_is_listed_whole(spark):
+    """What d6, w8 and s10 are made from doesn't depend on the size of a component."""
+    n = 4_600
+    one = spark.range(2).selectExpr("'one' tier", "'x' bucket", "id file")
+    two = spark.range(n).selectExpr("'two' tier", "'all' bucket", "id file")
+    groups, pairs = dedupe.groups_and_pairs([one, two])
+    assert [(x["tier"], x["file"]) for x in groups.orderBy("file").collect()] == [("one", 0), ("one", 1)]
+    assert pairs.filter("a.file < b.file").count() == n * (n - 1) // 2 - 1 > 10_000_000
+
+
 def test_finished_components_are_left_out_of_later_rounds(spark, monkeypatch):
     sizes, kept = [], graph.saved
 
