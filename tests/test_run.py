@@ -155,3 +155,16 @@ def test_pairs_are_dealt_over_more_tasks_as_they_grow(spark, monkeypatch):
             want.add((a, b, weight))
     assert set(map(tuple, got.collect())) == want and got.count() == len(want)
     assert got.rdd.getNumPartitions() > 4
+
+
+def test_tracks_and_their_files_meet_without_a_broadcast(spark):
+    """Tracks are few bytes as files and many rows; and those related in several ways, by track or recording, are found in one go."""
+    track = '{"id":"t%d","position":"%d","recording":{"id":"r%d","title":"T","relations":[{"type":"Remix","target":"Ann"},{"type":" COMPOSER ","artist":"{\\"name\\":\\" Bob \\"}"},{"type":"remixer","work":"{\\"resource\\":\\"Cy\\"}"},{"type":"lost","target":"no"},{"type":null,"target":"no"}]}}'
+    text = '{"id":"R","title":"Al","artist-credit":["", {"artist":{"name":" "}}],"media":[{"position":"1","tracks":[' + ",".join(track % (k, k, k) for k in (1, 2)) + "]}]}"
+    tracks = releases.canonical_tracks(spark.createDataFrame([(5, text)], "cluster long, j string"), "j", "cluster")
+    local = spark.createDataFrame([(10, 5, 1, "r1", []), (11, 5, 2, "r9", ["r2"])], "file long, cluster long, position int, recording string, candidates array<string>")
+    given = albums.assign_tracks(local, tracks.select("cluster", F.col("place").cast("long").alias("track"), F.col("place").alias("position"), F.col("recording_mbid").alias("recording")))
+    files = local.select("file", F.concat(F.lit("/in/"), "file", F.lit(".mp3")).alias("original_path"), "recording", *[F.lit(None).cast("string").alias(c) for c in ("isrc", "acoustid")])
+    rows = releases.track_rows(files, given.select("file", "cluster", F.col("track").alias("place")), tracks, "file")
+    assert "BroadcastExchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {(x["file"], x["status"], x["recording_mbid"], x["composer"], x["remixer"], x["conductor"], x["album_artist"]) for x in rows.collect()} == {(10 + k, "matched", f"r{1 + k}", "Bob", "Ann; Cy", None, None) for k in (0, 1)}
