@@ -7,6 +7,7 @@ import random
 import pytest
 
 from mediagraph.operators import dedupe, graph
+from mediagraph.plans import duplicates
 
 SCHEMA = "tier string, bucket string, file long"
 
@@ -132,6 +133,16 @@ def test_a_component_of_over_ten_million_pairs_is_listed_whole(spark):
     assert pairs.filter("a.file < b.file").count() == n * (n - 1) // 2 - 1 > 10_000_000
 
 
+def test_texts_are_hashed_where_they_are(spark, tmp_path):
+    """Files of one size meet by their hashes; no text is shuffled."""
+    docs = [(1, "same", "en", "web", 4), (2, "same", "en", "web", 4), (3, "else", "en", "web", 4), (4, "longer", "en", "web", 6)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    hashed = duplicates.tier_tables(spark, str(tmp_path))[0]
+    plan = hashed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("sha2(") > plan.index("Join LeftSemi, (size_bytes")
+    assert sorted(x["file"] for x in hashed.collect()) == [1, 2]
+
+
 def test_finished_components_are_left_out_of_later_rounds(spark, monkeypatch):
     sizes, kept = [], graph.saved
 
